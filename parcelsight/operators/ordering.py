@@ -58,6 +58,17 @@ def value_frequencies(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     return present.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def _with_bucket(freq: DataFrame, value: str) -> DataFrame:
+    """Number of split points below the value, by binary search in ``_cuts``."""
+    out, step = freq.withColumn("_bucket", F.lit(0)), VALUE_BUCKETS // 2
+    while step:
+        cut = F.get("_cuts", F.col("_bucket") + step - 1)
+        out = out.withColumn("_bucket", F.col("_bucket") + F.when(
+            cut < F.col(value), step).otherwise(0))
+        step //= 2
+    return out
+
+
 def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (),
                   bounded: bool = False) -> DataFrame:
     """Distinct values with ``n``, ``cum_before``, ``total`` and ``midrank``.
@@ -77,9 +88,7 @@ def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (),
             freq = freq.join(freq.groupBy(*by).agg(cuts), by)
         else:
             freq = freq.withColumn("_cuts", freq.agg(cuts).scalar())
-        freq = freq.withColumn(
-            "_bucket", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-        ).drop("_cuts")
+        freq = _with_bucket(freq, value).drop("_cuts")
         bucket = "_bucket"
     ranked = running_total(freq, by, [F.col(value)], "n", "cum_before", bucket, "total")
     ranked = ranked.withColumn("midrank", F.col("cum_before") + (F.col("n") + 1) / 2.0)

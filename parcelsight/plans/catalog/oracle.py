@@ -132,7 +132,7 @@ final_orders AS (SELECT * FROM reviewed_orders WHERE dispatch_days >= 0),
 geo_distinct AS (SELECT DISTINCT * FROM raw_geolocation),
 centroids AS (
   SELECT geolocation_zip_code_prefix AS zip,
-    round(avg(geolocation_lat), 12) AS lat, round(avg(geolocation_lng), 12) AS lng
+    avg(geolocation_lat::DECIMAL(18,14)) AS lat, avg(geolocation_lng::DECIMAL(18,14)) AS lng
   FROM geo_distinct GROUP BY 1),
 located_items AS (
   SELECT o.*, i.order_item_id, i.product_id, i.seller_id, i.shipping_limit_date, i.price,

@@ -15,7 +15,7 @@ from parcelsight.session import configure
 from parcelsight.sources.adapter import HUB_STATE, raw_tables
 from parcelsight.sources.tables import RawTables
 
-MODULES = ("quality",)
+MODULES = ("quality", "preparation", "derived", "aggregates", "reporting", "statistics")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
