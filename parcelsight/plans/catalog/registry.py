@@ -15,7 +15,8 @@ from parcelsight.session import configure
 from parcelsight.sources.adapter import HUB_STATE, raw_tables
 from parcelsight.sources.tables import RawTables
 
-MODULES = ("quality", "preparation", "derived", "aggregates", "reporting", "statistics", "splitting", "decisions")
+MODULES = ("quality", "preparation", "derived", "aggregates", "reporting", "statistics",
+           "splitting", "decisions", "modelling", "streams")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
