@@ -9,22 +9,27 @@ holds more than one bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 VALUE_BUCKETS = 256
+# rank error of the split points, well below one bucket; keeps the merged sketch small
+CUT_ACCURACY = 2000
 HASH_BUCKETS = 1024
 
 
 def running_total(df: DataFrame, by: Sequence[str], order: Sequence[Column], weight: str,
-                  out: str, bucket: str | None = None, total: str | None = None) -> DataFrame:
+                  out: str, bucket: str | None = None, total: str | None = None,
+                  keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Add the sum of ``weight`` over all earlier rows of the same ``by`` group.
 
     ``bucket`` names an integer column that never decreases along ``order``.
     Without it the whole group is ordered in one window, which is only right
     when the number of rows per group is bounded. ``total`` also adds the sum
-    over the whole group.
+    over the whole group. ``keep(first, last, total)`` may name the buckets whose
+    rows are wanted, given the positions a bucket covers; rows of other buckets
+    are then dropped before they are shuffled and sorted.
     """
     by = list(by)
     before = (Window.unboundedPreceding, -1)
@@ -40,8 +45,12 @@ def running_total(df: DataFrame, by: Sequence[str], order: Sequence[Column], wei
     offsets = df.groupBy(*by, bucket).agg(F.sum(weight).alias("_weight")).select(
         *by, bucket,
         F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_weight").over(over).alias("_total"),
+        F.sum("_weight").over(over).alias("_total"), "_weight",
     )
+    if keep is not None:
+        offsets = offsets.where(keep(
+            F.col("_offset"), F.col("_offset") + F.col("_weight") - 1, F.col("_total")))
+    offsets = offsets.drop("_weight")
     inside = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(*before)
     joined = df.join(offsets, [*by, bucket])
     result = joined.withColumn(
@@ -55,7 +64,9 @@ def value_frequencies(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     """One row per distinct (by, value) with its count ``n``; missing keys are left out."""
     keys = [*by, value]
     present = df.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
-    return present.groupBy(*keys).agg(F.count("*").alias("n"))
+    # the always-true filter makes every consumer read n, so that plans which use
+    # the table several times share one shuffle of it
+    return present.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 0")
 
 
 def _with_bucket(freq: DataFrame, value: str) -> DataFrame:
@@ -70,12 +81,14 @@ def _with_bucket(freq: DataFrame, value: str) -> DataFrame:
 
 
 def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (),
-                  bounded: bool = False) -> DataFrame:
+                  bounded: bool = False,
+                  keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Distinct values with ``n``, ``cum_before``, ``total`` and ``midrank``.
 
     ``midrank`` is the average rank (ties share it) that rank tests need.
     ``bounded=True`` says the number of distinct values per group is small by
-    nature (scores, day counts), so a plain window orders them.
+    nature (scores, day counts), so a plain window orders them. ``keep`` is
+    passed on to ``running_total``.
     """
     by = list(by)
     freq = value_frequencies(df, value, by)
@@ -83,14 +96,14 @@ def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (),
     if not bounded:
         # split points balance distinct values, so a hot value cannot fill a bucket
         steps = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
-        cuts = F.percentile_approx(value, steps, 10000).alias("_cuts")
+        cuts = F.percentile_approx(value, steps, CUT_ACCURACY).alias("_cuts")
         if by:
             freq = freq.join(freq.groupBy(*by).agg(cuts), by)
         else:
             freq = freq.withColumn("_cuts", freq.agg(cuts).scalar())
         freq = _with_bucket(freq, value).drop("_cuts")
         bucket = "_bucket"
-    ranked = running_total(freq, by, [F.col(value)], "n", "cum_before", bucket, "total")
+    ranked = running_total(freq, by, [F.col(value)], "n", "cum_before", bucket, "total", keep)
     ranked = ranked.withColumn("midrank", F.col("cum_before") + (F.col("n") + 1) / 2.0)
     return ranked.drop("_bucket")
 

@@ -23,12 +23,22 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     """Linearly interpolated quantiles of continuous columns, all in one pass.
 
     Returns ``[by...], column, n, q_0, q_1, ...`` in the order of
-    ``probabilities``. A column without any value has no row.
+    ``probabilities``. A column without any value has no row. Only the buckets
+    that hold a wanted position are sorted.
     """
     by = list(by)
     long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         by, list(columns), "column", "value")
-    ranked = ranked_values(long, "value", [*by, "column"])
+
+    def wanted(first: Column, last: Column, total: Column) -> Column:
+        """Whether a range of positions holds a value that some quantile reads."""
+        hit = F.lit(False)
+        for p in probabilities:
+            position = (total - 1) * F.lit(float(p))
+            hit = hit | F.floor(position).between(first, last) | F.ceil(position).between(first, last)
+        return hit
+
+    ranked = ranked_values(long, "value", [*by, "column"], keep=wanted)
     first, last = F.col("cum_before"), F.col("cum_before") + F.col("n") - 1
 
     def at(position: Column) -> Column:
@@ -53,16 +63,18 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, c: str, bins: int = 25) -> DataFrame:
     """Equal-width bins between minimum and maximum; the last bin is closed.
 
-    All ``bins`` appear, empty ones with count 0.
+    All ``bins`` appear, empty ones with count 0. A constant column gets a range
+    of one around its value.
     """
     freq = value_frequencies(df.select(F.col(c).cast("double").alias("value")), "value")
-    span = freq.agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    raw = F.floor((F.col("value") - F.col("low")) * bins / F.nullif(
-        F.col("high") - F.col("low"), F.lit(0.0)))
+    low, high = F.min("value"), F.max("value")
+    pad = F.when(low == high, 0.5).otherwise(0.0)
+    span = freq.agg((low - pad).alias("low"), (high + pad).alias("high"))
+    raw = F.floor((F.col("value") - F.col("low")) * bins / (F.col("high") - F.col("low")))
     counted = (
         freq.withColumn("_span", span.select(F.struct("low", "high")).scalar())
         .withColumns({"low": F.col("_span.low"), "high": F.col("_span.high")})
-        .withColumn("bin", F.coalesce(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("int"))
+        .withColumn("bin", F.least(raw, F.lit(bins - 1)).cast("int"))
         .groupBy("bin").agg(F.sum("n").alias("n"))
     )
     edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn(

@@ -103,7 +103,10 @@ def _(q: Inputs):
         name(splits.split_overlap(by_row), "by row"))
 
 
-@register("j7_l6_split_intersection", "SELECT 0::BIGINT AS shared_orders")
+@register("j7_l6_split_intersection", f"""
+, s AS (SELECT order_id, {_SPLIT} AS split FROM sale_items)
+SELECT count(*) AS shared_orders FROM (SELECT order_id FROM s WHERE split = 'train'
+  INTERSECT SELECT order_id FROM s WHERE split = 'test')""")
 def _(q: Inputs):
     rows = labelled_items(q)
     side = lambda name: rows.where(holds(F.col("split") == name)).select("order_id")

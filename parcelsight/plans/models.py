@@ -16,11 +16,11 @@ from pyspark.ml.feature import (
     OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from parcelsight.functions.expressions import clip
 from parcelsight.operators import impute, quality
-from parcelsight.operators.quantiles import medians
+from parcelsight.operators.quantiles import bounded_quantile, medians
 from parcelsight.operators.splits import with_class_weight, with_split
 from parcelsight.plans.features import positive_label
 from parcelsight.sources.sinks import stage
@@ -66,10 +66,19 @@ def staged_frame(frame: DataFrame, label: str, portable: bool = False) -> DataFr
 
 def fill_constants(train: DataFrame, numeric: Sequence[str],
                    categorical: Sequence[str]) -> dict[str, float | str]:
-    """Exact medians and modes of the training rows, one scalar per column."""
+    """Exact medians and modes of the training rows, one scalar per column.
+
+    Whole-number columns (flags, months, day counts) have few distinct values
+    and share one plain aggregate; only continuous ones are ranked.
+    """
     constants: dict[str, float | str] = {}
-    if numeric:
-        constants.update(medians(train, numeric).first().asDict())
+    whole = [c for c in numeric if isinstance(train.schema[c].dataType, T.IntegerType)]
+    continuous = [c for c in numeric if c not in whole]
+    if whole:
+        constants.update(train.agg(
+            *[bounded_quantile(c, 0.5).alias(c) for c in whole]).first().asDict())
+    if continuous:
+        constants.update(medians(train, continuous).first().asDict())
     if categorical:
         long = train.select(*categorical).unpivot([], list(categorical), "column", "value")
         constants.update({r["column"]: r["value"]
