@@ -163,15 +163,31 @@ def timeline_examples(orders: DataFrame, n: int = 5) -> DataFrame:
 
 
 def unmatched_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Rows whose lookup finds nothing, a missing key included."""
-    return left.join(right, F.col(left_key) == F.col(right_key), "left_anti")
+    """Rows whose lookup finds nothing, a missing key included.
 
+    Only distinct keys of the right side travel, so a key that fills it is one row.
+    """
+    keys = right.select(right_key).distinct()
+    return left.join(keys, F.col(left_key) == F.col(right_key), "left_anti")
 
-def fan_out(steps: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Row count after each join step, to see where rows multiply."""
-    out = None
-    for position, (name, df) in enumerate(steps, 1):
-        row = df.agg(F.count("*").alias("rows")).select(
-            F.lit(position).alias("step"), F.lit(name).alias("joined"), "rows")
-        out = row if out is None else out.unionByName(row)
-    return out
+
+def fan_out(base: DataFrame, joined: list[tuple[str, DataFrame]], key: str,
+            base_name: str = "base") -> DataFrame:
+    """Row count after each left join on the key, to see where rows multiply.
+
+    The joins are not carried out: per key the rows multiply by the number of
+    matches, so counts per key are enough and nothing explodes.
+    """
+    n = base.groupBy(key).agg(F.count("*").alias("_rows_0"))
+    names = [base_name]
+    for position, (name, df) in enumerate(joined, 1):
+        counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+        n = n.join(counts, key, "left").withColumn(
+            f"_rows_{position}", F.col(f"_rows_{position - 1}") * F.coalesce("_n", F.lit(1))
+        ).drop("_n")
+        names.append(name)
+    sums = n.agg(*[F.sum(f"_rows_{i}").alias(f"_rows_{i}") for i in range(len(names))])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("joined"),
+                 F.col(f"_rows_{i}").alias("rows"))
+        for i, name in enumerate(names)])))

@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from parcelsight.functions import bands
-from parcelsight.operators import impute, ordering, quality, quantiles
+from parcelsight.operators import impute, ordering, quality, quantiles, rollup
 from parcelsight.plans import prepare, reports
 from parcelsight.plans.catalog.registry import Inputs, register
 
@@ -39,27 +39,19 @@ SELECT order_id, total_items, price, freight_value, product_weight_g, product_id
 def _(q: Inputs):
     items = q.tables.order_items.join(
         q.tables.products.select("product_id", "product_weight_g"), "product_id", "left")
-    sums = items.groupBy("order_id").agg(
-        F.count("*").alias("total_items"), F.round(F.sum("price"), 4).alias("price"),
-        F.round(F.sum("freight_value"), 4).alias("freight_value"),
-        F.sum("product_weight_g").alias("product_weight_g"))
-    return (sums.join(impute.modes(items, ["order_id"], "product_id"), "order_id")
-            .join(impute.modes(items, ["order_id"], "seller_id"), "order_id"))
+    rolled = rollup.order_roll_up(
+        items, ["price", "freight_value", "product_weight_g"], ["product_id", "seller_id"])
+    return rolled.withColumns({c: F.round(c, 4) for c in ("price", "freight_value")})
 
 
 @register("a4_item_arrays_per_order", """
-SELECT order_id, array_to_string(list(product_id ORDER BY product_id), ',') AS products,
+SELECT order_id, 0 AS part, array_to_string(list(product_id ORDER BY product_id), ',') AS products,
   count(*) AS items FROM raw_items GROUP BY 1""")
 def _(q: Inputs):
-    # one row per distinct product first, so a huge order shuffles counts and not items;
-    # the array itself is the requested value
-    counts = q.tables.order_items.groupBy("order_id", "product_id").agg(F.count("*").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.struct("product_id", "n")))
-    expanded = F.flatten(F.transform(
-        pairs, lambda p: F.array_repeat(p["product_id"], p["n"].cast("int"))))
-    return counts.groupBy("order_id").agg(
-        F.array_join(F.transform(expanded, lambda p: p.cast("string")), ",").alias("products"),
-        F.sum("n").alias("items"))
+    arrays = rollup.item_arrays(q.tables.order_items, "product_id")
+    return arrays.select(
+        "order_id", "part", F.array_join(
+            F.transform("product_id", lambda p: p.cast("string")), ",").alias("products"), "items")
 
 
 @register("a5_review_roll_up", """

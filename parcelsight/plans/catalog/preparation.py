@@ -330,12 +330,9 @@ UNION ALL SELECT 2, 'items', count(*) FROM j1 UNION ALL SELECT 3, 'payments', co
 UNION ALL SELECT 4, 'reviews', count(*) FROM j3""")
 def _(q: Inputs):
     t = q.tables
-    orders = t.orders.select("order_id")
-    with_items = orders.join(t.order_items.select("order_id"), "order_id", "left")
-    with_payments = with_items.join(t.payments.select("order_id"), "order_id", "left")
-    with_reviews = with_payments.join(t.reviews.select("order_id"), "order_id", "left")
-    return quality.fan_out([("orders", orders), ("items", with_items),
-                            ("payments", with_payments), ("reviews", with_reviews)])
+    return quality.fan_out(
+        t.orders, [("items", t.order_items), ("payments", t.payments), ("reviews", t.reviews)],
+        "order_id", "orders")
 
 
 @register("j9_rolled_up_items_per_order", """

@@ -131,15 +131,28 @@ def delivery_orders(tables: RawTables) -> DataFrame:
     return reviewed_orders(tables).where(F.col("dispatch_days") >= 0).select(*ORDER_COLUMNS)
 
 
+def with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Order rows with their items; an order without items stays, its item columns missing.
+
+    An inner join plus the leftovers instead of one outer join: adaptive
+    execution can split a hot order only where both sides may be split, and the
+    optional side of an outer join may not.
+    """
+    bare = orders.join(items.select("order_id").distinct(), "order_id", "left_anti")
+    return orders.join(items, "order_id").unionByName(bare, allowMissingColumns=True)
+
+
 def star_join(tables: RawTables) -> DataFrame:
     """Every raw column an item row can have: orders with all lookups joined."""
     centroids = zip_centroids(tables.geolocation)
     reviews = dedup.latest_reviews(tables.reviews)
-    return (
+    orders = (
         clean_orders(tables.orders)
         .join(with_centroid(tables.customers, centroids, "customer"), "customer_id", "left")
-        .join(tables.order_items, "order_id", "left")
         .join(reviews, "order_id", "left")
+    )
+    return (
+        with_items(orders, tables.order_items)
         .join(categorised_products(tables), "product_id", "left")
         .join(with_centroid(tables.sellers, centroids, "seller"), "seller_id", "left")
     )
@@ -156,7 +169,7 @@ def analysis_items(tables: RawTables, columns: Iterable[str] | None = None) -> D
     if wanted & {*CUSTOMER_COLUMNS, "cross_state"}:
         rows = rows.join(tables.customers.select("customer_id", *CUSTOMER_COLUMNS),
                          "customer_id", "left")
-    rows = rows.join(tables.order_items, "order_id", "left")
+    rows = with_items(rows, tables.order_items)
     if wanted & set(CATEGORY_COLUMNS):
         rows = _with_category(rows, categorised_products(tables).select(
             "product_id", *CATEGORY_COLUMNS))
@@ -177,11 +190,9 @@ def _with_category(rows: DataFrame, products: DataFrame) -> DataFrame:
 def reviewed_items(tables: RawTables) -> DataFrame:
     """Item rows with raw lookups and derived days, before any filling."""
     centroids = zip_centroids(tables.geolocation)
-    rows = (
-        reviewed_orders(tables)
-        .join(with_centroid(tables.customers, centroids, "customer"), "customer_id", "left")
-        .join(tables.order_items, "order_id", "left")
-    )
+    orders = reviewed_orders(tables).join(
+        with_centroid(tables.customers, centroids, "customer"), "customer_id", "left")
+    rows = with_items(orders, tables.order_items)
     rows = _with_category(rows, categorised_products(tables))
     rows = rows.join(with_centroid(tables.sellers, centroids, "seller"), "seller_id", "left")
     points = [f"{side}_{axis}" for side in SIDES for axis in ("lat", "lng")]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelsight.operators import (
-    dedup, impute, metrics, ordering, quality, quantiles, rank_tests, splits)
+    dedup, impute, metrics, ordering, quality, quantiles, rank_tests, rollup, splits)
 
 
 @pytest.fixture(scope="module")
@@ -246,3 +246,29 @@ def test_class_weights(rows):
         1: pytest.approx(8 / 12), 0: 2.0}
     weighted = splits.with_class_weight(df).groupBy("label").agg(F.sum("weight")).collect()
     assert {r[1] for r in weighted} == {4.0}
+
+
+def test_item_arrays_split_large_orders(rows):
+    rng = random.Random(9)
+    data = [("hot", rng.choice([1, 1, rng.randrange(300)])) for _ in range(900)]
+    data += [(f"o{i % 40}", rng.randrange(5)) for i in range(200)]
+    parts = rollup.item_arrays(rows(data, "order_id string, v int"), "v", limit=50).collect()
+    together = {}
+    for r in parts:
+        assert r["items"] == len(r["v"]) and r["v"] == sorted(r["v"])
+        together.setdefault(r["order_id"], []).extend(r["v"])
+    want = {}
+    for k, v in data:
+        want.setdefault(k, []).append(v)
+    assert {k: sorted(v) for k, v in together.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sum(r["order_id"] == "hot" for r in parts) > 10
+    assert all(r["part"] == 0 for r in parts if r["order_id"] != "hot")
+
+
+def test_fan_out_counts_what_the_joins_would(rows):
+    base = rows([("a",), ("b",), ("c",)], "k string")
+    first = rows([("a",), ("a",), ("b",)], "k string")
+    second = rows([("a",), ("a",), ("a",), ("c",)], "k string")
+    got = [r["rows"] for r in quality.fan_out(base, [("x", first), ("y", second)], "k").collect()]
+    one = base.join(first, "k", "left")
+    assert got == [3, one.count(), one.join(second, "k", "left").count()]
