@@ -60,13 +60,18 @@ def running_total(df: DataFrame, by: Sequence[str], order: Sequence[Column], wei
     return result.drop("_offset", "_total")
 
 
-def value_frequencies(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct (by, value) with its count ``n``; missing keys are left out."""
+def value_frequencies(df: DataFrame, value: str, by: Sequence[str] = (),
+                      weight: str | None = None) -> DataFrame:
+    """One row per distinct (by, value) with its count ``n``; missing keys are left out.
+
+    ``weight`` names a count column when the rows are already counted.
+    """
     keys = [*by, value]
     present = df.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
     # the always-true filter makes every consumer read n, so that plans which use
     # the table several times share one shuffle of it
-    return present.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 0")
+    size = F.sum(weight) if weight else F.count("*")
+    return present.groupBy(*keys).agg(size.alias("n")).where("n > 0")
 
 
 def _with_bucket(freq: DataFrame, value: str) -> DataFrame:
@@ -81,7 +86,7 @@ def _with_bucket(freq: DataFrame, value: str) -> DataFrame:
 
 
 def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (),
-                  bounded: bool = False,
+                  bounded: bool = False, weight: str | None = None,
                   keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Distinct values with ``n``, ``cum_before``, ``total`` and ``midrank``.
 
@@ -91,7 +96,7 @@ def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (),
     passed on to ``running_total``.
     """
     by = list(by)
-    freq = value_frequencies(df, value, by)
+    freq = value_frequencies(df, value, by, weight)
     bucket = None
     if not bounded:
         # split points balance distinct values, so a hot value cannot fill a bucket

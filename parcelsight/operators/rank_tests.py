@@ -13,14 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from parcelsight.functions import pvalues
-from parcelsight.operators.ordering import ranked_values
+from parcelsight.operators.ordering import ranked_values, value_frequencies
+from parcelsight.sources.sinks import stage
 
 
 def _grouped_ranks(df: DataFrame, value: str, group: str, bounded: bool) -> DataFrame:
-    """(group, value, n) with the midrank of each value in the pooled sample."""
-    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
-    ranks = ranked_values(rows, value, bounded=bounded).select(
+    """(group, value, n) with the midrank of each value in the pooled sample.
+
+    The pooled ranks come from the same counts, so the data is read once.
+    """
+    counts = value_frequencies(df, value, [group])
+    ranks = ranked_values(counts, value, bounded=bounded, weight="n").select(
         value, "midrank", F.col("n").alias("tied"), F.col("total"))
     return counts.join(ranks, value)
 
@@ -119,15 +122,16 @@ def _pair_correlations(df: DataFrame, columns: Sequence[str], weight: str) -> Da
 def spearman_matrix(df: DataFrame, columns: Sequence[str], bounded: bool = True) -> DataFrame:
     """Spearman correlation of every pair over rows complete in all columns.
 
-    Equal rows are counted together first; ranks are then looked up per distinct
-    row, so neither a hot value nor the raw row count matters.
+    Equal rows are counted together first and the counts staged. Each column's
+    ranks come from those counts and are looked up per distinct row, so the data
+    is read once and neither a hot value nor the raw row count matters afterwards.
     """
     columns = list(columns)
-    distinct_rows = df.select(*columns).na.drop().groupBy(*columns).agg(F.count("*").alias("_n"))
-    complete = df.select(*columns).na.drop()
+    distinct_rows = stage(df.select(*columns).na.drop().groupBy(*columns).agg(
+        F.count("*").alias("_n")), "spearman_counts")
     ranked = distinct_rows
     for c in columns:
-        ranks = ranked_values(complete, c, bounded=bounded).select(
+        ranks = ranked_values(distinct_rows, c, bounded=bounded, weight="_n").select(
             c, F.col("midrank").alias(f"_rank_{c}"))
         ranked = ranked.join(ranks, c)
     as_ranks = ranked.select("_n", *[F.col(f"_rank_{c}").alias(c) for c in columns])
