@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelsight.llm import bpe, exact_dedup, quality, toxicity
+from parcelsight.llm import bpe, exact_dedup, line_dedup, mixing, quality, toxicity, warc
 from parcelsight.llm.common import ship, table
 from parcelsight.session import configure
 
@@ -24,6 +24,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return plan.taken.select("doc_id", "size", "source_size", "target",
+                             (F.col("size") * F.col("times")).alias("taken"),
+                             F.expr("array_join(slice(shards, 1, int(times)), ',')").alias("shards"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.bpe_round_trip(docs, tokenizer_path(), digests=True)
@@ -34,12 +41,24 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                              table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    records = warc.read_warc(warc.write_warc(pages, warc.archive_folder(spark)))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"),
                            table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-_QUERIES = [op1_exact_dedup, op6_bpe, op7_toxicity, op10_quality]
+_QUERIES = [op1_exact_dedup, op4_mixing, op6_bpe, op7_toxicity, op8_line_dedup, op9_warc,
+            op10_quality]
 
 OP1_SQL = r"""
 WITH d AS (
@@ -52,6 +71,29 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 """
 
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, u.line, u.i,
+         translate(trim(u.line, E' \t\n\x0B\x0C\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+       LATERAL (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS i) u),
+often AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.k IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE o.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN often o ON l.k = o.k GROUP BY doc_id
+"""
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(plan):
@@ -61,4 +103,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_line_dedup": OP8_SQL,
+            "op9_warc": OP9_SQL}
