@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelsight.llm import bpe, exact_dedup, line_dedup, mixing, quality, toxicity, warc
+from parcelsight.llm import bpe, exact_dedup, line_dedup, mixing, ngram_join, quality, toxicity, warc
 from parcelsight.llm.common import ship, table
 from parcelsight.session import configure
 
@@ -24,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return plan.taken.select("doc_id", "size", "source_size", "target",
@@ -57,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                            table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-_QUERIES = [op1_exact_dedup, op4_mixing, op6_bpe, op7_toxicity, op8_line_dedup, op9_warc,
+_QUERIES = [op1_exact_dedup, op2_ngram_join, op4_mixing, op6_bpe, op7_toxicity, op8_line_dedup, op9_warc,
             op10_quality]
 
 OP1_SQL = r"""
