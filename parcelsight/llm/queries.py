@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelsight.llm import bpe, exact_dedup, line_dedup, mixing, ngram_join, quality, toxicity, warc
+from parcelsight.llm import ann, bpe, exact_dedup, line_dedup, mixing, ngram_join, quality, toxicity, warc
 from parcelsight.llm.common import ship, table
 from parcelsight.session import configure
 
@@ -35,6 +35,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.expr("array_join(slice(shards, 1, int(times)), ',')").alias("shards"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    queries_ = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return ann.nearest(vectors, queries_)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.bpe_round_trip(docs, tokenizer_path(), digests=True)
@@ -61,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                            table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-_QUERIES = [op1_exact_dedup, op2_ngram_join, op4_mixing, op6_bpe, op7_toxicity, op8_line_dedup, op9_warc,
+_QUERIES = [op1_exact_dedup, op2_ngram_join, op4_mixing, op5_ann, op6_bpe, op7_toxicity, op8_line_dedup, op9_warc,
             op10_quality]
 
 OP1_SQL = r"""
