@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelsight.llm import ann, bpe, exact_dedup, line_dedup, mixing, ngram_join, quality, toxicity, warc
+from parcelsight.llm import ann, bpe, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, toxicity, warc
 from parcelsight.llm.common import ship, table
 from parcelsight.session import configure
 
@@ -28,6 +28,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return plan.taken.select("doc_id", "size", "source_size", "target",
@@ -67,7 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                            table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-_QUERIES = [op1_exact_dedup, op2_ngram_join, op4_mixing, op5_ann, op6_bpe, op7_toxicity, op8_line_dedup, op9_warc,
+_QUERIES = [op1_exact_dedup, op2_ngram_join, op3_pii, op4_mixing, op5_ann, op6_bpe, op7_toxicity, op8_line_dedup, op9_warc,
             op10_quality]
 
 OP1_SQL = r"""
