@@ -108,9 +108,11 @@ def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicate_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows themselves whose key occurs more than once."""
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return df.join(repeated, list(keys), "left_semi")
+    """The rows themselves whose key occurs more than once; missing values equal each other."""
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(
+        *[F.col(c).alias(f"_key_{c}") for c in keys])
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys]
+    return df.join(repeated, same, "left_semi")
 
 
 def frequency_table(df: DataFrame, c: str) -> DataFrame:

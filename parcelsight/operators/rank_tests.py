@@ -35,7 +35,7 @@ def _tie_sum():
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, second,
-                 bounded: bool = True) -> DataFrame:
+                 bounded: bool = False) -> DataFrame:
     """U of the first group, with tie-corrected z, rank-biserial r and CLES."""
     ranks = _grouped_ranks(df.where(F.col(group).isin(first, second)), value, group, bounded)
     is_first = F.col(group) == F.lit(first)
@@ -70,7 +70,7 @@ def mann_whitney_p(result: DataFrame, alternative: str = "two-sided") -> float:
     raise ValueError(f"unknown alternative: {alternative}")
 
 
-def kruskal_wallis(df: DataFrame, value: str, group: str, bounded: bool = True) -> DataFrame:
+def kruskal_wallis(df: DataFrame, value: str, group: str, bounded: bool = False) -> DataFrame:
     """H with tie correction over all groups."""
     ranks = _grouped_ranks(df, value, group, bounded)
     per_group = ranks.groupBy(group).agg(
@@ -83,11 +83,14 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, bounded: bool = True)
     h = 12.0 / (n * (n + 1)) * F.col("s") - 3.0 * (n + 1)
     return total.select(
         F.col("k").alias("groups"), n.cast("bigint").alias("n"),
-        F.try_divide(h, 1.0 - F.col("ties") / (n * n * n - n)).alias("h"))
+        F.try_divide(h, 1.0 - F.try_divide(F.col("ties"), n * n * n - n)).alias("h"))
 
 
-def kruskal_wallis_p(result: DataFrame) -> float:
+def kruskal_wallis_p(result: DataFrame) -> float | None:
+    """P-value of a ``kruskal_wallis`` result; None where H is not defined."""
     row = result.first()
+    if row["h"] is None or row["groups"] < 2:
+        return None
     return pvalues.chi2_sf(row["h"], row["groups"] - 1)
 
 
@@ -119,7 +122,7 @@ def _pair_correlations(df: DataFrame, columns: Sequence[str], weight: str) -> Da
     return moments.select(F.inline(F.array(*cells)))
 
 
-def spearman_matrix(df: DataFrame, columns: Sequence[str], bounded: bool = True) -> DataFrame:
+def spearman_matrix(df: DataFrame, columns: Sequence[str], bounded: bool = False) -> DataFrame:
     """Spearman correlation of every pair over rows complete in all columns.
 
     Equal rows are counted together first and the counts staged. Each column's
@@ -138,7 +141,10 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], bounded: bool = True)
     return _pair_correlations(as_ranks, columns, "_n").withColumnRenamed("corr", "rho")
 
 
-def spearman_p(rho: float, n: int) -> float:
+def spearman_p(rho: float | None, n: int) -> float | None:
+    """Two-sided p of a rank correlation; None for a constant column or fewer than three rows."""
+    if rho is None or n < 3:
+        return None
     if abs(rho) >= 1.0:
         return 0.0
     return pvalues.student_two_sided(rho * math.sqrt((n - 2) / (1.0 - rho * rho)), n - 2)
@@ -159,17 +165,22 @@ def welch_t(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
                 F.var_samp(mine).alias(f"var{i}")]
 
     stats = df.agg(*side(first, 1), *side(second, 2))
-    a, b = F.col("var1") / F.col("n1"), F.col("var2") / F.col("n2")
+    a = F.try_divide(F.col("var1"), F.col("n1"))
+    b = F.try_divide(F.col("var2"), F.col("n2"))
     return stats.select(
         "n1", "n2", "mean1", "mean2",
         F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(a + b)).alias("t"),
         F.try_divide((a + b) * (a + b),
-                     a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1)).alias("df"),
+                     F.try_divide(a * a, F.col("n1") - 1)
+                     + F.try_divide(b * b, F.col("n2") - 1)).alias("df"),
     )
 
 
-def welch_p(result: DataFrame) -> float:
+def welch_p(result: DataFrame) -> float | None:
+    """Two-sided p of a ``welch_t`` result; None where t is not defined."""
     row = result.first()
+    if row["t"] is None or row["df"] is None:
+        return None
     return pvalues.student_two_sided(row["t"], row["df"])
 
 

@@ -1,4 +1,4 @@
-"""Order roll-ups that stay bounded for an order of any size."""
+"""Order roll-ups."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from parcelsight.operators import impute
 
-ARRAY_LIMIT = 10_000
-
 
 def order_roll_up(items: DataFrame, sums: list[str], modal: list[str]) -> DataFrame:
     """Item count, sums and modal values per order."""
@@ -18,27 +16,20 @@ def order_roll_up(items: DataFrame, sums: list[str], modal: list[str]) -> DataFr
     return out
 
 
-def item_arrays(items: DataFrame, value: str, limit: int = ARRAY_LIMIT) -> DataFrame:
-    """The sorted item values of each order as arrays, equal values included.
+def item_values(items: DataFrame, value: str) -> DataFrame:
+    """The item values of each order, each with how often it repeats, for orders of any size.
+
+    Counts combine before the shuffle and no task holds an order. Sorted by value and repeated, the rows of
+    an order are the array that ``item_arrays`` makes.
+    """
+    return items.groupBy("order_id", value).agg(F.count("*").alias("repeats"))
+
+
+def item_arrays(items: DataFrame, value: str) -> DataFrame:
+    """The sorted item values of each order as one array, equal values included.
 
-    An order of at most ``limit`` items is one array (part 0). A larger order
-    is spread over several parts by a hash of the value and the item's position
-    among equal values, so no task ever holds the whole order; together the
-    parts hold every item.
+    Only for items whose orders the caller knows to be small: an array is one row. ``item_values`` has
+    the same content for any order.
     """
-    repeats = items.groupBy("order_id", value).agg(F.count("*").alias("_n"))
-    # a value that repeats very often is cut into runs of at most ``limit``
-    runs = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / limit).cast("int")))
-    pieces = repeats.withColumn("_run", runs).withColumn(
-        "_n", F.least(F.lit(limit), F.col("_n") - F.col("_run") * limit).cast("int"))
-    sizes = pieces.groupBy("order_id").agg(F.sum("_n").alias("_size")).where(
-        F.col("_size") > limit)
-    # twice as many parts as needed on average, as hashing does not fill them evenly
-    parts = sizes.select("order_id", F.ceil(F.col("_size") * 2 / limit).alias("_parts"))
-    placed = pieces.join(parts, "order_id", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64(value, "_run"), F.col("_parts")), F.lit(0)).cast("int"))
-    expanded = F.flatten(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col("_n").alias("n")))),
-        lambda piece: F.array_repeat(piece["v"], piece["n"])))
-    return placed.groupBy("order_id", "part").agg(
-        expanded.alias(value), F.sum("_n").alias("items"))
+    return items.groupBy("order_id").agg(
+        F.array_sort(F.collect_list(value)).alias(value), F.count("*").alias("items"))

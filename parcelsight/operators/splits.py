@@ -81,9 +81,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Add the balanced weight of each row's class; ``label`` is 0 or 1."""
+    """The rows whose ``label`` is 0 or 1, with the balanced weight of their class."""
+    df = df.where(F.col(label).isin(0, 1))
     counts = df.agg(F.struct(
         F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("ones"),
         F.count_if(F.col(label) == 0).alias("zeros"))).scalar()
     size = F.when(F.col(label) == 1, F.col("_c.ones")).otherwise(F.col("_c.zeros"))
-    return df.withColumn("_c", counts).withColumn(out, F.col("_c.n") / (2.0 * size)).drop("_c")
+    return df.withColumn("_c", counts).withColumn(out, F.try_divide(F.col("_c.n"), 2.0 * size)).drop("_c")

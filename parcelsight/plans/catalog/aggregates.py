@@ -45,15 +45,21 @@ def _(q: Inputs):
 
 
 @register("a4_item_arrays_per_order", """
-SELECT order_id, 0 AS part, array_to_string(list(product_id ORDER BY product_id), ',') AS products,
+SELECT order_id, array_to_string(list(product_id ORDER BY product_id), ',') AS products,
   count(*) AS items FROM raw_items GROUP BY 1""")
 def _(q: Inputs):
     arrays = rollup.item_arrays(q.tables.order_items, "product_id")
     return arrays.select(
-        "order_id", "part", F.array_join(
+        "order_id", F.array_join(
             F.transform("product_id", lambda p: p.cast("string")), ",").alias("products"), "items")
 
 
+@register("a4_item_values_per_order", """
+SELECT order_id, product_id, count(*) AS repeats FROM raw_items GROUP BY 1, 2""")
+def _(q: Inputs):
+    return rollup.item_values(q.tables.order_items, "product_id")
+
+
 @register("a5_review_roll_up", """
 SELECT order_id, round(avg(review_score), 6) AS review_score, count(*) AS reviews
 FROM raw_reviews GROUP BY 1""")

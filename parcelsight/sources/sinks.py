@@ -41,7 +41,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     The files outlive executors, so a lost executor costs a re-read and not a
     recomputation of the joins behind the table.
     """
+    return stage_at(df, label)[0]
+
+
+def stage_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A staged table and its folder."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/parcelsight/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that no later read needs, on whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

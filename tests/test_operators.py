@@ -248,22 +248,34 @@ def test_class_weights(rows):
     assert {r[1] for r in weighted} == {4.0}
 
 
-def test_item_arrays_split_large_orders(rows):
-    rng = random.Random(9)
-    data = [("hot", rng.choice([1, 1, rng.randrange(300)])) for _ in range(900)]
-    data += [(f"o{i % 40}", rng.randrange(5)) for i in range(200)]
-    parts = rollup.item_arrays(rows(data, "order_id string, v int"), "v", limit=50).collect()
-    together = {}
-    for r in parts:
-        assert r["items"] == len(r["v"]) and r["v"] == sorted(r["v"])
-        together.setdefault(r["order_id"], []).extend(r["v"])
-    want = {}
-    for k, v in data:
-        want.setdefault(k, []).append(v)
-    assert {k: sorted(v) for k, v in together.items()} == {k: sorted(v) for k, v in want.items()}
-    assert sum(r["order_id"] == "hot" for r in parts) > 10
-    assert all(r["part"] == 0 for r in parts if r["order_id"] != "hot")
-
+def test_item_values_of_any_order(rows):
+    data = [("a", i % 7) for i in range(500)] + [("b", 3), ("b", None)]
+    items = rows(data, "order_id string, v int")
+    values = {(r["order_id"], r["v"]): r["repeats"] for r in rollup.item_values(items, "v").collect()}
+    assert sum(values.values()) == 502 and values["b", None] == 1 and values["a", 0] == 72
+    arrays = {r["order_id"]: r["v"] for r in rollup.item_arrays(items, "v").collect()}
+    assert arrays["a"] == sorted(i % 7 for i in range(500))
+
+
+def test_tests_on_degenerate_data(rows):
+    one = rows([("g", 1.0)], "g string, v double")
+    flat = rows([("g", 1.0), ("g", 1.0), ("h", 1.0), ("h", 1.0)], "g string, v double")
+    assert rank_tests.kruskal_wallis_p(rank_tests.kruskal_wallis(one, "v", "g")) is None
+    assert rank_tests.kruskal_wallis_p(rank_tests.kruskal_wallis(flat, "v", "g")) is None
+    assert rank_tests.welch_p(rank_tests.welch_t(flat, "v", "g", "g", "h")) is None
+    assert rank_tests.welch_p(rank_tests.welch_t(one, "v", "g", "g", "h")) is None
+    assert rank_tests.spearman_p(None, 10) is None and rank_tests.spearman_p(0.5, 2) is None
+
+
+def test_duplicate_members_with_missing_keys(rows):
+    df = rows([(None, 1), (None, 2), ("x", 3), ("x", 4), ("y", 5)], "k string, v int")
+    assert sorted(r["v"] for r in quality.duplicate_members(df, ["k"]).collect()) == [1, 2, 3, 4]
+    assert quality.duplicate_counts(df, ["k"]).first()["member_rows"] == 4
+
+
+def test_class_weight_leaves_missing_labels_out(rows):
+    df = splits.with_class_weight(rows([(1,), (None,), (1,)], "label int"))
+    assert [(r["label"], r["weight"]) for r in df.collect()] == [(1, 0.5), (1, 0.5)]
 
 def test_fan_out_counts_what_the_joins_would(rows):
     base = rows([("a",), ("b",), ("c",)], "k string")

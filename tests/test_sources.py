@@ -26,6 +26,23 @@ def test_csv_with_line_breaks_quotes_and_leading_zeros(spark, tmp_path):
     assert customers.schema == RAW_SCHEMAS["customers"]
 
 
+def test_csv_columns_by_name_and_malformed_values(spark, tmp_path):
+    (tmp_path / "sellers.csv").write_text(
+        "seller_state,extra,seller_id,seller_city,seller_zip_code_prefix\nSP,x,s1,campinas,01001\n")
+    row = readers.read_raw(spark, str(tmp_path), "sellers").first()
+    assert (row["seller_id"], row["seller_state"], row["seller_zip_code_prefix"]) == ("s1", "SP", "01001")
+    names = RAW_SCHEMAS["payments"].fieldNames()
+    values = {n: "1" for n in names} | {"payment_installments": "abc", "order_id": "o", "payment_type": "card"}
+    (tmp_path / "payments.csv").write_text(",".join(names) + "\n" + ",".join(values[n] for n in names) + "\n")
+    assert readers.read_raw(spark, str(tmp_path), "payments", malformed="null").first()["payment_installments"] is None
+    counts = {r["column"]: r["malformed"] for r in readers.malformed_counts(spark, str(tmp_path), "payments").collect()}
+    assert counts["payment_installments"] == 1 and sum(counts.values()) == 1
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        readers.read_raw(spark, str(tmp_path), "payments").collect()
+    copied = readers.convert_to_parquet(spark, str(tmp_path), str(tmp_path / "p"), "sellers")
+    assert copied.first()["seller_id"] == "s1" and copied.schema == RAW_SCHEMAS["sellers"]
+
+
 def test_parquet_nan_becomes_null(spark, tmp_path):
     path = str(tmp_path / "order_items.parquet")
     spark.createDataFrame([("o", 1, "p", "s", None, float("nan"), 2.0)],
