@@ -1,7 +1,4 @@
-"""Registered queries: model jobs over the whole analysis table.
-
-Boosting rounds are kept low here; they are a parameter of the same jobs.
-"""
+"""Registered queries: model jobs over the whole analysis table, with the declared settings."""
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,10 +9,6 @@ from parcelsight.plans.catalog.registry import Inputs, register
 from parcelsight.plans.features import AFTER_DELIVERY_FEATURES, ORDER_TIME_FEATURES
 from parcelsight.sources.sinks import stage
 
-ROUNDS = 10
-TREES = 20
-
-
 def order_time_rows(q: Inputs) -> DataFrame:
     frame = features.order_time_frame(q.items(*features.ORDER_TIME_SOURCE), q.hub)
     return models.staged_frame(frame, "order_time", portable=True)
@@ -37,6 +30,11 @@ def part(rows: DataFrame, split: str) -> DataFrame:
     return rows.where(F.col("split") == split)
 
 
+def boosted(rows: DataFrame, settings: models.TreeSettings) -> models.Boosted:
+    """A boosted classifier of the train rows; the valid rows end it."""
+    return models.fit_patient(part(rows, "train"), part(rows, "valid"), settings)
+
+
 def tuned_scores(model, rows: DataFrame, name: str) -> DataFrame:
     """Threshold chosen on valid, scores reported on test."""
     valid = models.with_probability(model, part(rows, "valid"))
@@ -65,30 +63,25 @@ def _(q: Inputs):
 @register("m5_m12_post_delivery_importance")
 def _(q: Inputs):
     rows = encoded_rows(after_delivery_rows(q), AFTER_DELIVERY_FEATURES)
-    model = models.fit_classifier(part(rows, "train"), models.boosted_classifier(
-        models.shortened(models.POST_DELIVERY, ROUNDS, depth=5)))
-    return models.feature_importance(model, rows)
+    return models.feature_importance(boosted(rows, models.POST_DELIVERY).model, rows)
 
 
 @register("m8_m9_m10_model_comparison")
 def _(q: Inputs):
     rows = encoded_rows(after_delivery_rows(q), AFTER_DELIVERY_FEATURES)
-    boosted = models.fit_classifier(part(rows, "train"), models.boosted_classifier(
-        models.shortened(models.POST_DELIVERY, ROUNDS, depth=5)))
-    forest = models.fit_classifier(part(rows, "train"), models.forest_classifier(
-        models.shortened(models.BAGGED, TREES, depth=8)))
-    stopped = models.fit_early_stopped(rows, models.shortened(
-        models.SECOND_BOOSTED, ROUNDS, depth=5))
-    return (tuned_scores(boosted, rows, "boosted trees")
-            .unionByName(tuned_scores(forest, rows, "random forest"))
-            .unionByName(tuned_scores(stopped, rows, "early-stopped boosted trees")))
+    forest = models.fit_classifier(part(rows, "train"), models.forest_classifier(models.BAGGED))
+    first, second = boosted(rows, models.POST_DELIVERY), boosted(rows, models.SECOND_BOOSTED)
+    entries = (("boosted trees", first.model, first.rounds),
+               ("random forest", forest, models.BAGGED.rounds),
+               ("second boosted trees", second.model, second.rounds))
+    tables = [tuned_scores(m, rows, name).withColumn("rounds", F.lit(n)) for name, m, n in entries]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
 @register("m11_learning_curve")
 def _(q: Inputs):
     rows = encoded_rows(order_time_rows(q), ORDER_TIME_FEATURES)
-    model = models.fit_classifier(part(rows, "train"), models.boosted_classifier(
-        models.shortened(models.ORDER_TIME, ROUNDS)))
+    model = boosted(rows, models.ORDER_TIME).model
     return models.learning_curve(model, part(rows, "train"), part(rows, "valid"))
 
 
@@ -100,8 +93,7 @@ def _(q: Inputs):
         ("order time", order_time_rows(q), ORDER_TIME_FEATURES, models.ORDER_TIME),
     ):
         coded = encoded_rows(rows, columns)
-        model = models.fit_classifier(part(coded, "train"), models.boosted_classifier(
-            models.shortened(settings, ROUNDS, depth=5)))
+        model = boosted(coded, settings).model
         entries.append((name, len(columns), tuned_scores(model, coded, name)))
         base = coded
     majority = evaluation.majority_baseline(part(base, "train"), part(base, "test"))
@@ -111,7 +103,7 @@ def _(q: Inputs):
 @register("m14_random_search")
 def _(q: Inputs):
     rows = encoded_rows(order_time_rows(q), ORDER_TIME_FEATURES)
-    estimator = models.boosted_classifier(models.shortened(models.ORDER_TIME, 5))
+    estimator = models.boosted_classifier(models.TreeSettings(5, 5))
     space = {"maxDepth": [3, 4], "stepSize": [0.1, 0.3], "minInstancesPerNode": [20, 47]}
     return search.cross_validated_search(part(rows, "train"), estimator, space, sample=2)[0]
 
@@ -120,9 +112,13 @@ def _(q: Inputs):
 def _(q: Inputs):
     rows = encoded_rows(after_delivery_rows(q), AFTER_DELIVERY_FEATURES)
     out = None
-    for name, estimator in models.score_regressors(
-            models.shortened(models.SCORE_REGRESSION, ROUNDS)).items():
-        model = estimator.fit(part(rows, "train"))
+    fits = {
+        "boosted": lambda: models.fit_patient(part(rows, "train"), part(rows, "valid"),
+                                              models.SCORE_REGRESSION, models.score_booster).model,
+        "forest": lambda: models.score_forest(models.SCORE_REGRESSION).fit(part(rows, "train")),
+    }
+    for name, fit in fits.items():
+        model = fit()
         errors = evaluation.overfit_table(
             models.clipped_prediction(model, rows), "prediction", "review_score")
         row = errors.select(F.lit(name).alias("model"), *errors.columns)
@@ -156,7 +152,7 @@ def _(q: Inputs):
     columns = ["approved_days", "dispatch_days", "delivery_days", "expected_delivery_days",
                "delay_days", "main_category", "sub_category"]
     coded = encoded_rows(rows, columns, scale=True)
-    settings = models.TreeSettings(TREES, 8)
+    settings = models.BAGGED
     two = models.fit_classifier(part(coded, "train"), models.forest_classifier(settings))
     graded = coded.withColumn("label3", features.three_class_label("review_score"))
     three = models.forest_classifier(settings, label="label3", weight=None).fit(
@@ -169,20 +165,24 @@ def _(q: Inputs):
 
 @register("m6_v9_order_time_hold_out")
 def _(q: Inputs):
-    _, scored = console.hold_out_console(order_time_rows(q), ROUNDS, TREES)
-    return console.evaluate_risk(scored)
+    rows = order_time_rows(q)
+    preprocessing, train = console.prepare_training(rows.where("split != 'test'"))
+    risk = console.train_risk(train)
+    scored = models.with_probability(
+        risk.model, models.encoded(preprocessing, part(rows, "test")), "positive_probability")
+    return console.evaluate_risk(scored).withColumn("rounds", F.lit(risk.rounds))
 
 
 @register("m7_v10_quantile_tradeoff")
 def _(q: Inputs):
     rows = order_time_rows(q)
-    fitted = console.train_models(rows.where("split != 'test'"), ROUNDS, TREES)
-    return console.evaluate_quantiles(fitted, part(rows, "test"))
+    preprocessing, train = console.prepare_training(rows.where("split != 'test'"))
+    return console.evaluate_quantiles(preprocessing, console.train_days(train), part(rows, "test"))
 
 
 @register("p5_p10_scored_hold_out")
 def _(q: Inputs):
-    _, scored = console.hold_out_console(order_time_rows(q), ROUNDS, TREES)
+    _, scored = console.hold_out_console(order_time_rows(q))
     return scoring.first_item_rows(scored).select(
         "order_id", "review_risk_probability", "predicted_delivery_days_quantile",
         "recommended_expected_days", "adjustment_days", "risk_level", "is_track_c_target",
@@ -191,7 +191,7 @@ def _(q: Inputs):
 
 @register("p7_p8_risky_orders_and_examples")
 def _(q: Inputs):
-    _, scored = console.hold_out_console(order_time_rows(q), ROUNDS, TREES)
+    _, scored = console.hold_out_console(order_time_rows(q))
     rows = stage(scored.drop("actions"), "scored")
     ranked = scoring.high_risk_orders(rows, 50)
     examples = scoring.top_rows(rows, 20)
@@ -208,7 +208,7 @@ def _(q: Inputs):
     items = stage(q.items(*features.ORDER_TIME_SOURCE), "what_if")
     rows = models.staged_frame(features.order_time_frame(items, q.hub), "what_if_rows",
                                portable=True)
-    fitted = console.train_models(rows.where("split != 'test'"), ROUNDS, TREES)
+    fitted = console.train_models(rows.where("split != 'test'"))
     longer = features.with_overrides(
         items, expected_delivery_days=F.col("expected_delivery_days") + 7)
     out = None

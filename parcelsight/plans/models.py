@@ -8,7 +8,7 @@ Fitting reads its input several times, so callers stage the feature frame first
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -39,8 +39,7 @@ class TreeSettings:
     column_share: str = "all"
 
 
-# Settings found for each model. Boosting rounds are a job
-# parameter; rate and depth belong together with them.
+# Settings found for each model.
 POST_DELIVERY = TreeSettings(800, 7, 0.014883605700319194, 47, "0.6218455076693483")
 ORDER_TIME = TreeSettings(800, 5, 0.011153121252070788, 47, "0.5028265220878869")
 BAGGED = TreeSettings(300, 10)
@@ -49,11 +48,8 @@ DELIVERY_DAYS = TreeSettings(700, 6, 0.03, 40)
 SCORE_REGRESSION = TreeSettings(1300, 4, 0.03078, 20, "0.60638")
 
 
-def shortened(settings: TreeSettings, rounds: int, depth: int | None = None) -> TreeSettings:
-    """The same model with fewer rounds and a rate that makes up for it (at most 0.3)."""
-    rate = min(0.3, settings.rate * settings.rounds / rounds)
-    return TreeSettings(rounds, depth or settings.depth, rate, settings.min_rows,
-                        settings.column_share)
+# Rounds without a better validation loss after which boosting ends, and the first length tried.
+PATIENCE, FIRST_ROUNDS = 30, 50
 
 
 def staged_frame(frame: DataFrame, label: str, portable: bool = False) -> DataFrame:
@@ -141,7 +137,7 @@ def boosted_classifier(settings: TreeSettings, **extra) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=settings.rounds,
         maxDepth=settings.depth, stepSize=settings.rate, minInstancesPerNode=settings.min_rows,
-        featureSubsetStrategy=settings.column_share, seed=SEED, **extra)
+        featureSubsetStrategy=settings.column_share, seed=SEED, checkpointInterval=20, **extra)
 
 
 def forest_classifier(settings: TreeSettings, label: str = "label",
@@ -164,13 +160,40 @@ def fit_classifier(train: DataFrame, estimator):
     return estimator.fit(with_class_weight(train))
 
 
-def fit_early_stopped(rows: DataFrame, settings: TreeSettings, tolerance: float = 0.001):
-    """Boosting that stops once the validation rows no longer improve."""
-    weighted = with_class_weight(rows.where("split IN ('train', 'valid')")).withColumn(
-        "is_valid", F.col("split") == "valid")
-    estimator = boosted_classifier(settings, validationIndicatorCol="is_valid",
-                                   validationTol=tolerance)
-    return estimator.fit(weighted)
+@dataclass(frozen=True)
+class Boosted:
+    """A boosted model, the round that the validation rows chose, and their loss after each round."""
+
+    model: object
+    rounds: int
+    losses: list[float]
+
+
+def fit_patient(train: DataFrame, valid: DataFrame, settings: TreeSettings, build=None,
+                patience: int = PATIENCE, first: int = FIRST_ROUNDS) -> Boosted:
+    """Boosting with the declared settings that ends once the validation loss says so.
+
+    A fit with the same seed and more rounds begins with the same trees, so ever longer fits (50, 100,
+    200 rounds and so on, up to the declared number) are tried until ``patience`` rounds have passed
+    without a better loss; the model is the fit of the best round. The loss is the class-balanced one for
+    classifiers.
+    """
+    build = build or boosted_classifier
+    balanced = build is boosted_classifier
+    train, valid = (with_class_weight(x) if balanced else x for x in (train, valid))
+    loss = (lambda m: m.evaluateEachIteration(valid)) if balanced else (
+        lambda m: m.evaluateEachIteration(valid, "squared"))
+    rounds = min(first, settings.rounds)
+    while True:
+        model = build(replace(settings, rounds=rounds)).fit(train)
+        losses = list(map(float, loss(model)))
+        best = min(range(len(losses)), key=losses.__getitem__) + 1
+        if rounds - best >= patience or rounds == settings.rounds:
+            break
+        rounds = min(2 * rounds, settings.rounds)
+    if best < rounds:
+        model = build(replace(settings, rounds=best)).fit(train)
+    return Boosted(model, best, losses)
 
 
 def learning_curve(model, train: DataFrame, valid: DataFrame) -> DataFrame:
@@ -198,18 +221,20 @@ def feature_importance(model, frame: DataFrame) -> DataFrame:
         rows, "rank int, feature string, importance double")
 
 
-def score_regressors(settings: TreeSettings) -> dict:
-    """The two regressors of the review score itself."""
-    return {
-        "boosted": GBTRegressor(
-            featuresCol="features", labelCol="review_score", maxIter=settings.rounds,
-            maxDepth=settings.depth, stepSize=settings.rate,
-            minInstancesPerNode=settings.min_rows, featureSubsetStrategy=settings.column_share,
-            subsamplingRate=0.8733, seed=SEED),
-        "forest": RandomForestRegressor(
-            featuresCol="features", labelCol="review_score", numTrees=settings.rounds,
-            maxDepth=settings.depth, minInstancesPerNode=settings.min_rows, seed=SEED),
-    }
+def score_booster(settings: TreeSettings) -> GBTRegressor:
+    """The boosted regressor of the review score itself."""
+    return GBTRegressor(
+        featuresCol="features", labelCol="review_score", maxIter=settings.rounds,
+        maxDepth=settings.depth, stepSize=settings.rate, minInstancesPerNode=settings.min_rows,
+        featureSubsetStrategy=settings.column_share, subsamplingRate=0.8733, seed=SEED,
+        checkpointInterval=20)
+
+
+def score_forest(settings: TreeSettings) -> RandomForestRegressor:
+    """The bagged regressor of the review score itself."""
+    return RandomForestRegressor(
+        featuresCol="features", labelCol="review_score", numTrees=settings.rounds,
+        maxDepth=settings.depth, minInstancesPerNode=settings.min_rows, seed=SEED)
 
 
 def clipped_prediction(model, frame: DataFrame) -> DataFrame:

@@ -44,7 +44,8 @@ def frame(spark):
 
 @pytest.fixture(scope="module")
 def fitted_and_scored(frame):
-    fitted, scored = console.hold_out_console(frame, rounds=3, trees=4)
+    fitted, scored = console.hold_out_console(
+        frame, models.TreeSettings(6, 3, 0.3), models.TreeSettings(4, 6, 0.1, 5))
     return fitted, stage(scored, "test_scored")
 
 
@@ -111,7 +112,9 @@ def test_decisions_follow_from_the_scores(fitted_and_scored):
 
 def test_late_rate_falls_with_the_quantile(frame, fitted_and_scored):
     fitted, _ = fitted_and_scored
-    rows = console.evaluate_quantiles(fitted, frame.where("split = 'test'")).collect()
+    rows = console.evaluate_quantiles(
+        fitted.preprocessing, fitted.days, frame.where("split = 'test'")).collect()
+    assert all(r["delivered_share"] >= r["quantile"] - 0.1 for r in rows)
     rates = [r["recommended_any_delay_rate"] for r in rows]
     assert rates == sorted(rates, reverse=True)
     assert rows[0]["current_any_delay_rate"] >= rates[0]
@@ -141,15 +144,38 @@ def test_stream_scores_like_the_batch(spark, frame, fitted_and_scored, tmp_path)
 
 
 def test_replayed_alerts_come_out_once(spark, tmp_path):
-    day = "timestamp'2024-01-01 00:00:00'"
+    """The same alerts for any number of files in a batch, also for an order that is days late."""
+    day = "timestamp'2024-01-10 00:00:00'"
     landing = str(tmp_path / "alerts")
     batch = spark.range(20).selectExpr("id AS order_id", f"{day} + make_interval(0,0,0,0,id) AS ts")
-    for _ in range(3):
+    for _ in range(2):
         batch.coalesce(1).write.mode("append").parquet(landing)
-    stream = stream_scoring.arriving_rows(spark, landing, batch.schema, files_per_batch=1)
-    out = stream_scoring.drain(stream_scoring.alerts_once(stream, replay_window="2 days"),
-                               str(tmp_path / "out"), str(tmp_path / "state"))
-    assert sorted(r["order_id"] for r in out.collect()) == list(range(20))
+    late = spark.range(30, 31).selectExpr("id AS order_id", f"{day} - make_interval(0,0,0,5) AS ts")
+    late.coalesce(1).write.mode("append").parquet(landing)
+    for files in (1, 2, None):
+        stream = stream_scoring.arriving_rows(spark, landing, batch.schema, files_per_batch=files)
+        out = stream_scoring.drain_alerts(stream, str(tmp_path / f"out{files}"), str(tmp_path / f"state{files}"))
+        assert sorted(r["order_id"] for r in out.collect()) == [*range(20), 30]
+    # a batch that is written once more changes nothing
+    stream_scoring.write_new_alerts(batch.where("order_id < 5"), 0, str(tmp_path / "again"))
+    for _ in range(2):
+        stream_scoring.write_new_alerts(batch, 1, str(tmp_path / "again"))
+    assert spark.read.parquet(str(tmp_path / "again")).count() == 20
+
+
+def test_boosting_ends_by_the_validation_loss(frame):
+    rows = stage(models.encoded(models.fit_preprocessing(frame, ["distance_km"]), frame), "test_patience")
+    fit = models.fit_patient(rows.where("split = 'train'"), rows.where("split = 'valid'"),
+                             models.TreeSettings(40, 3, 0.5), patience=4, first=5)
+    assert fit.rounds == min(range(len(fit.losses)), key=fit.losses.__getitem__) + 1
+    assert fit.model.getNumTrees == fit.rounds
+    assert len(fit.losses) == 40 or len(fit.losses) - fit.rounds >= 4
+
+
+def test_leaf_table_is_in_no_row(frame, fitted_and_scored):
+    fitted, _ = fitted_and_scored
+    plan = fitted.days.predict(models.encoded(fitted.preprocessing, frame))._jdf.queryExecution().toString()
+    assert "array<array<array<double>>>" not in plan and "scalar" not in plan
 
 
 def test_search_and_importance(frame):
