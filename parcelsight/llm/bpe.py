@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The byte alphabet of byte-level vocabularies keeps printable bytes as they are.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Words that a worker remembers before it starts anew, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+CACHE_WORDS, CACHE_LENGTH = 700_000, 48
 _ROOT = 0
 
 
@@ -39,7 +39,7 @@ class Automaton:
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
-        self.alphabet = byte_alphabet()
+        self.symbols = dict(enumerate(byte_alphabet()))
         steps = spec["normalizer"]["normalizers"]
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("unknown normaliser")
@@ -70,7 +70,17 @@ class Automaton:
             self.made.append(step)
             self.target[a] = len(self.origin) - 1
             self.born[joined], self.left[joined] = step, a
-        self.longest = max((len(t) for t in ids), default=1)
+        # beginnings of tokens, with the token's id or -1, and the tokens that end a word
+        self.begins: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
+        for text, token in ids.items():
+            if self.end and text.endswith(self.end):
+                self.ends[text.removesuffix(self.end)] = token
+                continue
+            self.begins[text] = token
+            for k in range(1, len(text)):
+                self.begins.setdefault(text[:k], -1)
+        self.longest = max(map(len, self.ends), default=0)
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the state has an arc for the token."""
@@ -96,51 +106,50 @@ class Automaton:
 
     def word(self, text: str) -> list[int]:
         """Token ids of one pre-split word."""
-        symbols = [self.alphabet[b] for b in text.encode()]
-        if not symbols:
+        joined = text.encode().decode("latin-1").translate(self.symbols)
+        n = len(joined)
+        if not n:
             return []
-        last = len(symbols) - 1
-        joined, end, ids = "".join(symbols), self.end, self.ids
-        target, has_arc, table = self.target, self.has_arc, self.table
-        states, back = [_ROOT], [(0, -1)]
-        for to in range(1, last + 2):
-            tail = end if to == last + 1 else ""
-            for start in range(to - 1, max(-1, to - self.longest - 1), -1):
-                state = states[start]
-                if state is None:
-                    continue
-                token = ids.get(joined[start:to] + tail)
-                if token is not None:
+        target, has_arc, table, begins, ends = self.target, self.has_arc, self.table, self.begins, self.ends
+        states, back = [None] * (n + 1), [(0, -1)] * (n + 1)
+        states[0] = _ROOT
+        for start in range(n):
+            state = states[start]
+            if state is None:
+                continue
+            for to in range(start + 1, n + (not self.end)):
+                token = begins.get(joined[start:to])
+                if token is None:
+                    break
+                if token >= 0 and states[to] is None:
                     arc = table.get((state, token))
                     if arc or arc is None and has_arc(state, token):
-                        states.append(target.get(token, _ROOT))
-                        back.append((start, token))
-                        break
-            else:
-                states.append(None)
-                back.append((to - 1, -1))
-        out, at = [], last + 1
+                        states[to], back[to] = target.get(token, _ROOT), (start, token)
+            if n - start <= self.longest and states[n] is None:
+                token = ends.get(joined[start:])
+                if token is not None and has_arc(state, token):
+                    states[n], back[n] = target.get(token, _ROOT), (start, token)
+        out, at = [], n
         while at > 0:
             at, token = back[at]
-            if token >= 0:
-                out.append(token)
+            out.append(token)
         return out[::-1]
 
     def words(self, text: str) -> list[str]:
-        plain = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        return self.parts.findall("".join(lower(c) for c in plain) if "İ" in plain or "Σ" in plain
-                                  else plain.lower())
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        low = text.lower() if "\u0130" not in text and "\u03a3" not in text else "".join(map(str.lower, text))
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and low[-1] in ".,;:!?":
+            return [low[:-1], low[-1]]
+        return self.parts.findall(self.space.sub(" ", low))
 
     def arcs_text(self, tokens: list[int]) -> str:
         """The texts of a token sequence's arcs, joined by a space as a decoder without rules does."""
         return " ".join(map(self._texts.__getitem__, tokens))
 
 
-def lower(c: str) -> str:
-    """Lower case of one character by itself, without the context of its word."""
-    return c.lower()
-
-
 _loaded: dict[str, Automaton] = {}
 
 
@@ -158,9 +167,20 @@ def encoder(machine: Automaton):
     two of them is encoded once and remembered.
     """
     known: dict[str, tuple[int, str, str]] = {}
+    spelled: dict[str, list[int]] = {}
+
+    def word(text: str) -> list[int]:
+        tokens = spelled.get(text)
+        if tokens is None:
+            tokens = machine.word(text)
+            if len(text) <= CACHE_LENGTH:
+                if len(spelled) >= CACHE_WORDS // 2:
+                    spelled.clear()
+                spelled[text] = tokens
+        return tokens
 
     def learn(chunk: str) -> tuple[int, str, str]:
-        tokens = [t for w in machine.words(chunk) for t in machine.word(w)]
+        tokens = [t for w in machine.words(chunk) for t in word(w)]
         return len(tokens), " ".join(map(str, tokens)), machine.arcs_text(tokens)
 
     def run(text: str) -> list[tuple[int, str, str]]:
