@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 #: The byte alphabet of byte-level vocabularies keeps printable bytes as they are.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -57,9 +57,9 @@ class Automaton:
         self.target: dict[int, int] = {}  # the state behind a token's arcs
         self.born: dict[int, int] = {}  # the merge that joined a token
         self.left: dict[int, int] = {}
-        self.table: dict[tuple[int, int], bool] = {}
-        for step, pair in enumerate(merges):
-            u, v = pair.split(" ") if isinstance(pair, str) else pair
+        self.table: dict[int, bool] = {}  # by state and token
+        pairs = [tuple(pair.split(" ")) if isinstance(pair, str) else tuple(pair) for pair in merges]
+        for step, (u, v) in enumerate(pairs):
             a, b, joined = ids[u], ids[v], ids[u + v]
             before = self.target.get(a, _ROOT)
             if joined in self.born or not self.has_arc(before, b):
@@ -70,10 +70,14 @@ class Automaton:
             self.made.append(step)
             self.target[a] = len(self.origin) - 1
             self.born[joined], self.left[joined] = step, a
-        # beginnings of tokens, with the token's id or -1, and the tokens that end a word
+        # beginnings of tokens, with the token's id or -1, and the tokens that end a word; tokens whose
+        # merges no word can reach have no arcs
+        unreached = {u + v for u, v in pairs} - {t for t, i in ids.items() if i in self.born}
         self.begins: dict[str, int] = {}
         self.ends: dict[str, int] = {}
         for text, token in ids.items():
+            if text in unreached:
+                continue
             if self.end and text.endswith(self.end):
                 self.ends[text.removesuffix(self.end)] = token
                 continue
@@ -84,7 +88,7 @@ class Automaton:
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the state has an arc for the token."""
-        key = (state, token)
+        key = state << 17 | token
         found = self.table.get(key)
         if found is None:
             while True:
@@ -110,30 +114,42 @@ class Automaton:
         n = len(joined)
         if not n:
             return []
-        target, has_arc, table, begins, ends = self.target, self.has_arc, self.table, self.begins, self.ends
-        states, back = [None] * (n + 1), [(0, -1)] * (n + 1)
-        states[0] = _ROOT
-        for start in range(n):
-            state = states[start]
-            if state is None:
-                continue
-            for to in range(start + 1, n + (not self.end)):
-                token = begins.get(joined[start:to])
+        table, has_arc, begins, ends, longest = self.table, self.has_arc, self.begins, self.ends, self.longest
+        # The automaton accepts one sequence only, so that the longest arc may be tried first; a place that
+        # leads nowhere leads nowhere by any way, as one way at most leads there.
+        out, open_, dead, at, state = [], [], set(), 0, _ROOT
+        stop = n + (not self.end)
+        while True:
+            arcs = []
+            for to in range(at + 1, stop):
+                token = begins.get(joined[at:to])
                 if token is None:
                     break
-                if token >= 0 and states[to] is None:
-                    arc = table.get((state, token))
+                if token >= 0:
+                    arcs.append((to, token))
+            if n - at <= longest:
+                token = ends.get(joined[at:])
+                if token is not None:
+                    arcs.append((n, token))
+            while True:
+                while arcs:
+                    to, token = arcs.pop()
+                    if to in dead:
+                        continue
+                    arc = table.get(state << 17 | token)
                     if arc or arc is None and has_arc(state, token):
-                        states[to], back[to] = target.get(token, _ROOT), (start, token)
-            if n - start <= self.longest and states[n] is None:
-                token = ends.get(joined[start:])
-                if token is not None and has_arc(state, token):
-                    states[n], back[n] = target.get(token, _ROOT), (start, token)
-        out, at = [], n
-        while at > 0:
-            at, token = back[at]
+                        break
+                else:
+                    dead.add(at)
+                    at, state, arcs = open_.pop()
+                    out.pop()
+                    continue
+                break
             out.append(token)
-        return out[::-1]
+            if to == n:
+                return out
+            open_.append((at, state, arcs))
+            at, state = to, self.target.get(token, _ROOT)
 
     def words(self, text: str) -> list[str]:
         if not text.isascii():
@@ -210,32 +226,37 @@ def encoder(machine: Automaton):
     return encode
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer_file: str, *, digests: bool = False) -> DataFrame:
+#: What a round trip can return of a text.
+_RESULTS = {
+    "n_tokens": ("long", pa.int64(), lambda r: r[0]),
+    "token_ids": ("string", pa.string(), lambda r: r[1]),
+    "decoded": ("string", pa.string(), lambda r: r[2]),
+    "ids_sha256": ("string", pa.string(), lambda r: hashlib.sha256(r[1].encode()).hexdigest()),
+    "decoded_sha256": ("string", pa.string(), lambda r: hashlib.sha256(r[2].encode()).hexdigest()),
+}
+
+
+def bpe_round_trip(docs: DataFrame, tokenizer_file: str,
+                   results: tuple[str, ...] = ("n_tokens", "token_ids", "decoded")) -> DataFrame:
     """Encode each whole text with the merges of a tokenizer file and decode the ids again.
 
-    Returns the columns of ``docs`` but text, then n_tokens, token_ids (decimal, joined by a space) and
-    decoded; with ``digests`` ids_sha256 and decoded_sha256 take the place of the two texts. A null or
-    empty text has no tokens and decodes to an empty text. Rows are independent: ties and repeated rows
-    need no rule, and an empty table gives an empty result. Columns of ``docs`` that share a name with a
-    result column give way to it. The file is read on the driver (it is of fixed size) and sent along.
+    Returns the columns of ``docs`` but text, then ``results``: n_tokens, token_ids (decimal, joined by a
+    space), decoded, and the digests ids_sha256 and decoded_sha256 of the last two. A null or empty text has
+    no tokens and decodes to an empty text. Rows are independent: ties and repeated rows need no rule, and an
+    empty table gives an empty result. Columns of ``docs`` that share a name with a result give way to it.
+    The file is read on the driver (it is of fixed size) and sent along.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
-        raw = f.read()
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(raw)
-    own = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "token_ids", "decoded"]
-    keep = [c for c in docs.columns if c != "text" and c not in own]
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    keep = [c for c in docs.columns if c != "text" and c not in results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(automaton(shared.value))
         for batch in batches:
             rows = [encode(t or "") for t in batch.column("text").to_pylist()]
-            show = (lambda s: hashlib.sha256(s.encode()).hexdigest()) if digests else (lambda s: s)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array([r[0] for r in rows], pa.int64()),
-                 pa.array([show(r[1]) for r in rows], pa.string()),
-                 pa.array([show(r[2]) for r in rows], pa.string())], names=[*keep, *own])
+            made = [pa.array([_RESULTS[c][2](r) for r in rows], _RESULTS[c][1]) for c in results]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *results])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
-    schema = ", ".join([*kinds, "n_tokens long", f"{own[1]} string", f"{own[2]} string"])
+    schema = ", ".join([*kinds, *(f"{c} {_RESULTS[c][0]}" for c in results)])
     return docs.select(*keep, "text").mapInArrow(run, schema)

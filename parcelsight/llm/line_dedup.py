@@ -141,7 +141,7 @@ def _probe_rows(shards: int):
                 keys, shard = keys[order], shard[order]
                 cuts = np.flatnonzero(np.diff(shard, prepend=-1))
                 rows += [(int(shard[a]), int(block), keys[a:b].astype("<u8").tobytes())
-                         for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True)]
+                         for a, b in zip(cuts, np.append(cuts, len(keys))[1:], strict=True)]
             yield pa.RecordBatch.from_pylist(
                 [{"shard": s, "block": b, "hashes": h} for s, b, h in rows],
                 schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary())]))

@@ -82,7 +82,7 @@ def _blocks(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """
     blocks = sized.groupBy("source_key", "block").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source_key").orderBy(F.xxhash64("source_key", "block", F.lit(seed)), "block")
-    passes = F.floor(F.col("target") / F.col("source_size"))
+    passes = F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")))
     over = F.col("target") - F.col("passes") * F.col("source_size")
     return (blocks.join(sources, "source_key")
             .withColumn("place", F.row_number().over(order) - 1)
@@ -163,7 +163,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTA
     An empty table gives an empty mix.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    sized = stage(docs.select("doc_id", _key(F.col("source")).alias("source_key"), size.alias("size"))
+    sized = stage(docs.select("doc_id", F.xxhash64("text").alias("mark"),
+                              _key(F.col("source")).alias("source_key"), size.alias("size"))
                   .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SOURCE_BLOCKS))),
                   "mix-sizes")
     sources = stage(source_targets(sized, weights, share, most), "mix-sources")
@@ -198,7 +199,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTA
     sure = per_doc.filter(~partly).withColumn("more", F.col("rest").isNotNull())
     times = F.col("whole") + F.when(F.col("more"), 1).otherwise(0)
     taken = sure.unionByName(cut).select(
-        "doc_id", "source_key", "block", "size", "source_size", "target",
+        "doc_id", "mark", "source_key", "block", "size", "source_size", "target",
         F.when(F.col("size") > 0, times).otherwise(0).cast("long").alias("times"), "shards")
     return Mix(sized, sources, units, taken)
 
@@ -206,22 +207,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTA
 def mixed_rows(docs: DataFrame, plan: Mix, seed: int = 17) -> DataFrame:
     """The mix itself: the columns of ``docs`` in a row for each time that a document is taken, then shard.
 
-    Rows are sorted within their shard by a hash, which is the local shuffle. Documents taken no time are
-    left out. Equal rows that share an id are told apart by nothing, so the ids' times are used for each.
+    Rows are sorted within their shard by a hash, which is the local shuffle. Documents that are taken no
+    time are left out. Rows that repeat an id with the same text are told apart by nothing and are taken alike.
     """
     own = docs.columns
-    times = plan.taken.filter("times > 0").groupBy("doc_id", "source_key", "block", "size").agg(
-        F.max("times").alias("__times"))
-    text_size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    keyed = docs.withColumn("__key", _key(F.col("source"))).withColumn("__size", text_size).filter("__size > 0")
-    chosen = times.select(F.col("doc_id").alias("__id"), F.col("source_key").alias("__key"),
-                          F.col("size").alias("__size"), F.col("block").alias("__block"), "__times")
-    rows = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))
-                      & (keyed["__key"] == chosen["__key"]) & (keyed["__size"] == chosen["__size"]))
-    rows = rows.select(*(keyed[c] for c in own), keyed["__key"].alias("source_key"),
-                       F.col("__block").alias("block"),
-                       F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("turn"))
-    placed = rows.join(plan.units.drop("passes"), ["source_key", "block", "turn"], "left")
-    return (placed.withColumn("__order", F.xxhash64("doc_id", "turn", F.lit(seed)))
-            .repartition("shard").sortWithinPartitions("shard", "__order")
+    times = plan.taken.filter("times > 0").groupBy("doc_id", "mark").agg(
+        F.max(F.struct("times", "shards")).alias("x"))
+    chosen = times.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"),
+                          F.slice("x.shards", F.lit(1), F.col("x.times").cast("int")).alias("__shards"))
+    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark")))
+    placed = rows.select(*(F.col(f"`{c}`") for c in own), F.posexplode("__shards").alias("__turn", "shard"))
+    return (placed.repartition("shard")
+            .sortWithinPartitions("shard", F.xxhash64("doc_id", "__turn", F.lit(seed)))
             .select(*own, "shard"))

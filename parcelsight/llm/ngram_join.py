@@ -87,7 +87,7 @@ def _post(buckets: int, words: int):
         tokens, ids = tokens[starts], np.where(times > 1, -times, ids[starts])
         bucket = tokens // width
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(tokens) else np.zeros(0, int)
-        for a, b in zip(cuts, np.append(cuts[1:], len(tokens)), strict=True):
+        for a, b in zip(cuts, np.append(cuts, len(tokens))[1:], strict=True):
             yield int(bucket[a]), planes(np.diff(tokens[a:b], prepend=np.uint64(0))), planes(ids[a:b])
 
     def pack(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:

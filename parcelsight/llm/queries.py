@@ -47,7 +47,7 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return bpe.bpe_round_trip(docs, tokenizer_path(), digests=True)
+    return bpe.bpe_round_trip(docs, tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                            table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-_QUERIES = [op1_exact_dedup, op2_ngram_join, op3_pii, op4_mixing, op5_ann, op6_bpe, op7_toxicity, op8_line_dedup, op9_warc,
-            op10_quality]
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_QUERIES = [op1_exact_dedup, op2_ngram_join, op3_pii, op4_mixing, op5_ann, op6_bpe,
+            op7_toxicity, op8_line_dedup, op9_warc,
+            op10_quality, pipeline]
 
 OP1_SQL = r"""
 WITH d AS (
