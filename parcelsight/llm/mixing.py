@@ -93,6 +93,11 @@ def _blocks(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
             .withColumn("rest", F.when(F.col("rest") > 0, F.least("rest", "words"))))
 
 
+def _once(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _hypergeometric(wins: Column, total: Column, draws: Column, u: Column) -> Column:
     """The u-quantile of the wins among ``draws`` draws without replacement from ``total``.
 
@@ -114,9 +119,9 @@ def _hypergeometric(wins: Column, total: Column, draws: Column, u: Column) -> Co
     start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), low.cast("long").alias("at"))
     whole = F.aggregate(values, start, lambda s, x: F.struct(
         (s["p"] * following(x)).alias("p"), (s["sum"] + s["p"]).alias("sum"), s["at"].alias("at")))["sum"]
-    return F.aggregate(values, start, lambda s, x: F.struct(
+    return _once(u * whole, lambda limit: F.aggregate(values, start, lambda s, x: F.struct(
         (s["p"] * following(x)).alias("p"), (s["sum"] + s["p"]).alias("sum"),
-        F.when(s["sum"] < u * whole, x).otherwise(s["at"]).alias("at")))["at"]
+        F.when(s["sum"] < limit, x).otherwise(s["at"]).alias("at")))["at"])
 
 
 def _left_draw(level: int, seed: int):
@@ -124,8 +129,9 @@ def _left_draw(level: int, seed: int):
     def step(s: Column, quota: Column) -> Column:
         got = _hypergeometric(quota, s["left"], s["slots"],
                               _uniform(F.col("shard"), F.size(s["out"]), level, seed))
-        return F.struct((s["slots"] - got).alias("slots"), (s["left"] - quota).alias("left"),
-                        F.concat(s["out"], F.array(got)).alias("out"))
+        return _once(got, lambda g: F.struct(
+            (s["slots"] - g).alias("slots"), (s["left"] - quota).alias("left"),
+            F.concat(s["out"], F.array(g)).alias("out")))
     return step
 
 
