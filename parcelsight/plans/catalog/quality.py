@@ -1,9 +1,13 @@
 """Registered queries: sources, profiling, data quality."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parcelsight.operators import quality
 from parcelsight.plans.catalog.registry import Inputs, register
+from parcelsight.sources import readers, sinks
+from parcelsight.sources.sinks import staging_root
 
 _SIZES = " UNION ALL ".join(
     f"SELECT '{label}' AS \"table\", count(*) AS rows, {columns} AS columns FROM {source}"
@@ -20,6 +24,35 @@ def _(q: Inputs):
     return quality.table_sizes(q.tables)
 
 
+@register("s1_csv_round_trip", """
+SELECT seller_id, seller_city, seller_state FROM raw_sellers""")
+def _(q: Inputs):
+    """Sellers written as CSV with their columns in another order, and read by the header's names."""
+    folder = f"{staging_root(q.spark)}/parcelsight/s1-{uuid.uuid4().hex}"
+    sellers = q.tables.sellers
+    sellers.select(*reversed(sellers.columns)).write.option("header", True).option("escape", '"').csv(
+        f"{folder}/sellers.csv")
+    return readers.read_raw(q.spark, folder, "sellers").select(
+        F.col("seller_id").cast("long").alias("seller_id"), "seller_city", "seller_state")
+
+
+@register("s2_s3_snapshot_round_trip", """
+SELECT order_id, product_id, seller_id, order_item_id FROM raw_items""")
+def _(q: Inputs):
+    path = f"{staging_root(q.spark)}/parcelsight/s3-{uuid.uuid4().hex}"
+    sinks.write_snapshot(q.tables.order_items, path)
+    return readers.read_snapshot(q.spark, path, "s3").select(
+        "order_id", "product_id", "seller_id", "order_item_id")
+
+
+@register("s4_result_round_trip", """
+SELECT seller_state, count(*) AS sellers FROM raw_sellers GROUP BY 1""")
+def _(q: Inputs):
+    path = f"{staging_root(q.spark)}/parcelsight/s4-{uuid.uuid4().hex}"
+    sinks.write_result(q.tables.sellers.groupBy("seller_state").agg(F.count("*").alias("sellers")), path)
+    return q.spark.read.option("header", True).schema("seller_state string, sellers long").csv(path)
+
+
 _NUMERIC = ["order_item_id", "price", "freight_value"]
 
 
@@ -145,7 +178,11 @@ def _(q: Inputs):
     return missed.select("customer_id", "customer_zip_code_prefix", "customer_city")
 
 
-@register("f14_column_kinds")
+@register("f14_column_kinds", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{kind}' AS kind, count({present}) AS present FROM sale_items"""
+    for c, kind, present in (("price", "numeric", "price"), ("review_score", "numeric", "review_score"),
+                             ("delay_days_cat", "categorical", "delay_days"),
+                             ("delivery_days", "numeric", "delivery_days"))))
 def _(q: Inputs):
     items = q.items("order_id", "price", "review_score", "delay_days_cat", "delivery_days")
     numeric, other = quality.split_by_type(items, exclude=["order_id"])

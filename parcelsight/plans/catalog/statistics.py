@@ -112,7 +112,18 @@ def _(q: Inputs):
         "jb", F.round("jb", 4))
 
 
-@register("k9_normal_quantile_points")
+# Standard normal quantiles of 0.05, 0.10 to 0.95.
+_NORMAL = [-1.644854, -1.281552, -1.036433, -0.841621, -0.67449, -0.524401, -0.38532, -0.253347, -0.125661,
+           0.0, 0.125661, 0.253347, 0.38532, 0.524401, 0.67449, 0.841621, 1.036433, 1.281552, 1.644854]
+_POINTS = ", ".join(str(i / 20) for i in range(1, 20))
+
+
+@register("k9_normal_quantile_points", f"""
+, s AS (SELECT is_delayed, quantile_cont(delivery_days::DOUBLE, [{_POINTS}]) AS q FROM final_orders
+  WHERE is_delayed IS NOT NULL GROUP BY 1),
+u AS (SELECT is_delayed, unnest([{_POINTS}]::DOUBLE[]) AS p, unnest({_NORMAL}::DOUBLE[]) AS normal,
+  unnest(q) AS sample FROM s)
+SELECT is_delayed, p, normal, round(sample, 6) AS sample FROM u""")
 def _(q: Inputs):
     return rank_tests.normal_quantile_points(q.orders, "delivery_days", "is_delayed")
 
