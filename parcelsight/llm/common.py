@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelsight.sources.sinks import stage  # noqa: F401  written to the shared checkpoint folder
+from parcelsight.sources.sinks import release, stage, stage_at  # noqa: F401  in the shared checkpoint folder
 
 #: The contracts' white space: \x20 and \x09 to \x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -127,6 +127,25 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+class Scratch:
+    """Staged tables that are deleted once what was made of them is staged itself."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        staged, path = stage_at(df, label)
+        self.paths.append(path)
+        return staged
+
+    def release(self, but: int = 0) -> None:
+        """Delete the tables, all but the last ``but``."""
+        keep = len(self.paths) - but
+        for path in self.paths[:keep]:
+            release(self.spark, path)
+        self.paths = self.paths[keep:]
+
+
 _shipped: set[str] = set()
 
 

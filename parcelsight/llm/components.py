@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from parcelsight.llm.common import stage
+from parcelsight.llm.common import Scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
         return moved.filter("a != b").distinct()
 
-    links = stage(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    scratch = Scratch(edges.sparkSession)
+    links = scratch.stage(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                   .distinct(), "links")
     sum_of = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     seen = tuple(links.agg(*sum_of).first())
     while True:
-        links = stage(star(star(links, True), False), "links")
+        links = scratch.stage(star(star(links, True), False), "links")
+        scratch.release(but=1)
         now = tuple(links.agg(*sum_of).first())
         if now == seen:
             break

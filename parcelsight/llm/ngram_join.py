@@ -7,9 +7,10 @@ and it is lengthened as long as that lowers the estimated cost of its candidates
 l matches are verified, by their exact overlap.
 
 Exact copies of a set are one document in all this. Where a list of documents with one prefix shingle
-is long, blocks of it are joined first, in the same way; what they link is left out of the join that
-follows, which looks for links between different components only. So no list is expanded into all of
-its pairs, and no link between components is lost.
+is long, blocks of it are joined first, in the same way; what they link is left out of the joins that
+follow, which look for links between different components only: between the components of long lists
+in pairs of blocks, and by matches in short lists. So no long list is expanded into its pairs, and no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelsight.llm.common import mix, planes, stage, text_slices, unplanes, word_hashes
+from parcelsight.llm.common import Scratch, mix, planes, stage, text_slices, unplanes, word_hashes
 from parcelsight.llm.components import connected_components
 
 #: Words of a shingle and percent of the union that two sets share at least.
@@ -170,7 +171,10 @@ def _shared_sets(found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     counted = (found.filter("kind = 2").select("doc", "token")
                .join(found.filter("kind = 3").select("token", "a"), "token").select("doc", "token", "a"))
     pairs = found.filter("kind = 1").select("doc", "token", "a").unionByName(counted)
-    per_doc = pairs.groupBy("doc").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("a", "token")))).alias("x"))
+    per_doc = pairs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "token"))).alias("x"))
+    # rows that repeat an id have brought its pairs more than once
+    once = F.filter("x", lambda v, i: (i == 0) | (F.get("x", i - 1) != v))
+    per_doc = per_doc.select("doc", once.alias("x"))
     first = F.col("n") - _needed(F.col("n"), percent) + 1
     return (per_doc.join(reps, "doc").filter(F.col("n") - F.size("x") < first)
             .select("doc", "n", F.col("x.token").alias("tokens"), F.col("x.a").alias("dfs")))
@@ -264,18 +268,69 @@ def _block_links(sets: DataFrame, entries: DataFrame, chosen: DataFrame, percent
     return rows.groupBy("g").applyInArrow(_join_block(percent), "a long, b long")
 
 
-def _candidates(entries: DataFrame, chosen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components with enough matches; a, the smaller id, says how many.
-
-    In each list the documents of the component that most of it belongs to do not look for partners
-    themselves; the others look among all.
-    """
+def _known(entries: DataFrame, chosen: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of lists that hold several components, with c, the component, and main, the list's largest."""
     known = (entries.join(labels.withColumnRenamed("id", "doc"), "doc", "left").join(chosen, "doc")
-             .select("token", "doc", "n", "level", "l", F.coalesce("component", "doc").alias("c")))
+             .select("token", "list_size", "doc", "n", "level", "l", F.coalesce("component", "doc").alias("c")))
     main = (known.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token")
             .agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts"))
             .filter("parts > 1").select("token", "main"))
-    known = stage(known.join(main, "token"), "ngram-known")
+    return known.join(main, "token")
+
+
+def _join_sides(percent: int):
+    """Links between the two sides of a pair of blocks, one for each document and component."""
+    def run(group: pa.Table) -> pa.Table:
+        side, docs, c = (group[k].to_numpy() for k in ("side", "doc", "c"))
+        sizes, lists = group["n"].to_numpy(), group["tokens"].to_pylist()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = set()
+        if len(left) and len(right):
+            row = np.repeat(np.arange(len(docs)), [len(x) for x in lists])
+            column = np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists]), return_inverse=True)[1]
+            overlap = np.zeros((len(left), len(right)), np.int64)
+            for a in range(0, int(column.max()) + 1, 4096):
+                part = (column >= a) & (column < a + 4096)
+                held = np.zeros((len(docs), 4096), np.float32)
+                held[row[part], column[part] - a] = 1
+                overlap += (held[left] @ held[right].T).astype(np.int64)
+            union = sizes[left][:, None] + sizes[right][None, :] - overlap
+            link = (100 * overlap >= percent * union) & (c[left][:, None] != c[right][None, :])
+            out = {(docs[left[i]], c[right[j]]): docs[right[j]] for i, j in zip(*np.nonzero(link), strict=True)}
+            out = {(a, b) for (a, _), b in out.items()}
+        a, b = zip(*sorted(out), strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def _family_links(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a long list, found in pairs of blocks.
+
+    Long lists with the same main component are one family: their documents outside of it, in blocks, meet all
+    documents of the family, in blocks. A pair is looked at once, whatever the number of lists it shares,
+    and only links leave a task.
+    """
+    members = (known.filter(F.col("list_size") >= LONG_LIST).groupBy("main", "doc")
+               .agg(F.first("c").alias("c")).withColumn("probe", F.col("c") != F.col("main")))
+    sizes = members.groupBy("main").agg(F.ceil(F.count_if("probe") / BLOCK).cast("long").alias("x"),
+                                        F.ceil(F.count("*") / BLOCK).cast("long").alias("y"))
+    dealt = members.join(sizes, "main").filter("x > 0")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("doc"), F.col(c))
+    columns = ("main", "doc", "c")
+    probes = dealt.filter("probe").select(*columns, F.lit(0).alias("side"), own("x").alias("i"), upto("y").alias("j"))
+    others = dealt.select(*columns, F.lit(1).alias("side"), own("y").alias("j"), upto("x").alias("i"))
+    rows = probes.unionByName(others).join(sets.select("doc", "n", "tokens"), "doc")
+    return rows.groupBy("main", "i", "j").applyInArrow(_join_sides(percent), "a long, b long")
+
+
+def _candidates(known: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components with enough matches in short lists; a, the smaller id, says how many.
+
+    In each list the documents of the component that most of it belongs to do not look for partners
+    themselves; the others look among all. Pairs that share a long list need no candidate here.
+    """
+    known = known.filter(F.col("list_size") < LONG_LIST)
     x = known.filter("c != main").select(F.col("token").alias("x_token"), *(F.col(k).alias(f"x_{k}") for k in ("doc", "n", "level", "l", "c")))
     y = known.select(F.col("token").alias("y_token"), "main", *(F.col(k).alias(f"y_{k}") for k in ("doc", "n", "level", "l", "c")))
     small = F.col("x_doc") < F.col("y_doc")
@@ -313,20 +368,24 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     # ids are moved by a constant so that a negative number stays free for counts
     shifted = source.withColumn("doc_id", F.col("doc_id") + F.lit(1 << 62))
     buckets = BUCKETS * max(1, source.rdd.getNumPartitions())
-    found = stage(shifted.mapInArrow(_post(buckets, words), _POSTED)
+    scratch = Scratch(spark)
+    found = scratch.stage(shifted.mapInArrow(_post(buckets, words), _POSTED)
                   .groupBy("bucket").applyInArrow(_gather, _FOUND), "ngram-found")
-    signs = found.filter("kind = 0").select("doc", F.col("token").alias("n"), "a", "b")
+    signs = stage(found.filter("kind = 0").select("doc", F.col("token").alias("n"), "a", "b"), "ngram-signatures")
     classes = signs.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc"), "n")
-    sets = stage(_shared_sets(found, reps, percent), "ngram-sets")
+    sets = scratch.stage(_shared_sets(found, reps, percent), "ngram-sets")
+    scratch.release(but=1)
     entries = _entries(sets, percent)
     lists = entries.groupBy("token").agg(F.count("*").alias("list_size")).filter("list_size > 1")
-    entries = stage(entries.join(lists, "token"), "ngram-entries")
-    chosen = stage(_chosen_matches(entries, percent), "ngram-matches")
-    blocks = stage(_block_links(sets, entries, chosen, percent, 4 * shuffles), "ngram-blocks")
-    pairs = _candidates(entries, chosen, connected_components(blocks), percent)
-    links = blocks.unionByName(_verified(pairs, sets, percent))
-    labels = connected_components(links).withColumnRenamed("id", "rep")
+    entries = scratch.stage(entries.join(lists, "token"), "ngram-entries")
+    chosen = scratch.stage(_chosen_matches(entries, percent), "ngram-matches")
+    blocks = scratch.stage(_block_links(sets, entries, chosen, percent, 4 * shuffles), "ngram-blocks")
+    known = scratch.stage(_known(entries, chosen, connected_components(blocks)), "ngram-known")
+    links = (blocks.unionByName(_family_links(known, sets, percent))
+             .unionByName(_verified(_candidates(known, percent), sets, percent)))
+    labels = stage(connected_components(links).withColumnRenamed("id", "rep"), "ngram-labels")
+    scratch.release()
     named = classes.join(labels, "rep", "left").select(
         "n", "a", "b", F.coalesce("component", "rep").alias("component"))
     return (signs.join(named, ["n", "a", "b"], "left")
