@@ -92,6 +92,24 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[]
+    WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b
+  WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON r.doc_id = e.a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(m) AS component_id
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 OP8_SQL = r"""
 WITH l AS (
   SELECT doc_id, u.line, u.i,
@@ -124,5 +142,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_line_dedup": OP8_SQL,
+    return {"op1_exact_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op8_line_dedup": OP8_SQL,
             "op9_warc": OP9_SQL}

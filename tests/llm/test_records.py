@@ -160,7 +160,7 @@ def test_registry():
     assert set(entry.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op8_line_dedup", "op9_warc"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_ngram_join", "op8_line_dedup", "op9_warc"])
 def test_queries_against_sql(spark, sf_dir, name):
     import __spark_entry__ as entry
     from oracle_check import compare, connect
