@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 
 #: The byte alphabet of byte-level vocabularies keeps printable bytes as they are.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Words that a worker remembers before it starts anew, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 700_000, 48
+#: Words that a worker remembers of late and as many of before, the longest of them, transitions that it keeps
+#: in the table, and texts that it holds at once.
+CACHE_WORDS, CACHE_LENGTH, TABLE_SIZE, SLICE_ROWS = 120_000, 48, 400_000, 256
 _ROOT = 0
 
 
@@ -103,7 +104,7 @@ class Automaton:
                     break
                 else:
                     token = self.left[token]
-            if len(self.table) > 4_000_000:
+            if len(self.table) > TABLE_SIZE:
                 self.table.clear()
             self.table[key] = found
         return found
@@ -183,6 +184,7 @@ def encoder(machine: Automaton):
     two of them is encoded once and remembered.
     """
     known: dict[str, tuple[int, str, str]] = {}
+    before: dict[str, tuple[int, str, str]] = {}  # what was known until it got too much
     spelled: dict[str, list[int]] = {}
 
     def word(text: str) -> list[int]:
@@ -200,14 +202,13 @@ def encoder(machine: Automaton):
         return len(tokens), " ".join(map(str, tokens)), machine.arcs_text(tokens)
 
     def run(text: str) -> list[tuple[int, str, str]]:
+        nonlocal known, before
         chunks = text.replace("\n", " ").split(" ")
-        distinct = set(chunks)
-        new = [c for c in distinct if c not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = distinct
+        if len(known) > CACHE_WORDS:
+            known, before = {}, known
+        new = [c for c in set(chunks) if c not in known]
         for c in new:
-            known[c] = learn(c)
+            known[c] = before.get(c) or learn(c)
         found = [x for x in map(known.__getitem__, chunks) if x[0]]
         for c in new:
             if len(c) > CACHE_LENGTH:
@@ -253,9 +254,12 @@ def bpe_round_trip(docs: DataFrame, tokenizer_file: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(automaton(shared.value))
         for batch in batches:
-            rows = [encode(t or "") for t in batch.column("text").to_pylist()]
-            made = [pa.array([_RESULTS[c][2](r) for r in rows], _RESULTS[c][1]) for c in results]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *results])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                rows = [encode(t or "") for t in part.column("text").to_pylist()]
+                made = [pa.array([_RESULTS[c][2](r) for r in rows], _RESULTS[c][1]) for c in results]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in keep), *made], names=[*keep, *results])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
     schema = ", ".join([*kinds, *(f"{c} {_RESULTS[c][0]}" for c in results)])
