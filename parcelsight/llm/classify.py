@@ -8,16 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 from parcelsight.llm.common import held_out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of documents with a 0 or 1 label that are not held out.
-
-    A document with several label rows takes the largest label.
-    """
-    marks = (labels.filter(F.col(label).isin(0, 1) & ~held_out("doc_id"))
-             .groupBy("doc_id").agg(F.max(label).cast("int").alias("label")))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
 def sample_ids(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most about ``per_class`` rows of either class.
 
