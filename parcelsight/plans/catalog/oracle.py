@@ -7,7 +7,7 @@ only the fixed category lists are taken from the library.
 from __future__ import annotations
 
 from parcelsight.functions.categories import (
-    HISTORICAL_GROUPS, MAIN_CATEGORIES, SUB_CATEGORIES, known_categories)
+    HISTORICAL_GROUPS, MAIN_CATEGORIES, SUB_CATEGORIES)
 from parcelsight.sources.adapter import CATEGORY_CODES, category_names
 
 

@@ -16,7 +16,7 @@ from pyspark.ml.feature import (
     OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from parcelsight.functions.expressions import clip
 from parcelsight.operators import impute, quality
