@@ -18,7 +18,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Text bytes that are worked on at once; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _SPACES = np.zeros(256, bool)
 _SPACES[list(SPACE_BYTES)] = True

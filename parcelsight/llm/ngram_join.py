@@ -30,7 +30,7 @@ WORDS, PERCENT = 5, 75
 MOST_MATCHES, VERIFY_COST = 6, 20.0
 #: Text bytes whose shingles are sent together, buckets for each input partition, bits of a shingle hash
 #: that the candidate search keeps, lists that are long, and documents of a block.
-CHUNK_BYTES, BUCKETS, TOKEN_BITS, LONG_LIST, BLOCK = 8 << 20, 24, 48, 24, 200
+CHUNK_BYTES, BUCKETS, TOKEN_BITS, LONG_LIST, BLOCK = 4 << 20, 24, 48, 24, 200
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                          0x85EBCA77C2B2AE63], np.uint64)
 
