@@ -1,32 +1,39 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its terms: words and word beginnings, hashed into a fixed number of bins. The
-machine has a weight for each bin and a vector for each bin; products of vectors learn pairs of terms
-that are toxic only together, which additive weights cannot.
+machine has a weight and a vector for each bin that a fitted text has; products of vectors learn pairs
+of terms that are toxic only together, which additive weights cannot. No bin is left out for what it says
+alone, as a term of such a pair may say nothing alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from parcelsight.llm.classify import sample_ids
 from parcelsight.llm.common import held_out, stage, text_slices, word_hashes
 
-#: Bins of the term hash, bins that the machine keeps, and bytes of a word's beginning.
-BINS, KEPT_BINS, BEGINNING = 1 << 20, 4096, 5
+#: Bins of the term hash, and bytes of a word's beginning.
+BINS, BEGINNING = 1 << 20, 5
 #: Labelled rows of each class that the machine is fitted on, at most (about).
 FIT_ROWS = 8000
-FACTORS, EPOCHS, BATCH, RATE, RIDGE = 8, 30, 256, 0.02, 1e-4
+FACTORS, EPOCHS, BATCH, RATE, RIDGE, SPREAD = 8, 30, 256, 0.02, 1e-4, 0.02
+#: The steps of a bin that n texts have are (n / (n + RARE))^2 times as long: rare terms name single texts.
+RARE = 50
+#: Rows that are scored at once.
+SCORE_ROWS = 512
 
 
 @dataclass(frozen=True)
 class Machine:
-    """slot: the parameter row of each bin, -1 for bins without one."""
+    """slot: the parameter row of each bin, -1 for bins that no fitted text has."""
 
     slot: np.ndarray
     bias: float
@@ -64,9 +71,10 @@ def term_bins(column: pa.Array, slot: np.ndarray | None = None) -> tuple[np.ndar
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, bins = term_bins(batch.column("text"))
-        cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+        cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+        bins = bins.astype("<i4")
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(bins.astype(np.int32)))],
+            [batch.column("label"), pa.array([bins[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
             names=["label", "bins"])
 
 
@@ -77,66 +85,82 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     Without rows of both classes the machine has no terms, and its score is a constant below one half.
     """
     fitted = stage(sample_ids(docs, labels, label, per_class).select("label", "text")
-                   .mapInArrow(_fit_rows, "label int, bins array<int>"), "toxicity-fit")
-    sizes = {r["label"]: r["n"] for r in fitted.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    slot = np.full(BINS, -1, np.int64)
-    empty = Machine(slot, float(np.log((pos + 0.5) / (neg + 1.5))) if pos + neg else -1.0,
-                    np.zeros(1), np.zeros((1, FACTORS)))
-    if not pos or not neg:
-        return empty if not pos else Machine(slot, -1.0, empty.weights, empty.factors)
-    a, b = F.col("a"), F.col("b")
-    gap = a / pos - b / neg
-    spread = F.sqrt((a + b + 1) / F.lit(float(pos + neg) ** 2))
-    top = (fitted.select("label", F.explode("bins").alias("bin")).groupBy("bin")
-           .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-           .filter(a + b >= 5).orderBy(F.desc(F.abs(gap) / spread), "bin").limit(KEPT_BINS))
-    kept = sorted(r["bin"] for r in top.collect())
-    if not kept:
-        return empty
-    slot[kept] = np.arange(len(kept))
-    wanted = F.broadcast(fitted.sparkSession.createDataFrame([(b,) for b in kept], "bin int"))
-    rows = (fitted.withColumn("row", F.monotonically_increasing_id())
-            .select("row", "label", F.explode_outer("bins").alias("bin")).join(wanted, "bin", "left_semi")
-            .groupBy("row", "label").agg(F.sort_array(F.collect_list("bin")).alias("bins")))
-    found = rows.select("label", "bins").collect()
-    found.sort(key=lambda r: (r["label"], r["bins"]))
-    texts = [slot[np.array(r["bins"], np.int64)] for r in found]
-    y = np.array([r["label"] for r in found], float)
-    # texts without any kept term
-    for value, n in ((1, pos - int(y.sum())), (0, neg - int((1 - y).sum()))):
-        texts += [np.zeros(0, np.int64)] * n
-        y = np.append(y, np.full(n, float(value)))
-    return _train(slot, texts, y, len(kept), np.random.default_rng(seed))
-
-
-def _train(slot: np.ndarray, texts: list[np.ndarray], y: np.ndarray, n: int, rng) -> Machine:
-    """Adam on the logistic loss."""
-    bias, w, v = np.zeros(1), np.zeros(n), rng.normal(0, 0.05, (n, FACTORS))
-    params = [bias, w, v]
-    first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+                   .mapInArrow(_fit_rows, "label int, bins binary"), "toxicity-fit")
+    slot = np.full(BINS, -1, np.int32)
+    # the terms lie in a file of the driver, a partition at a time in its memory
+    with tempfile.TemporaryFile() as file:
+        marks, sizes, digests = [], [], []
+        for r in fitted.toLocalIterator():
+            file.write(r["bins"])
+            marks.append(r["label"])
+            sizes.append(len(r["bins"]) // 4)
+            digests.append(hashlib.sha256(r["bins"]).digest())
+        file.flush()
+        y, ends = np.array(marks, float), np.cumsum(sizes, dtype=np.int64)
+        pos, neg = int(y.sum()), int((1 - y).sum())
+        if not pos or not neg or not ends[-1]:
+            base = float(np.log((pos + 0.5) / (neg + 1.5))) if neg else -1.0
+            return Machine(slot, base, np.zeros(1), np.zeros((1, FACTORS)))
+        bins = np.memmap(file, "<i4", "r")
+        often = np.zeros(BINS, np.int64)
+        for at in range(0, len(bins), BINS):
+            often += np.bincount(bins[at:at + BINS], minlength=BINS)
+        seen = np.flatnonzero(often)
+        slot[seen] = np.arange(len(seen))
+        # in an order that doesn't depend on partitions
+        order = sorted(range(len(y)), key=lambda i: (marks[i], digests[i]))
+        texts = [bins[ends[i] - sizes[i]:ends[i]] for i in order]
+        return _train(slot, texts, y[order], often[seen], np.random.default_rng(seed))
+
+
+def _train(slot: np.ndarray, texts: list[np.ndarray], y: np.ndarray, often: np.ndarray, rng) -> Machine:
+    """Adam on the logistic loss; a step touches only the parameters of the bins in its texts.
+
+    texts: the distinct bins of each; often: how many texts have the bin of each parameter row.
+    """
+    bias, b1, b2 = 0.0, 0.0, 0.0
+    reach = ((often / (often + RARE)) ** 2).astype(np.float32)[:, None]
+    # a row is the vector of a bin, then its weight
+    params = np.zeros((len(often), FACTORS + 1), np.float32)
+    params[:, :FACTORS] = rng.standard_normal((len(often), FACTORS), np.float32) * SPREAD
+    params *= reach
+    first, second, t = np.zeros_like(params), np.zeros_like(params), 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
+        rate = RATE * 0.9 ** (epoch / 3)
         for at in range(0, len(order), BATCH):
             pick = order[at:at + BATCH]
             size = np.array([len(texts[i]) for i in pick])
-            row, s = np.repeat(np.arange(len(pick)), size), np.concatenate([texts[i] for i in pick])
-            vs = v[s]
-            sums = np.stack([np.bincount(row, vs[:, k], len(pick)) for k in range(FACTORS)], 1)
-            squares = np.bincount(row, (vs * vs).sum(1), len(pick))
-            z = bias[0] + np.bincount(row, w[s], len(pick)) + 0.5 * ((sums ** 2).sum(1) - squares)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
-            gv = np.zeros_like(v)
-            pull = g[row, None] * (sums[row] - vs)
-            for k in range(FACTORS):
-                gv[:, k] = np.bincount(s, pull[:, k], n)
-            grads = [np.array([g.sum()]), np.bincount(s, g[row], n) + RIDGE * w, gv + RIDGE * v]
+            row, s = np.repeat(np.arange(len(pick)), size), slot[np.concatenate([texts[i] for i in pick])]
+            p, full = params[s], np.flatnonzero(size)
+            sums = np.zeros((len(pick), FACTORS + 1), np.float32)
+            squares = np.zeros(len(pick), np.float32)
+            if len(full):
+                starts = (np.cumsum(size) - size)[full]
+                sums[full] = np.add.reduceat(p, starts)
+                squares[full] = np.add.reduceat((p[:, :FACTORS] ** 2).sum(1), starts)
+            z = bias + sums[:, FACTORS] + 0.5 * ((sums[:, :FACTORS] ** 2).sum(1) - squares)
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)).astype(np.float32)
             t += 1
-            for p, m1, m2, grad in zip(params, first, second, grads, strict=True):
-                m1 += 0.1 * (grad - m1)
-                m2 += 0.001 * (grad * grad - m2)
-                p -= RATE * (0.9 ** (epoch / 3)) * (m1 / (1 - 0.9 ** t)) / (np.sqrt(m2 / (1 - 0.999 ** t)) + 1e-8)
-    return Machine(slot, float(bias[0]), w, v)
+            step, unbias = np.float32(rate / (1 - 0.9 ** t)), np.float32(1 / (1 - 0.999 ** t))
+            total = float(g.sum())
+            b1 += 0.1 * (total - b1)
+            b2 += 0.001 * (total * total - b2)
+            bias -= float(step) * b1 / ((b2 * float(unbias)) ** 0.5 + 1e-8)
+            if not len(full):
+                continue
+            by_slot = np.argsort(s, kind="stable")
+            touched, starts = np.unique(s[by_slot], return_index=True)
+            pull = np.column_stack([g[:, None] * sums[:, :FACTORS], g])
+            grad, old = np.add.reduceat(pull[row[by_slot]], starts), params[touched]
+            grad[:, :FACTORS] -= old[:, :FACTORS] * grad[:, FACTORS:]
+            grad += RIDGE * old
+            m1, m2 = first[touched], second[touched]
+            m1 += 0.1 * (grad - m1)
+            m2 += 0.001 * (grad * grad - m2)
+            first[touched], second[touched] = m1, m2
+            params[touched] = old - reach[touched] * step * m1 / (np.sqrt(m2 * unbias) + 1e-8)
+    return Machine(slot, bias, params[:, FACTORS].copy(), params[:, :FACTORS].copy())
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
@@ -145,14 +169,16 @@ def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.5) ->
     Every whole text is scored, also null and empty ones, which have no terms and get the machine's
     base score. Columns of ``docs`` named score or predicted give way. Rows are independent.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: BINS and KEPT_BINS
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most BINS rows of parameters
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            rows, slots = term_bins(batch.column("text"), m.slot)
-            score = m.scores(rows, slots, batch.num_rows)
+            score = np.zeros(batch.num_rows)
+            for at in range(0, batch.num_rows, SCORE_ROWS):
+                part = batch.column("text").slice(at, SCORE_ROWS)
+                score[at:at + len(part)] = m.scores(*term_bins(part, m.slot), len(part))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(score),
                  pa.array((score >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])

@@ -134,6 +134,20 @@ def test_toxicity_learns_pairs_of_terms(spark, docs):
     assert accuracy(toxicity.toxicity(table, labels), marks) >= 0.95
 
 
+def test_toxicity_learns_pairs_among_many_terms(spark, docs):
+    """The four words of the pairs are as common in either class, and 6000 other words beside them."""
+    rng = random.Random(5)
+    others = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=5)) for _ in range(6000)]
+
+    def make(rng, y):
+        words = rng.choices(others, k=40)
+        words += rng.choice([("group", "fool"), ("folks", "scum")] if y else [("group", "scum"), ("folks", "fool")])
+        rng.shuffle(words)
+        return " ".join(words)
+    table, labels, marks = labelled(spark, docs, make, 1500)
+    assert accuracy(toxicity.toxicity(table, labels), marks) >= 0.95
+
+
 def test_toxicity_of_odd_tables(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     odd = docs([(1, None), (2, ""), (None, "x"), (3, "z " * 100_000)])
