@@ -26,6 +26,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 #: Characters before a span that the context labeler reads, steps of the estimation, decision limit.
 CONTEXT, STEPS, LIMIT = 40, 60, 0.5
+#: Characters of a secret from which the number of its digits says nothing.
+LONG_SECRET = 128
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,11 +38,10 @@ _DIGITS = re.compile(r"[0-9]")
 
 #: Proposals beyond the base: obfuscated addresses, local phone numbers, keys and passwords.
 _AT = re.compile(r"(?: ?[(\[]at[)\]] ?| at )", re.I)
-_DOT_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,64}(?:(?: ?[(\[]dot[)\]] ?| dot |\.)[A-Za-z0-9-]{1,64})+", re.I)
-_TAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
+_DOT_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?: ?[(\[]dot[)\]] ?| dot |\.)[A-Za-z0-9-]++)+", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_ASSIGNED = re.compile(r"(?<=[=:])[ \"']{0,2}([^\s\"'=]{8,128})")
-_KEY = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32,128})(?![A-Za-z0-9])")
+_ASSIGNED = re.compile(r"(?<=[=:])[ \"']{0,2}([^\s\"'=]{8,}+)")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32,}+)(?![A-Za-z0-9])")
 
 #: Word lists of the labelers.
 _HOSTS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "co")
@@ -101,21 +102,29 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             low = True
     if low:
         for m in _AT.finditer(text):
-            before = _TAIL.search(text, max(0, m.start() - 64), m.start())
+            before = m.start()  # no run of local characters reaches over a match, so none is walked over twice
+            while before and text[before - 1] in _LOCAL:
+                before -= 1
             behind = _DOT_DOMAIN.match(text, m.end())
-            if before and behind and not (m[0] == " at " and " dot " not in behind[0].lower()):
-                more.append(("email", before.start(), behind.end()))
+            if before < m.start() and behind and not (m[0] == " at " and " dot " not in behind[0].lower()):
+                more.append(("email", before, behind.end()))
     if _DIGITS.search(text):
         more += [("phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
         more += [("card", m.start(), m.end()) for m in _CARD.finditer(text)
                  if m.end() - m.start() >= 13 and 13 <= len(re.sub("[ -]", "", m[0])) <= 19]
     more += [("secret", m.start(), m.end()) for m in _KEY.finditer(text)]
-    if "=" in text or ":" in text:
-        more += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)
     out: list[tuple[str, int, int]] = []
     starts = [s for s, _ in taken]
     ends_before = np.maximum.accumulate([e for _, e in taken]) if taken else []
+    if "=" in text or ":" in text:
+        for m in _ASSIGNED.finditer(text):
+            start, end = m.span(1)
+            k = bisect_left(starts, start)
+            if end - start > LONG_SECRET and k < len(starts) and starts[k] < end:
+                end = starts[k]  # what comes before a base span in a long run
+            if end - start >= 8:
+                more.append(("secret", start, end))
     last = -1
     for kind, start, end in sorted(more, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
         k = bisect_left(starts, end)
@@ -152,7 +161,7 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     else:
         shape = int(bool(_KEY.fullmatch(span)))
         listed = int(span.startswith(_KEY_HEADS)) or 2
-        count = int(digits >= 2)
+        count = int(digits >= 2) if len(span) <= LONG_SECRET else 2
         mixed = int(digits > 0 and any(c.isalpha() for c in span) and len(set(span)) >= 8)
     return shape, listed, context, count, mixed
 

@@ -84,6 +84,17 @@ def test_base_spans():
     assert pii.base_spans("a" * 200_000 + "@") == [] and pii.base_spans("1" * 200_000) == []
 
 
+def test_proposals_are_whole():
+    token = "eyJhbGciOiJIUzI1NiJ9." + "aB3_" * 100
+    for text, kind, span in ((f"token={token} end", "secret", token), (f"x {'0a1b' * 50} y", "secret", "0a1b" * 50),
+                             (f"token:{token},bob@x.org", "secret", token + ","),
+                             (f"mail {'bob.' * 40}b (at) x (dot) org", "email", f"{'bob.' * 40}b (at) x (dot) org")):
+        found = [text[s:e] for k, s, e in pii.proposals(text, pii.base_spans(text)) if k == kind]
+        assert found == [span]
+    for text in ("0a" * 100_000 + "z", "a" * 200_000 + " at ", "a:" * 100_000, "a(at)" * 50_000):
+        pii.proposals(text, [])
+
+
 def test_personal_data(docs):
     rows = [(1, "mail bob@x.org or +1 (555) 555-1234, ip 10.0.0.1, card 4111 1111 1111 1111"), (2, None), (3, ""),
             (4, "ÄÖ 😀 bob@x.org"), (None, "token = \"3f95017526fc608ad71587f8ea5418b66ff2e6d3\""), (4, "ÄÖ 😀 bob@x.org")]
