@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelsight.llm import ann, bpe, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, toxicity, warc
+from parcelsight.llm import (
+    ann, bpe, divergence, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, runs, toxicity, vector_dedup, warc)
 from parcelsight.llm.common import ship, table
 from parcelsight.session import configure
 
@@ -71,6 +73,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                            table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_dedup(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's texts: one of ten goes on with the same words over and over from some word on."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return (words[:a] + words[a:a + p] * ((n - a) // p + 1))[:n]
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = runs.periodic_runs(docs, _repeat_tail, "doc_id")
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"),
+                        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return best.select("doc_id", "n_runs", "best.start", (-F.col("best.shorter")).alias("length"), "best.period",
+                       F.expr("-1000 * best.shorter div best.period").alias("exponent_milli"),
+                       "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = [op1_exact_dedup, op2_ngram_join, op3_pii, op4_mixing, op5_ann, op6_bpe,
             op7_toxicity, op8_line_dedup, op9_warc,
-            op10_quality, pipeline]
+            op10_quality, op11_divergence, op12_vector_dedup, op13_runs, pipeline]
 
 OP1_SQL = r"""
 WITH d AS (
@@ -133,6 +167,43 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT d, lang, source,
+    unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY ALL),
+g AS (SELECT lang, source, any_value(c.n) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (
+    SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) AS c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(g.n, 0) + v.v) AS p,
+    1 + (1000000000::HUGEINT * (kept.n + 1)) // (v.n + v.v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source
+    AND c.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM u)
+SELECT lang, source, part, item, value::BIGINT AS value, r::INTEGER AS rank FROM r WHERE part = 'pair' OR r <= 200
+"""
+
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(vec_id, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.m FROM r JOIN l ON r.vec_id = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(m) AS component_id, vec_id = min(m) AS kept
+FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY vec_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(plan):
@@ -143,4 +214,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {"op1_exact_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op8_line_dedup": OP8_SQL,
-            "op9_warc": OP9_SQL}
+            "op9_warc": OP9_SQL, "op11_divergence": OP11_SQL, "op12_vector_dedup": OP12_SQL}
