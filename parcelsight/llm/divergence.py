@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelsight.llm.common import Scratch
@@ -86,15 +87,15 @@ _PARTIAL = "lang string, source string, item string, part long, seen long, unsee
 
 def _cell(group: pa.Table) -> pa.Table:
     """Partial divergences of the ordered pairs of groups of two blocks over the terms that the cell has."""
-    header = pa.compute.is_null(group["term"])
-    heads, rows = group.filter(header), group.filter(pa.compute.invert(header))
+    header = pc.is_null(group["term"])
+    heads, rows = group.filter(header), group.filter(pc.invert(header))
     names = heads["source"].to_pylist()
     block = heads["block"].to_numpy()
     terms = int(heads["terms"][0].as_py())
     totals = (heads["n"].to_numpy() + terms)[:, None]
     i, j = (int(group[c][0].as_py()) for c in ("i", "j"))
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    seat = pa.compute.index_in(rows["source"], pa.array(names, pa.string())).to_numpy()
+    seat = pc.index_in(rows["source"], pa.array(names, pa.string())).to_numpy()
     codes = rows["term"].combine_chunks().dictionary_encode()
     codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
     term, n, width = codes.indices.to_numpy(), rows["n"].to_numpy(), len(codes.dictionary)
