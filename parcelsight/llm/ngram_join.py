@@ -9,7 +9,7 @@ l matches are verified, by their exact overlap.
 Exact copies of a set are one document in all this. Where a list of documents with one prefix shingle
 is long, blocks of it are joined first, in the same way; what they link is left out of the joins that
 follow, which look for links between different components only: between the components of long lists
-in pairs of blocks, and by matches in short lists. So no long list is expanded into its pairs, and no link
+in pairs of blocks, with matches too, and by matches in short lists. So no long list is expanded into its pairs, and no link
 between components is lost.
 """
 
@@ -21,16 +21,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelsight.llm.common import Scratch, mix, planes, stage, text_slices, unplanes, word_hashes
+from parcelsight.llm.common import Scratch, give_back, mix, planes, stage, text_slices, unplanes, word_hashes
 from parcelsight.llm.components import connected_components
 
 #: Words of a shingle and percent of the union that two sets share at least.
 WORDS, PERCENT = 5, 75
 #: Most matches asked for, cost of verifying a candidate against reading a list entry.
 MOST_MATCHES, VERIFY_COST = 6, 20.0
-#: Text bytes whose shingles are sent together, buckets for each input partition, bits of a shingle hash
+#: Shingles that are sent together, token ranges for each input partition of PART_BYTES, bits of a shingle hash
 #: that the candidate search keeps, lists that are long, and documents of a block.
-CHUNK_BYTES, BUCKETS, TOKEN_BITS, LONG_LIST, BLOCK = 4 << 20, 24, 48, 24, 200
+CHUNK_SHINGLES, BUCKETS, PART_BYTES, TOKEN_BITS, LONG_LIST, BLOCK = 1 << 18, 24, 16 << 20, 48, 24, 200
+#: Bytes and rows of the batches that a task sends on.
+SENT_BYTES, SENT_ROWS = 1 << 20, 2048
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                          0x85EBCA77C2B2AE63], np.uint64)
 
@@ -66,7 +68,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[np.ndar
 _POSTED = "bucket long, tokens binary, docs binary"
 
 
-def _post(buckets: int, words: int):
+def _post(buckets: int, words: int, chunk_shingles: int, sent_rows: int):
     """Rows of packed (token, document) pairs by token range, and packed signatures of the documents.
 
     Tokens that several documents of a chunk hold go as one entry that counts them (as a negative number);
@@ -78,6 +80,7 @@ def _post(buckets: int, words: int):
     def flush(chunk: list, serial: int) -> Iterator[tuple[int, bytes, bytes]]:
         ids = np.concatenate([c[0] for c in chunk])
         tokens = np.concatenate([c[1] for c in chunk])
+        chunk.clear()
         order = np.argsort(tokens, kind="stable")
         ids, tokens = ids[order], tokens[order]
         starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, int)
@@ -91,6 +94,17 @@ def _post(buckets: int, words: int):
         for a, b in zip(cuts, np.append(cuts, len(tokens))[1:], strict=True):
             yield int(bucket[a]), planes(np.diff(tokens[a:b], prepend=np.uint64(0))), planes(ids[a:b])
 
+    def packed(rows: Iterator[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += len(row[1]) + len(row[2])
+            if size >= SENT_BYTES or len(held) >= sent_rows:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
     def pack(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         a, b, c = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()),
@@ -99,51 +113,59 @@ def _post(buckets: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        # numbers of this task alone for the groups of each chunk
-        serial, chunk, held = TaskContext.get().partitionId() << 24, [], 0
+        # numbers of this task alone for the groups of each chunk, and for its rows
+        serial = TaskContext.get().partitionId() << 24
+        first = TaskContext.get().partitionId() << 40
+        chunk, held = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = np.zeros((3, len(ids)), np.uint64)
-            for rows, hashes in shingle_sets(batch.column("text"), words):
-                np.add.at(sizes[0], rows, np.uint64(1))
-                np.add.at(sizes[1], rows, mix(hashes + np.uint64(1)))
-                np.add.at(sizes[2], rows, mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
-                chunk.append((ids[rows], hashes >> np.uint64(64 - TOKEN_BITS)))
-                held += len(rows)
-                if held > CHUNK_BYTES // 6:
-                    yield pack(list(flush(chunk, serial)))
-                    serial, chunk, held = serial + 1, [], 0
-            yield pack([(-1 - 2 * serial, planes(ids), sizes.astype("<u8").tobytes())])
-            serial += 1
+            for at in range(0, batch.num_rows, sent_rows):
+                part = batch.slice(at, sent_rows)
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                keys = first + np.arange(len(ids))
+                first += len(ids)
+                sizes = np.zeros((4, len(ids)), np.uint64)
+                sizes[3] = ids.view(np.uint64)
+                for rows, hashes in shingle_sets(part.column("text"), words):
+                    sizes[0] += np.bincount(rows, minlength=len(ids)).astype(np.uint64)
+                    np.add.at(sizes[1], rows, mix(hashes + np.uint64(1)))
+                    np.add.at(sizes[2], rows, mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
+                    chunk.append((keys[rows], hashes >> np.uint64(64 - TOKEN_BITS)))
+                    held += len(rows)
+                    if held > chunk_shingles:
+                        yield from packed(flush(chunk, serial))
+                        serial, chunk, held = serial + 1, [], 0
+                yield pack([(-1 - 2 * serial, planes(keys), sizes.astype("<u8").tobytes())])
+                serial += 1
         if held:
-            yield pack(list(flush(chunk, serial)))
+            yield from packed(flush(chunk, serial))
+        del chunk
+        give_back()
     return run
 
 
-_FOUND = "kind int, doc long, token long, a long, b long"
+_FOUND = "kind int, doc long, token long, a long, b long, id long"
 
 
 def _gather(key: tuple, group: pa.Table) -> pa.Table:
     """Of a token range, the tokens that more than one document holds, with how many do.
 
-    Kinds: 0 signatures (a row for each document), 1 a pair with its frequency a, 2 a pair that still wants
+    Kinds: 0 signatures (a row for each document, with its id), 1 a pair with its frequency a, 2 a pair that still wants
     it, 3 the frequency of a token that such pairs have.
     """
     bucket = key[0].as_py()
     raw = [(unplanes(t), d) for t, d in zip(group["tokens"].to_pylist(), group["docs"].to_pylist(), strict=True)]
 
-    def rows(kind, doc, token, a, b) -> pa.Table:
+    def rows(kind, doc, token, a, b, id_=0) -> pa.Table:
         n = len(doc)
         full = lambda v: np.asarray(v).astype(np.int64) if np.ndim(v) else np.full(n, v, np.int64)
         kinds = np.asarray(kind, np.int32) if np.ndim(kind) else np.full(n, kind, np.int32)
-        return pa.table({"kind": kinds, "doc": full(doc), "token": full(token), "a": full(a), "b": full(b)})
+        return pa.table({"kind": kinds, "doc": full(doc), "token": full(token), "a": full(a), "b": full(b),
+                         "id": full(id_)})
 
     if bucket < 0 and bucket % 2:
-        sizes = [np.frombuffer(d, "<u8").reshape(3, -1) for _, d in raw]
-        n, a, b = np.concatenate(sizes, 1) if sizes else np.zeros((3, 0), np.uint64)
-        return rows(0, np.concatenate([t for t, _ in raw]).view(np.int64), n, a.view(np.int64), b.view(np.int64))
+        n, a, b, ids = np.concatenate([np.frombuffer(d, "<u8").reshape(4, -1) for _, d in raw], 1)
+        return rows(0, np.concatenate([t for t, _ in raw]).view(np.int64), n, a.view(np.int64), b.view(np.int64),
+                    ids.view(np.int64))
     ids = np.concatenate([unplanes(d) for _, d in raw]).view(np.int64)
     if bucket < 0:
         return rows(2, ids, np.concatenate([t for t, _ in raw]), 0, 0)
@@ -172,9 +194,6 @@ def _shared_sets(found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                .join(found.filter("kind = 3").select("token", "a"), "token").select("doc", "token", "a"))
     pairs = found.filter("kind = 1").select("doc", "token", "a").unionByName(counted)
     per_doc = pairs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "token"))).alias("x"))
-    # rows that repeat an id have brought its pairs more than once
-    once = F.filter("x", lambda v, i: (i == 0) | (F.get("x", i - 1) != v))
-    per_doc = per_doc.select("doc", once.alias("x"))
     first = F.col("n") - _needed(F.col("n"), percent) + 1
     return (per_doc.join(reps, "doc").filter(F.col("n") - F.size("x") < first)
             .select("doc", "n", F.col("x.token").alias("tokens"), F.col("x.a").alias("dfs")))
@@ -203,23 +222,35 @@ def _chosen_matches(entries: DataFrame, percent: int) -> DataFrame:
     return entries.groupBy("doc").agg(F.array_min(F.array_compact(F.array(*costs)))["l"].alias("l"))
 
 
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, offsets of the rows) of a column of lists."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(), offsets - offsets[0]
+
+
+def _prefix_levels(sizes: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """For the tokens of sets, one after the other: the least l whose prefix holds each."""
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return place + 1 + np.repeat(n - sizes - (n - (n * percent + 99) // 100), sizes)
+
+
 def _join_block(percent: int):
     """Spanning links of the blocks of one group, by the same multi-match prefixes and exact overlaps."""
     def run(group: pa.Table) -> pa.Table:
         blocks, out = group["block"].to_numpy(), []
         docs, sizes, ls = group["doc"].to_numpy(), group["n"].to_numpy(), group["l"].to_numpy()
-        everything = group["tokens"].to_pylist()
+        values, offsets = _ragged(group["tokens"])
         for block in np.unique(blocks):
             at = np.flatnonzero(blocks == block)
             if len(at) < 2:
                 continue
             n, match = sizes[at], ls[at]
-            lists = [np.asarray(everything[i], np.int64) for i in at]
-            size = np.array([len(x) for x in lists])
+            size = offsets[at + 1] - offsets[at]
             row = np.repeat(np.arange(len(at)), size)
-            flat = np.concatenate(lists)
-            place = np.concatenate([np.arange(s) for s in size])
-            level = place + 1 + np.repeat(n - size - (n - (n * percent + 99) // 100), size)
+            flat = np.concatenate([values[offsets[i]:offsets[i + 1]] for i in at])
+            level = _prefix_levels(size, n, percent)
             distinct, column, times = np.unique(flat, return_inverse=True, return_counts=True)
             keep = times[column] > 1
             row, column, level = row[keep], np.unique(column[keep], return_inverse=True)[1], level[keep]
@@ -279,25 +310,45 @@ def _known(entries: DataFrame, chosen: DataFrame, labels: DataFrame) -> DataFram
 
 
 def _join_sides(percent: int):
-    """Links between the two sides of a pair of blocks, one for each document and component."""
+    """Links between the two sides of a pair of blocks, one for each document and component.
+
+    Pairs need the matches in their prefixes that the probing document asks for; whole sets are compared then.
+    """
     def run(group: pa.Table) -> pa.Table:
-        side, docs, c = (group[k].to_numpy() for k in ("side", "doc", "c"))
-        sizes, lists = group["n"].to_numpy(), group["tokens"].to_pylist()
+        side, docs, c, ls = (group[k].to_numpy() for k in ("side", "doc", "c", "l"))
+        sizes, (values, offsets) = group["n"].to_numpy(), _ragged(group["tokens"])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = set()
         if len(left) and len(right):
-            row = np.repeat(np.arange(len(docs)), [len(x) for x in lists])
-            column = np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists]), return_inverse=True)[1]
-            overlap = np.zeros((len(left), len(right)), np.int64)
-            for a in range(0, int(column.max()) + 1, 4096):
-                part = (column >= a) & (column < a + 4096)
-                held = np.zeros((len(docs), 4096), np.float32)
-                held[row[part], column[part] - a] = 1
-                overlap += (held[left] @ held[right].T).astype(np.int64)
-            union = sizes[left][:, None] + sizes[right][None, :] - overlap
-            link = (100 * overlap >= percent * union) & (c[left][:, None] != c[right][None, :])
-            out = {(docs[left[i]], c[right[j]]): docs[right[j]] for i, j in zip(*np.nonzero(link), strict=True)}
-            out = {(a, b) for (a, _), b in out.items()}
+            lengths = np.diff(offsets)
+            row = np.repeat(np.arange(len(docs)), lengths)
+            column = np.unique(values, return_inverse=True)[1]
+            level = _prefix_levels(lengths, sizes, percent)
+
+            def products(tokens: np.ndarray, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+                """How many of the chosen tokens each of ``some`` shares with each of ``others``."""
+                total = np.zeros((len(some), len(others)), np.int64)
+                names, columns = np.unique(column[tokens], return_inverse=True)
+                rows = row[tokens]
+                for a in range(0, len(names), 2048):
+                    at = (columns >= a) & (columns < a + 2048)
+                    held = np.zeros((len(docs), 2048), np.float32)
+                    held[rows[at], columns[at] - a] = 1
+                    total += (held[some] @ held[others].T).astype(np.int64)
+                return total
+
+            candidate = c[left][:, None] != c[right][None, :]
+            for k in np.unique(ls[left]):
+                asking = np.flatnonzero(ls[left] == k)
+                candidate[asking] &= products(np.flatnonzero(level <= k), left[asking], right) >= k
+            some, others = np.flatnonzero(candidate.any(1)), np.flatnonzero(candidate.any(0))
+            if len(some):
+                candidate, left, right = candidate[np.ix_(some, others)], left[some], right[others]
+                overlap = products(np.arange(len(row)), left, right)
+                union = sizes[left][:, None] + sizes[right][None, :] - overlap
+                link = candidate & (100 * overlap >= percent * union)
+                out = {(docs[left[i]], c[right[j]]): docs[right[j]] for i, j in zip(*np.nonzero(link), strict=True)}
+                out = {(a, b) for (a, _), b in out.items()}
         a, b = zip(*sorted(out), strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
@@ -311,13 +362,14 @@ def _family_links(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     and only links leave a task.
     """
     members = (known.filter(F.col("list_size") >= LONG_LIST).groupBy("main", "doc")
-               .agg(F.first("c").alias("c")).withColumn("probe", F.col("c") != F.col("main")))
+               .agg(F.first("c").alias("c"), F.first("l").alias("l"))
+               .withColumn("probe", F.col("c") != F.col("main")))
     sizes = members.groupBy("main").agg(F.ceil(F.count_if("probe") / BLOCK).cast("long").alias("x"),
                                         F.ceil(F.count("*") / BLOCK).cast("long").alias("y"))
     dealt = members.join(sizes, "main").filter("x > 0")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("doc"), F.col(c))
-    columns = ("main", "doc", "c")
+    columns = ("main", "doc", "c", "l")
     probes = dealt.filter("probe").select(*columns, F.lit(0).alias("side"), own("x").alias("i"), upto("y").alias("j"))
     others = dealt.select(*columns, F.lit(1).alias("side"), own("y").alias("j"), upto("x").alias("i"))
     rows = probes.unionByName(others).join(sets.select("doc", "n", "tokens"), "doc")
@@ -357,22 +409,23 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     Takes (doc_id, text). Returns one row for each input row: doc_id, n_shingles, component_id (the smallest
     doc_id that is reachable by links). Words are runs without ``[\\x20\\x09-\\x0D]``, A-Z lowered. With fewer
     words than a shingle has, the whole sequence is the one shingle. Without words or text a set is empty
-    and linked with nothing. Rows that repeat an id with the same text are one document. A null doc_id stands
-    as the smallest possible number while joining and is null again in the result. An empty table gives an
-    empty result.
+    and linked with nothing. Each row is a document of its own, also where an id is null or used again; a null is
+    the last choice for a component's id. Very long texts are cut into slices of their own; other columns are not
+    read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    none = -(1 << 62)
+    none = 1 << 62
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text")
-    # ids are moved by a constant so that a negative number stays free for counts
-    shifted = source.withColumn("doc_id", F.col("doc_id") + F.lit(1 << 62))
-    buckets = BUCKETS * max(1, source.rdd.getNumPartitions())
+    parts = max(1, source.rdd.getNumPartitions())
+    expected = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    buckets = max(shuffles, BUCKETS * min(parts, -(-expected // PART_BYTES)))
     scratch = Scratch(spark)
-    found = scratch.stage(shifted.mapInArrow(_post(buckets, words), _POSTED)
+    found = scratch.stage(source.mapInArrow(_post(buckets, words, CHUNK_SHINGLES, SENT_ROWS), _POSTED)
                   .groupBy("bucket").applyInArrow(_gather, _FOUND), "ngram-found")
-    signs = stage(found.filter("kind = 0").select("doc", F.col("token").alias("n"), "a", "b"), "ngram-signatures")
-    classes = signs.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("rep"))
+    signs = stage(found.filter("kind = 0").select("id", "doc", F.col("token").alias("n"), "a", "b"), "ngram-signatures")
+    classes = signs.filter("n > 0").groupBy("n", "a", "b").agg(
+        F.min("doc").alias("rep"), F.min("id").alias("least"))
     reps = classes.select(F.col("rep").alias("doc"), "n")
     sets = scratch.stage(_shared_sets(found, reps, percent), "ngram-sets")
     scratch.release(but=1)
@@ -386,9 +439,10 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
              .unionByName(_verified(_candidates(known, percent), sets, percent)))
     labels = stage(connected_components(links).withColumnRenamed("id", "rep"), "ngram-labels")
     scratch.release()
-    named = classes.join(labels, "rep", "left").select(
-        "n", "a", "b", F.coalesce("component", "rep").alias("component"))
-    return (signs.join(named, ["n", "a", "b"], "left")
-            .select(F.nullif(F.col("doc") - F.lit(1 << 62), F.lit(none)).alias("doc_id"),
-                    F.col("n").alias("n_shingles"),
-                    F.nullif(F.coalesce("component", "doc") - F.lit(1 << 62), F.lit(none)).alias("component_id")))
+    labelled = classes.join(labels, "rep", "left").select(
+        "n", "a", "b", "least", F.coalesce("component", "rep").alias("component"))
+    smallest = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = labelled.join(smallest, "component").select("n", "a", "b", "smallest")
+    return signs.join(named, ["n", "a", "b"], "left").select(
+        F.nullif(F.col("id"), F.lit(none)).alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.nullif(F.coalesce("smallest", "id"), F.lit(none)).alias("component_id"))

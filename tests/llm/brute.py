@@ -28,22 +28,26 @@ def shingles(text):
 
 
 def near(rows):
-    sets = {d: shingles(t) for d, t in rows}
-    parent = {d: d for d in sets}
+    """Each row is a document, whatever its id; a null id is the last choice for a component."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if both and 100 * both >= 75 * len(a | b):
+                x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    return sorted((d, len(sets[d]), find(d)) for d, _ in rows)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (d is None, d or 0))
+    name = lambda i: None if least[find(i)][0] else least[find(i)][1]
+    return sorted(((d, len(sets[i]), name(i)) for i, (d, _) in enumerate(rows)), key=str)
 
 
 def lines(rows, min_docs=10):

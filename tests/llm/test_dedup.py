@@ -44,11 +44,27 @@ def test_ngram_join_of_a_large_group_and_odd_rows(docs):
     rows += [(500, None), (501, ""), (502, "just three words"), (503, "just three WORDS"), (504, "v " * 40_000)]
     got = ngram_join.ngram_join(docs(rows))
     assert collected(got, "doc_id", "n_shingles", "component_id") == sorted(brute.near(rows), key=str)
-    twice = ngram_join.ngram_join(docs(rows[:3] + rows[:3] + [(None, "a b c d e f")]))
-    assert sorted(map(str, (r["doc_id"] for r in twice.collect()))) == ["0", "0", "1", "1", "2", "2", "None"]
     assert ngram_join.ngram_join(docs([])).collect() == []
 
 
+def test_ngram_join_with_null_and_reused_ids(docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, b), (2, a), (3, b), (3, c), (7, c), (7, c), (None, "lone words"), (None, None), (-4, c + " z")]
+    got = ngram_join.ngram_join(docs(rows))
+    assert collected(got, "doc_id", "n_shingles", "component_id") == brute.near(rows)
+
+
+@pytest.mark.parametrize("chunk", [1, 300])
+def test_ngram_join_in_small_chunks(docs, random_texts, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", chunk)
+    monkeypatch.setattr(ngram_join, "SENT_ROWS", 16)
+    rows = list(enumerate(random_texts(200, seed=9)))
+    got = ngram_join.ngram_join(docs(rows).repartition(2))
+    assert collected(got, "doc_id", "n_shingles", "component_id") == brute.near(rows)
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 100), (7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(path, "a long, b long")).collect()))
