@@ -1,12 +1,14 @@
 """Automaton, spans and the two classifiers."""
 
+import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from parcelsight.llm import bpe, pii, quality, toxicity
+from parcelsight.llm import bpe, pii, quality, queries, toxicity
 from parcelsight.llm.queries import tokenizer_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -20,7 +22,7 @@ def reference():
 def samples():
     rng = random.Random(4)
     out = [None, "", " \n", "Hello, World! it's 12 o'clock", "a<|endoftext|>b <|startoftext|>", "<|endoftext", "x" * 5000,
-           "Straße İstanbul ΑΣ ΟΔΟΣ ς", "é ﬁ ẞ", "\x1c\x85 　x y", "日本語 ½² 😀", "a" * 9 + " " + "aaaa"]
+           "Straße İstanbul ΑΣ ΟΔΟΣ ς", "é ﬁ ẞ", "\x1c\x85 　x y", "日本語 ½² 😀", "a\u209d\u209eb x\u209f",  "a" * 9 + " " + "aaaa"]
     out += ["".join(rng.choices("aeionsthr'.,! ", k=rng.randint(1, 80))) for _ in range(300)]
     out += ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(160, 0x24f), rng.randint(0x370, 0x4ff)]))
                     for _ in range(rng.randint(1, 30))) for _ in range(300)]
@@ -59,6 +61,41 @@ def test_small_automaton_follows_the_order_of_merges():
 
     words = ["".join(w) for n in range(1, 9) for w in __import__("itertools").product("ab", repeat=n)]
     assert all(machine.word(w) == merged(w) for w in words)
+    flat, bounds = machine.batch(words)
+    assert [flat[a:z].tolist() for a, z in zip(bounds, bounds[1:])] == [merged(w) for w in words]
+
+
+def test_bpe_forgets_and_learns_again(reference):
+    encode = bpe.Encoder(bpe.automaton(open(tokenizer_path(), encoding="utf-8").read()), most=40).encode
+    texts = [t or "" for t in samples()]
+    for at in range(0, len(texts), 50):
+        sizes, ids, decoded = encode(texts[at:at + 50])
+        for text, n, i, d in zip(texts[at:at + 50], sizes.tolist(), ids.to_pylist(), decoded.to_pylist(), strict=True):
+            want = reference.encode(text, add_special_tokens=False).ids
+            assert (n, i, d) == (len(want), " ".join(map(str, want)), reference.decode(want, skip_special_tokens=False))
+
+
+def test_decode_ids(spark, reference):
+    rows = [(1, "320 1125 269", [320, 1125, 269]), (2, "", []), (3, None, None), (4, "49407 320 99999999", [49407, None, 320])]
+    df = spark.createDataFrame(rows, "doc_id long, token_ids string, list array<long>").withColumn("decoded", F.lit(1))
+    by_text = {r["doc_id"]: r["decoded"] for r in bpe.decode_ids(df, tokenizer_path()).collect()}
+    by_list = {r["doc_id"]: r["decoded"] for r in bpe.decode_ids(df, tokenizer_path(), "list").collect()}
+    want = {1: reference.decode([320, 1125, 269]), 2: "", 3: "",
+            4: reference.decode([49407, 320], skip_special_tokens=False)}
+    assert by_text == by_list == want
+
+
+def test_op6_query(spark, reference, tmp_path):
+    rows = [(i, t) for i, t in enumerate(samples())] + [(None, "null id"), (1, "twice")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for d, text in rows:
+        ids = reference.encode(text or "", add_special_tokens=False).ids
+        want.append((d, len(ids), sha(" ".join(map(str, ids))), sha(reference.decode(ids, skip_special_tokens=False))))
+    got = queries.queries()["op6_bpe"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
