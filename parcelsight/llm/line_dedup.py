@@ -88,7 +88,7 @@ def _keys(raw: bytes | list[bytes]) -> np.ndarray:
     return np.frombuffer(raw if isinstance(raw, bytes) else b"".join(raw), "<u8").reshape(-1, 2)
 
 
-def _line_hashes(min_chars: int, id_type: pa.DataType):
+def _line_hashes(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -102,7 +102,7 @@ def _line_hashes(min_chars: int, id_type: pa.DataType):
                     hashes.append(b"".join(xxhash.xxh3_128_digest(k.encode()) if len(k) >= min_chars
                                            else _NONE for k in keys))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * part.num_rows, pa.int64()), part.column("doc_id").cast(id_type),
+                    [pa.array([block] * part.num_rows, pa.int64()), part.column("doc_id"),
                      part.column("mark"), pa.array(hashes, pa.binary())],
                     names=["block", "doc_id", "mark", "hashes"])
                 block += 1
@@ -193,9 +193,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Da
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     lines = stage(docs.select("doc_id", "text", _mark().alias("mark"))
-                  .mapInArrow(_line_hashes(min_chars, id_type),
+                  .mapInArrow(_line_hashes(min_chars),
                               f"block long, doc_id {kind}, mark long, hashes binary"), "line-hashes")
     total = lines.agg(F.sum(F.length("hashes") / 16)).first()[0] or 0
     shards = max(LEAST_SHARDS, int(total // SHARD_KEYS) + 1)

@@ -10,6 +10,7 @@ documents by a hash. All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,8 +22,9 @@ SOURCE_BLOCKS = 1024
 WEIGHTS = (3, 1, 2)
 #: All targets together as a share of all sizes, and the most that a source or document is repeated.
 TOTAL_SHARE, MOST_TIMES = 1.5, 2
-#: Levels of the splitting tree: two to this power is the number of output shards.
-LEVELS = 6
+#: Levels of the splitting tree: two to this power is the number of output shards. There are so many that a shard
+#: has about SHARD_WORDS words, but no fewer than the first and no more than the second number.
+SHARD_WORDS, LEVELS = 50_000_000, (6, 16)
 
 
 @dataclass(frozen=True)
@@ -161,7 +163,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE,
-        most: int = MOST_TIMES, levels: int = LEVELS, seed: int = 17) -> Mix:
+        most: int = MOST_TIMES, levels: int | None = None, seed: int = 17) -> Mix:
     """Plan the mix of all rows of ``docs`` (doc_id, text, source).
 
     Null texts have size 0 and are never taken; null sources are one source, the last. Rows are taken
@@ -174,6 +176,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTA
                   .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SOURCE_BLOCKS))),
                   "mix-sizes")
     sources = stage(source_targets(sized, weights, share, most), "mix-sources")
+    if levels is None:
+        words = sources.agg(F.sum("target")).first()[0] or 0
+        levels = min(max(LEVELS[0], math.ceil(math.log2(max(1.0, words / SHARD_WORDS)))), LEVELS[1])
     blocks = stage(_blocks(sized, sources, seed), "mix-blocks")
     per_block = F.col("passes") + F.when(F.col("rest").isNull(), 0).otherwise(1)
     quotas = blocks.groupBy("source_key", "rank").agg(F.sum(per_block).cast("long").alias("quota"))
@@ -214,7 +219,7 @@ def mixed_rows(docs: DataFrame, plan: Mix, seed: int = 17) -> DataFrame:
     """The mix itself: the columns of ``docs`` in a row for each time that a document is taken, then shard.
 
     Rows are sorted within their shard by a hash, which is the local shuffle. Documents that are taken no
-    time are left out. Rows that repeat an id with the same text are told apart by nothing and are taken alike.
+    time are left out. A column of ``docs`` named shard gives way. Rows that repeat an id with the same text are told apart by nothing and are taken alike.
     """
     own = docs.columns
     times = plan.taken.filter("times > 0").groupBy("doc_id", "mark").agg(
@@ -222,7 +227,8 @@ def mixed_rows(docs: DataFrame, plan: Mix, seed: int = 17) -> DataFrame:
     chosen = times.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"),
                           F.slice("x.shards", F.lit(1), F.col("x.times").cast("int")).alias("__shards"))
     rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark")))
-    placed = rows.select(*(F.col(f"`{c}`") for c in own), F.posexplode("__shards").alias("__turn", "shard"))
-    return (placed.repartition("shard")
-            .sortWithinPartitions("shard", F.xxhash64("doc_id", "__turn", F.lit(seed)))
-            .select(*own, "shard"))
+    placed = rows.select(*(F.col(f"`{c}`") for c in own), F.posexplode("__shards").alias("__turn", "__shard"))
+    kept = [F.col(f"`{c}`") for c in own if c != "shard"]
+    return (placed.repartition("__shard")
+            .sortWithinPartitions("__shard", F.xxhash64("doc_id", "__turn", F.lit(seed)))
+            .select(*kept, F.col("__shard").alias("shard")))

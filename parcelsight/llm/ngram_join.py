@@ -123,8 +123,9 @@ def _post(buckets: int, words: int, chunk_shingles: int, sent_rows: int):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 keys = first + np.arange(len(ids))
                 first += len(ids)
-                sizes = np.zeros((4, len(ids)), np.uint64)
+                sizes = np.zeros((5, len(ids)), np.uint64)
                 sizes[3] = ids.view(np.uint64)
+                sizes[4] = part.column("mark").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 for rows, hashes in shingle_sets(part.column("text"), words):
                     sizes[0] += np.bincount(rows, minlength=len(ids)).astype(np.uint64)
                     np.add.at(sizes[1], rows, mix(hashes + np.uint64(1)))
@@ -143,29 +144,29 @@ def _post(buckets: int, words: int, chunk_shingles: int, sent_rows: int):
     return run
 
 
-_FOUND = "kind int, doc long, token long, a long, b long, id long"
+_FOUND = "kind int, doc long, token long, a long, b long, id long, mark long"
 
 
 def _gather(key: tuple, group: pa.Table) -> pa.Table:
     """Of a token range, the tokens that more than one document holds, with how many do.
 
-    Kinds: 0 signatures (a row for each document, with its id), 1 a pair with its frequency a, 2 a pair that still wants
+    Kinds: 0 signatures (a row for each document, with its id and mark), 1 a pair with its frequency a, 2 a pair that still wants
     it, 3 the frequency of a token that such pairs have.
     """
     bucket = key[0].as_py()
     raw = [(unplanes(t), d) for t, d in zip(group["tokens"].to_pylist(), group["docs"].to_pylist(), strict=True)]
 
-    def rows(kind, doc, token, a, b, id_=0) -> pa.Table:
+    def rows(kind, doc, token, a, b, id_=0, mark=0) -> pa.Table:
         n = len(doc)
         full = lambda v: np.asarray(v).astype(np.int64) if np.ndim(v) else np.full(n, v, np.int64)
         kinds = np.asarray(kind, np.int32) if np.ndim(kind) else np.full(n, kind, np.int32)
         return pa.table({"kind": kinds, "doc": full(doc), "token": full(token), "a": full(a), "b": full(b),
-                         "id": full(id_)})
+                         "id": full(id_), "mark": full(mark)})
 
     if bucket < 0 and bucket % 2:
-        n, a, b, ids = np.concatenate([np.frombuffer(d, "<u8").reshape(4, -1) for _, d in raw], 1)
+        n, a, b, ids, marks = np.concatenate([np.frombuffer(d, "<u8").reshape(5, -1) for _, d in raw], 1)
         return rows(0, np.concatenate([t for t, _ in raw]).view(np.int64), n, a.view(np.int64), b.view(np.int64),
-                    ids.view(np.int64))
+                    ids.view(np.int64), marks.view(np.int64))
     ids = np.concatenate([unplanes(d) for _, d in raw]).view(np.int64)
     if bucket < 0:
         return rows(2, ids, np.concatenate([t for t, _ in raw]), 0, 0)
@@ -407,7 +408,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     """Components of documents whose shingle sets share ``percent`` of their union or more.
 
     Takes (doc_id, text). Returns one row for each input row: doc_id, n_shingles, component_id (the smallest
-    doc_id that is reachable by links). Words are runs without ``[\\x20\\x09-\\x0D]``, A-Z lowered. With fewer
+    doc_id that is reachable by links), mark (a hash of the text) and kept: whether the row has the smallest doc_id and, of
+    rows with this id, the smallest mark of its component. Words are runs without ``[\\x20\\x09-\\x0D]``, A-Z lowered. With fewer
     words than a shingle has, the whole sequence is the one shingle. Without words or text a set is empty
     and linked with nothing. Each row is a document of its own, also where an id is null or used again; a null is
     the last choice for a component's id. Very long texts are cut into slices of their own; other columns are not
@@ -416,16 +418,18 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     spark = docs.sparkSession
     none = 1 << 62
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text")
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text",
+                         F.xxhash64("text").alias("mark"))
     parts = max(1, source.rdd.getNumPartitions())
     expected = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     buckets = max(shuffles, BUCKETS * min(parts, -(-expected // PART_BYTES)))
     scratch = Scratch(spark)
     found = scratch.stage(source.mapInArrow(_post(buckets, words, CHUNK_SHINGLES, SENT_ROWS), _POSTED)
                   .groupBy("bucket").applyInArrow(_gather, _FOUND), "ngram-found")
-    signs = stage(found.filter("kind = 0").select("id", "doc", F.col("token").alias("n"), "a", "b"), "ngram-signatures")
+    signs = stage(found.filter("kind = 0").select("id", "mark", "doc", F.col("token").alias("n"), "a", "b"),
+                  "ngram-signatures")
     classes = signs.filter("n > 0").groupBy("n", "a", "b").agg(
-        F.min("doc").alias("rep"), F.min("id").alias("least"))
+        F.min("doc").alias("rep"), F.min(F.struct("id", "mark")).alias("least"))
     reps = classes.select(F.col("rep").alias("doc"), "n")
     sets = scratch.stage(_shared_sets(found, reps, percent), "ngram-sets")
     scratch.release(but=1)
@@ -445,4 +449,5 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     named = labelled.join(smallest, "component").select("n", "a", "b", "smallest")
     return signs.join(named, ["n", "a", "b"], "left").select(
         F.nullif(F.col("id"), F.lit(none)).alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.nullif(F.coalesce("smallest", "id"), F.lit(none)).alias("component_id"))
+        F.nullif(F.coalesce("smallest.id", "id"), F.lit(none)).alias("component_id"), "mark",
+        F.coalesce((F.col("smallest.id") == F.col("id")) & (F.col("smallest.mark") == F.col("mark")), F.lit(True)).alias("kept"))

@@ -121,8 +121,8 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
         for m in _ASSIGNED.finditer(text):
             start, end = m.span(1)
             k = bisect_left(starts, start)
-            if end - start > LONG_SECRET and k < len(starts) and starts[k] < end:
-                end = starts[k]  # what comes before a base span in a long run
+            if k < len(starts) and starts[k] < end:
+                end = starts[k]  # what comes before a base span
             if end - start >= 8:
                 more.append(("secret", start, end))
     last = -1
@@ -166,25 +166,23 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     return shape, listed, context, count, mixed
 
 
-def _scan(id_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, shas, base_text, more_text = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                base = base_spans(text)
-                show = lambda spans: [f"{k}:{s}:{e}" for k, s, e in spans]
-                counts.append([sum(k == kind for k, _, _ in base) for kind in BASE_KINDS])
-                shas.append(hashlib.sha256(",".join(show(base)).encode()).hexdigest())
-                for spans, out in ((base, base_text), (proposals(text, base), more_text)):
-                    out.append([f"{k}:{s}:{e}:{''.join(map(str, votes(text, k, s, e)))}" for k, s, e in spans])
-            n = np.array(counts, np.int64).reshape(-1, 4)
-            lists = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(id_type), *(pa.array(n[:, i]) for i in range(4)), pa.array(shas, pa.string()),
-                 pa.array(base_text, lists), pa.array(more_text, lists)],
-                names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "base", "more"])
-    return run
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts, shas, base_text, more_text = [], [], [], []
+        for text in batch.column("text").to_pylist():
+            text = text or ""
+            base = base_spans(text)
+            show = lambda spans: [f"{k}:{s}:{e}" for k, s, e in spans]
+            counts.append([sum(k == kind for k, _, _ in base) for kind in BASE_KINDS])
+            shas.append(hashlib.sha256(",".join(show(base)).encode()).hexdigest())
+            for spans, out in ((base, base_text), (proposals(text, base), more_text)):
+                out.append([f"{k}:{s}:{e}:{''.join(map(str, votes(text, k, s, e)))}" for k, s, e in spans])
+        n = np.array(counts, np.int64).reshape(-1, 4)
+        lists = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *(pa.array(n[:, i]) for i in range(4)), pa.array(shas, pa.string()),
+             pa.array(base_text, lists), pa.array(more_text, lists)],
+            names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "base", "more"])
 
 
 def estimate(patterns: list[tuple[str, str, bool, int]]) -> dict[tuple[str, str], float]:
@@ -246,10 +244,9 @@ def personal_data(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     for each pattern of votes, of which there are at most 5 x 243 x 2.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
     scanned = stage(docs.select("doc_id", "text").mapInArrow(
-        _scan(id_type), f"doc_id {kind}, {counts}, base_sha256 string, base array<string>, more array<string>"),
+        _scan, f"doc_id {kind}, {counts}, base_sha256 string, base array<string>, more array<string>"),
         "personal-spans")
     parts = F.split("x", ":")
     tally = (scanned.select(F.explode("base").alias("x"), F.lit(True).alias("is_base"))

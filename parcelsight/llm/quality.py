@@ -54,7 +54,11 @@ def _dictionary(texts: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few texts to find a pattern in: they are the dictionary themselves
-        return b"".join(texts)[:DICTIONARY_BYTES]
+        out, room = [], DICTIONARY_BYTES
+        for left, text in zip(range(len(texts), 0, -1), sorted(texts, key=len), strict=True):
+            out.append(text[:room // left])  # an equal part of each that is longer than its share of what is left
+            room -= len(out[-1])
+        return b"".join(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dictionary_rows: int = DICTIONARY_ROWS,

@@ -27,7 +27,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

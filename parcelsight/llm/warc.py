@@ -24,6 +24,8 @@ from parcelsight.sources.sinks import staging_root
 
 #: Unpacked bytes of a frame and packed bytes of a bundle, about; a longer record has a frame of its own.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 32 << 20
+#: Frames that are read by one task.
+PART_FRAMES = 32
 #: Payloads of at least so many bytes are revisited.
 LEAST_REVISIT = 100
 #: Fixed values of the seekable format and of WARC.
@@ -167,40 +169,45 @@ def write_warc(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z"
     return stage(marked.mapInArrow(_write(folder, date), _INDEX), "warc-index")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    number = re.compile(r"<urn:page:(-?\d*)>")
-    for batch in batches:
-        for path in batch.column("bundle").to_pylist():
-            files, name = pafs.FileSystem.from_uri(path)
-            with files.open_input_file(name) as f:
-                for place, packed, whole in seek_table(f):
-                    f.seek(place)
-                    data, at, rows = unpack.decompress(f.read(packed), max_output_size=whole), 0, []
-                    while at < len(data):
-                        fields, body, at = parse(data, at)
-                        kind = fields["WARC-Type"]
-                        own = number.fullmatch(fields["WARC-Record-ID"])[1]
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                        if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
-                            raise ValueError(f"damaged record {own} in {path}")
-                        refers = number.fullmatch(fields["WARC-Refers-To"])[1] if kind == "revisit" else None
-                        rows.append((int(own) if own else None, fields.get("WARC-Target-URI"),
-                                     int(fields["X-Payload-Length"]), digest, kind,
-                                     int(refers) if refers else None, body))
-                    ids, urls, sizes, digests, kinds, refs, bodies = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(sizes, pa.int64()),
-                         pa.array(digests), pa.array(kinds), pa.array(refs, pa.int64()),
-                         pa.array(bodies, pa.binary())],
-                        names=["page_id", "url", "payload_bytes", "payload_digest", "record_type",
-                               "refers_to", "payload"])
-
-
-def read_warc(index: DataFrame) -> DataFrame:
-    """All records of the bundles that an index names; a response's body is checked against its digest."""
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, "
+def _read(part_frames: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        number = re.compile(r"<urn:page:(-?\d*)>")
+        for batch in batches:
+            for path, part in zip(*(batch.column(c).to_pylist() for c in ("bundle", "part")), strict=True):
+                files, name = pafs.FileSystem.from_uri(path)
+                with files.open_input_file(name) as f:
+                    for place, packed, whole in seek_table(f)[part * part_frames:(part + 1) * part_frames]:
+                        f.seek(place)
+                        data, at, rows = unpack.decompress(f.read(packed), max_output_size=whole), 0, []
+                        while at < len(data):
+                            fields, body, at = parse(data, at)
+                            kind = fields["WARC-Type"]
+                            own = number.fullmatch(fields["WARC-Record-ID"])[1]
+                            digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+                            if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
+                                raise ValueError(f"damaged record {own} in {path}")
+                            refers = number.fullmatch(fields["WARC-Refers-To"])[1] if kind == "revisit" else None
+                            rows.append((int(own) if own else None, fields.get("WARC-Target-URI"),
+                                         int(fields["X-Payload-Length"]), digest, kind,
+                                         int(refers) if refers else None, body))
+                        ids, urls, sizes, digests, kinds, refs, bodies = zip(*rows, strict=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(sizes, pa.int64()),
+                             pa.array(digests), pa.array(kinds), pa.array(refs, pa.int64()),
+                             pa.array(bodies, pa.binary())],
+                            names=["page_id", "url", "payload_bytes", "payload_digest", "record_type",
+                                   "refers_to", "payload"])
+    return run
+
+
+def read_warc(index: DataFrame, part_frames: int = PART_FRAMES) -> DataFrame:
+    """All records of the bundles that an index names; a response's body is checked against its digest.
+
+    Ranges of frames are handed out, a partition for each, so that neither many bundles nor a large one is read in one task.
+    """
+    parts = stage(index.select("bundle", F.floor(F.col("frame") / part_frames).alias("part")).distinct(), "warc-parts")
+    return parts.repartition(max(1, parts.count())).mapInArrow(_read(part_frames), "page_id long, url string, payload_bytes long, payload_digest string, "
                                      "record_type string, refers_to long, payload binary")
 
 

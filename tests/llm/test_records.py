@@ -152,15 +152,36 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(empty).collect() == []
 
 
+def test_warc_is_read_in_many_tasks(spark):
+    rows = [(i, None, f"page {i} " * 9000) for i in range(160)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc.write_warc(pages, warc.archive_folder(spark))
+    assert index.agg(F.max("frame")).first()[0] >= 8
+    read = warc.read_warc(index, part_frames=2)
+    per_task = read.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) >= 4 and sum(r["count"] for r in per_task) == 160
+    assert read.select("page_id").distinct().count() == 160
+
+
+def test_mixed_rows_of_a_table_with_shards(mixed):
+    _, table = mixed
+    table = table.withColumn("shard", F.lit("mine"))
+    plan = mixing.mix(table)
+    got = mixing.mixed_rows(table, plan)
+    assert [c for c in got.columns if c == "shard"] == ["shard"] and got.schema["shard"].dataType.typeName() == "long"
+    assert got.count() == plan.taken.agg(F.sum("times")).first()[0]
+
+
 def test_registry():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_ngram_join", "op8_line_dedup", "op9_warc"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_ngram_join", "op8_line_dedup", "op9_warc", "op11_divergence",
+                                  "op12_vector_dedup"])
 def test_queries_against_sql(spark, sf_dir, name):
     import __spark_entry__ as entry
     from oracle_check import compare, connect
@@ -187,3 +208,48 @@ def test_pipeline(spark, sf_dir):
     assert set(ids[4]) <= set(ids[3]) and max(ids[4].values()) <= 2
     last = p.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == len(kept[4]) and p.run(spark, sf_dir).count() == len(kept[4])
+
+
+@pytest.fixture()
+def odd(spark):
+    """Documents with nulls, repeated rows and ids, a long text and columns that operators use themselves."""
+    base = " ".join(f"b{i}" for i in range(40))
+    line = "a line that many share"
+    rows = [(1, base), (1, base), (1, "another text altogether with seven words"), (2, base + " more"), (None, base),
+            (None, None), (3, ""), (4, "x " * 30_000), (5, None), (5, None)]
+    rows += [(100 + i, f"own words {i} of row {i} that nobody else has in {i}\n{line}") for i in range(12)]
+    names = ["lang", "source", "n_chars", "score", "predicted", "n_lines", "n_dropped", "shard", "mark", "kept", "size"]
+    return rows, spark.createDataFrame([(d, t, "en", "s", 7, *[i] * 8) for i, (d, t) in enumerate(rows)],
+                                       "doc_id long, text string, lang string, source string, n_chars long, "
+                                       + ", ".join(f"{n} int" for n in names[3:]))
+
+
+def test_stages_on_odd_tables(spark, odd, sf_dir):
+    import corpus_pipeline as p
+
+    rows, docs = odd
+    stages = dict(p.STAGES)
+    for name, work in p.STAGES[:-1]:
+        nothing = work(spark, docs.filter("false"), sf_dir)
+        assert nothing.collect() == [] and nothing.columns == docs.columns, name
+    clean = stages["toxicity"](spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    by_score = {r["score"]: r for r in docs.collect()}
+    assert all(r == by_score[r["score"]] for r in clean.collect())
+    lined = stages["line dedup"](spark, docs, sf_dir)
+    assert lined.columns == docs.columns and lined.count() == len(rows)
+    for r in lined.collect():
+        text = (rows[r["score"]][1] or "").replace("\na line that many share", "")
+        assert (r["text"], r["n_chars"], r["n_lines"], r["n_dropped"]) == (text, len(text), r["score"], r["score"])
+    near = stages["n-gram Jaccard join"](spark, docs, sf_dir)
+    kept = [tuple(r)[:2] for r in near.collect()]
+    assert near.columns == docs.columns
+    assert sorted(kept, key=str) == sorted([(1, rows[0][1]), (1, rows[2][1]), (None, None), (3, ""), (4, rows[7][1]), (5, None),
+                                            (5, None), *rows[10:]], key=str)
+    mixed = stages["mixing sources to target weights"](spark, docs, sf_dir)
+    assert mixed.columns == docs.columns
+    assert all(r == by_score[r["score"]] for r in mixed.collect())
+    last = stages["BPE encoding and decoding"](spark, docs, sf_dir)
+    assert last.count() == len(rows) and {r["n_tokens"] for r in last.filter("text is null").collect()} <= {0} if (
+        "text" in last.columns) else last.filter("doc_id = 3").first()["n_tokens"] == 0
+    assert stages["BPE encoding and decoding"](spark, docs.filter("false"), sf_dir).collect() == []
