@@ -7,7 +7,7 @@ from parcelsight.operators import metrics
 from parcelsight.plans import console, evaluation, features, models, scoring, search
 from parcelsight.plans.catalog.registry import Inputs, register
 from parcelsight.plans.features import AFTER_DELIVERY_FEATURES, ORDER_TIME_FEATURES
-from parcelsight.sources.sinks import stage
+from parcelsight.sources.sinks import spread, stage
 
 def order_time_rows(q: Inputs) -> DataFrame:
     frame = features.order_time_frame(q.items(*features.ORDER_TIME_SOURCE), q.hub)
@@ -22,8 +22,8 @@ def after_delivery_rows(q: Inputs) -> DataFrame:
 def encoded_rows(rows: DataFrame, columns: list[str], **options) -> DataFrame:
     """Staged rows with a feature vector whose coding was fitted on train."""
     preprocessing = models.fit_preprocessing(rows.where("split = 'train'"), columns, **options)
-    return stage(models.encoded(preprocessing, rows).select(
-        "order_id", "label", "split", "review_score", "features"), "encoded")
+    return stage(spread(models.encoded(preprocessing, rows).select(
+        "order_id", "label", "split", "review_score", "features"), "order_id"), "encoded")
 
 
 def part(rows: DataFrame, split: str) -> DataFrame:
@@ -114,7 +114,7 @@ def _(q: Inputs):
     out = None
     fits = {
         "boosted": lambda: models.fit_patient(part(rows, "train"), part(rows, "valid"),
-                                              models.SCORE_REGRESSION, models.score_booster).model,
+                                              models.SCORE_REGRESSION, "review_score").model,
         "forest": lambda: models.score_forest(models.SCORE_REGRESSION).fit(part(rows, "train")),
     }
     for name, fit in fits.items():

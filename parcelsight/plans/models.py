@@ -8,20 +8,21 @@ Fitting reads its input several times, so callers stage the feature frame first
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import (
     OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, types as T
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from parcelsight.functions.expressions import clip
 from parcelsight.operators import impute, quality
 from parcelsight.operators.quantiles import bounded_quantile, medians
 from parcelsight.operators.splits import with_class_weight, with_split
+from parcelsight.plans import boosting
 from parcelsight.plans.features import positive_label
 from parcelsight.sources.sinks import stage
 
@@ -37,6 +38,7 @@ class TreeSettings:
     rate: float = 0.1
     min_rows: int = 1
     column_share: str = "all"
+    row_share: float = 1.0
 
 
 # Settings found for each model.
@@ -45,11 +47,11 @@ ORDER_TIME = TreeSettings(800, 5, 0.011153121252070788, 47, "0.5028265220878869"
 BAGGED = TreeSettings(300, 10)
 SECOND_BOOSTED = TreeSettings(1000, 7, 0.05, 1)
 DELIVERY_DAYS = TreeSettings(700, 6, 0.03, 40)
-SCORE_REGRESSION = TreeSettings(1300, 4, 0.03078, 20, "0.60638")
+SCORE_REGRESSION = TreeSettings(1300, 4, 0.03078, 20, "0.60638", 0.8733)
 
 
-# Rounds without a better validation loss after which boosting ends, and the first length tried.
-PATIENCE, FIRST_ROUNDS = 30, 50
+# Rounds without a better validation loss after which boosting ends.
+PATIENCE = 30
 
 
 def staged_frame(frame: DataFrame, label: str, portable: bool = False) -> DataFrame:
@@ -169,31 +171,25 @@ class Boosted:
     losses: list[float]
 
 
-def fit_patient(train: DataFrame, valid: DataFrame, settings: TreeSettings, build=None,
-                patience: int = PATIENCE, first: int = FIRST_ROUNDS) -> Boosted:
+def fit_patient(train: DataFrame, valid: DataFrame, settings: TreeSettings, target: str | None = None,
+                patience: int = PATIENCE) -> Boosted:
     """Boosting with the declared settings that ends once the validation loss says so.
 
-    A fit with the same seed and more rounds begins with the same trees, so ever longer fits (50, 100,
-    200 rounds and so on, up to the declared number) are tried until ``patience`` rounds have passed
-    without a better loss; the model is the fit of the best round. The loss is the class-balanced one for
-    classifiers.
+    Every round is fitted once, to the gradients at a staged margin, until ``patience`` rounds have passed without a
+    better loss or the declared number is reached; the trees up to the best round are the model. Without ``target`` it is a
+    classifier of ``label`` with a class-balanced loss, with it a regressor of that column by squared error.
     """
-    build = build or boosted_classifier
-    balanced = build is boosted_classifier
-    train, valid = (with_class_weight(x) if balanced else x for x in (train, valid))
-    loss = (lambda m: m.evaluateEachIteration(valid)) if balanced else (
-        lambda m: m.evaluateEachIteration(valid, "squared"))
-    rounds = min(first, settings.rounds)
-    while True:
-        model = build(replace(settings, rounds=rounds)).fit(train)
-        losses = list(map(float, loss(model)))
-        best = min(range(len(losses)), key=losses.__getitem__) + 1
-        if rounds - best >= patience or rounds == settings.rounds:
-            break
-        rounds = min(2 * rounds, settings.rounds)
-    if best < rounds:
-        model = build(replace(settings, rounds=best)).fit(train)
-    return Boosted(model, best, losses)
+    if target is None:
+        train, valid = with_class_weight(train), with_class_weight(valid)
+    else:
+        train, valid = (x.select("features", F.col(target).alias("label"), F.lit(1.0).alias("weight")).na.drop()
+                        for x in (train, valid))
+    found = boosting.boost(
+        train, valid, boosting.LOGISTIC if target is None else boosting.SQUARED, rounds=settings.rounds,
+        depth=settings.depth, rate=settings.rate, min_rows=settings.min_rows, column_share=settings.column_share,
+        row_share=settings.row_share, seed=SEED, patience=patience)
+    model = boosting.as_classifier(found) if target is None else boosting.as_regressor(found)
+    return Boosted(model, found.rounds, found.losses)
 
 
 def learning_curve(model, train: DataFrame, valid: DataFrame) -> DataFrame:
@@ -221,15 +217,6 @@ def feature_importance(model, frame: DataFrame) -> DataFrame:
         rows, "rank int, feature string, importance double")
 
 
-def score_booster(settings: TreeSettings) -> GBTRegressor:
-    """The boosted regressor of the review score itself."""
-    return GBTRegressor(
-        featuresCol="features", labelCol="review_score", maxIter=settings.rounds,
-        maxDepth=settings.depth, stepSize=settings.rate, minInstancesPerNode=settings.min_rows,
-        featureSubsetStrategy=settings.column_share, subsamplingRate=0.8733, seed=SEED,
-        checkpointInterval=20)
-
-
 def score_forest(settings: TreeSettings) -> RandomForestRegressor:
     """The bagged regressor of the review score itself."""
     return RandomForestRegressor(

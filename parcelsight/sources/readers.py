@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from parcelsight.sources.quoted_csv import read_quoted_csv
 from parcelsight.sources.schemas import RAW_SCHEMAS
 from parcelsight.sources.tables import RawTables
 
@@ -20,11 +21,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def _csv_text(spark: SparkSession, path: str, name: str) -> DataFrame:
     """All columns of a CSV file as text, named by its header.
 
-    Quoted review texts contain line breaks, so each review file is one task; the other tables stay
-    splittable. ``convert_to_parquet`` does that once for tables that are read often.
+    Quoted review texts contain line breaks; such files are cut into records range by range.
     """
-    reader = spark.read.option("header", True).option("escape", '"')
-    return reader.option("multiLine", name == "reviews").csv(path)
+    if name == "reviews":
+        return read_quoted_csv(spark, path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
 def read_raw(spark: SparkSession, directory: str, name: str, fmt: str = "csv",

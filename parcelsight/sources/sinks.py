@@ -44,6 +44,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return stage_at(df, label)[0]
 
 
+#: Rows of a task that a learner passes over; it is bound by computing and not by bytes.
+LEARNER_ROWS = 20_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over enough tasks for a learner, dealt by ``key``.
+
+    Adaptive execution merges partitions by their bytes, and feature vectors are small; an explicit number stays.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // LEARNER_ROWS))
+    return df.repartition(tasks, key)
+
+
 def stage_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """A staged table and its folder."""
     spark = df.sparkSession

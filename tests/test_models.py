@@ -1,13 +1,16 @@
 """Model plans on a small separable data set."""
 
 import random
+import re
 
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from parcelsight.functions.bands import RISK_LEVELS
 from parcelsight.operators import metrics
-from parcelsight.plans import console, evaluation, models, scoring, search
+from parcelsight.plans import boosting, console, evaluation, models, scoring, search
 from parcelsight.plans.features import ORDER_TIME_FEATURES
 from parcelsight.plans.quantile_forest import QuantileForest
 from parcelsight.sources.sinks import stage
@@ -166,12 +169,85 @@ def test_replayed_alerts_come_out_once(spark, tmp_path):
 def test_boosting_ends_by_the_validation_loss(frame):
     rows = stage(models.encoded(models.fit_preprocessing(frame, ["distance_km"]), frame), "test_patience")
     fit = models.fit_patient(rows.where("split = 'train'"), rows.where("split = 'valid'"),
-                             models.TreeSettings(40, 3, 0.5), patience=4, first=5)
+                             models.TreeSettings(40, 3, 0.5), patience=4)
     assert fit.rounds == min(range(len(fit.losses)), key=fit.losses.__getitem__) + 1
     assert fit.model.getNumTrees == fit.rounds
     assert len(fit.losses) == 40 or len(fit.losses) - fit.rounds >= 4
 
 
+@pytest.fixture(scope="module")
+def numbers(spark):
+    """Rows whose days depend on two of three features, with skewed noise; the label is whether they are many."""
+    rng = random.Random(5)
+    data = []
+    for i in range(1500):
+        a, b, c = (rng.randrange(12) / 11 for _ in range(3))  # few values, so that no two splits are nearly alike
+        days = 5 + 20 * (a > 0.5) + 6 * b + rng.expovariate(0.5 if a > 0.5 else 1.0)
+        data.append((Vectors.dense(a, b, c), round(days, 2), int(days > 14), 1.0 + (i % 3 == 0), i % 5 == 0))
+    rows = spark.createDataFrame(data, ["features", "days", "label", "weight", "held"])
+    return stage(rows.coalesce(1), "test_numbers")
+
+
+def test_rounds_go_on_from_a_margin_like_one_long_fit(numbers):
+    fit, held = numbers.where("NOT held"), numbers.where("held")
+    size = dict(rounds=7, depth=3, rate=0.3, min_rows=5, patience=None)
+    found = boosting.boost(fit, held, boosting.LOGISTIC, **size, block=3)
+    long = models.boosted_classifier(models.TreeSettings(7, 3, 0.3, 5)).fit(fit)
+    own = boosting.as_classifier(found)
+    text = lambda model: "".join(t.toDebugString.split("\n", 1)[1] for t in model.trees)
+    number = re.compile(r"-?\d+\.\d+(?:E-?\d+)?")
+
+    def same_trees(one, other):
+        a, b = (number.findall(text(x)) for x in (one, other))
+        return number.sub("", text(one)) == number.sub("", text(other)) and list(map(float, a)) == pytest.approx(
+            list(map(float, b)), abs=1e-9)
+
+    assert same_trees(own, long) and own.treeWeights == long.treeWeights
+    assert own.numFeatures == 3 and own.featureImportances.toArray() == pytest.approx(long.featureImportances.toArray())
+    losses = [float(x) for x in long.evaluateEachIteration(held)]
+    assert found.losses == pytest.approx(losses)
+    p = lambda model: [r[0][1] for r in model.transform(held).select("probability").collect()]
+    assert p(own) == pytest.approx(p(long))
+    square = boosting.as_regressor(boosting.boost(
+        fit.withColumn("label", F.col("days")), held.withColumn("label", F.col("days")), boosting.SQUARED, **size, block=4))
+    regressor = GBTRegressor(labelCol="days", weightCol="weight", maxIter=7, maxDepth=3, stepSize=0.3, minInstancesPerNode=5,
+                             seed=models.SEED).fit(fit)
+    assert same_trees(square, regressor)
+
+
+def test_each_round_is_fitted_once_and_the_end_comes_after_patience(numbers, monkeypatch):
+    fits = []
+    real = boosting.RandomForestRegressor
+    monkeypatch.setattr(boosting, "RandomForestRegressor", lambda **k: fits.append(k["seed"]) or real(**k))
+    fit, held = numbers.where("NOT held"), numbers.where("held")
+    found = boosting.boost(fit, held, boosting.LOGISTIC, rounds=60, depth=6, rate=0.8, patience=4, block=3)
+    assert fits == list(range(models.SEED, models.SEED + len(found.losses)))
+    assert len(found.trees) == found.rounds and 4 <= len(found.losses) - found.rounds < 4 + 3
+
+
+def test_quantile_boosting(spark, numbers):
+    fit, held = numbers.where("NOT held"), numbers.where("held")
+    forest = QuantileForest.fit(fit, models.TreeSettings(30, 4, 0.1, 20), "days", (0.8,))
+    settings = models.TreeSettings(80, 3, 0.2, 20)
+    own = boosting.QuantileBoosting.fit(fit, held, 0.8, settings, "days")
+    assert own.rounds == len(own.leaves) == len(own.forest.trees)
+    scored = forest.predict(own.predict(held))
+    loss = lambda c: metrics.pinball_loss(c, "days", 0.8)
+    row = scored.agg(F.avg(loss(F.col("prediction"))).alias("own"), F.avg(loss(F.col("predicted_days")[0])).alias("forest"),
+                     F.avg((F.col("days") <= F.col("prediction")).cast("double")).alias("share")).first()
+    assert row["own"] == pytest.approx(own.loss) and row["own"] < row["forest"]
+    assert abs(row["share"] - 0.8) < 0.05
+    assert own.predict(held.where("false")).count() == 0
+
+
+def test_learners_get_enough_tasks(spark, frame):
+    from parcelsight.plans.catalog.modelling import encoded_rows
+
+    assert frame.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    assert encoded_rows(frame, ["distance_km"]).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert console.prepare_training(frame)[1].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_leaf_table_is_in_no_row(frame, fitted_and_scored):
     fitted, _ = fitted_and_scored
     plan = fitted.days.predict(models.encoded(fitted.preprocessing, frame))._jdf.queryExecution().toString()

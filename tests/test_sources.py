@@ -1,10 +1,12 @@
 """Readers, sinks and their failure messages."""
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from parcelsight.sources import readers, sinks
+from parcelsight.sources import quoted_csv, readers, sinks
 from parcelsight.sources.schemas import RAW_SCHEMAS
 
 
@@ -26,6 +28,51 @@ def test_csv_with_line_breaks_quotes_and_leading_zeros(spark, tmp_path):
     assert customers.schema == RAW_SCHEMAS["customers"]
 
 
+@pytest.fixture()
+def small_ranges(spark):
+    """Ranges of a few hundred bytes, so that records lie across them."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "300")
+    spark.conf.set(names[1], "1")
+    yield
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("break_", ["\n", "\r\n"])
+def test_quoted_csv_in_ranges_equals_the_reader_of_whole_files(spark, tmp_path, small_ranges, break_):
+    rng = random.Random(3)
+    pieces = ["plain", "é ü 가", 'a ""quote""', "one\ntwo", "\n\n", ",", "x" * 700, "", "l\n" * 90, '""', "two\r\nlines"]
+    for k in range(2):
+        rows = ["id,note,more"]
+        for i in range(150):
+            note = "".join(rng.choices(pieces, k=rng.randint(0, 3)))
+            rows.append(f'{k}-{i},"{note}",' + rng.choice(["", "z", '""', '"q,r"']))
+            if i % 40 == 7:
+                rows.append("")
+        (tmp_path / f"part{k}.csv").write_text(break_.join(rows) + break_ * k, encoding="utf-8", newline="")
+    want = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path))
+    got = quoted_csv.read_quoted_csv(spark, str(tmp_path))
+    assert got.columns == want.columns
+    canonical = lambda df: sorted(map(str, df.collect()))
+    assert canonical(got) == canonical(want) and got.count() == 300
+    records = quoted_csv.quoted_records(spark, str(tmp_path))
+    tasks = records.groupBy(F.spark_partition_id()).count().count()
+    assert records.rdd.getNumPartitions() > 20 and tasks > 20
+    parities = quoted_csv.range_parities(quoted_csv._lines(spark, str(tmp_path)))
+    assert parities.where("inside").count() > 5 and parities.where("NOT closed").count() == 0
+
+
+def test_quoted_csv_of_broken_and_empty_files(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text('a,b\n1,"open\n2,x\n')
+    with pytest.raises(ValueError, match="not closed"):
+        quoted_csv.read_quoted_csv(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "none.csv").write_text("a,b\n")
+    none = quoted_csv.read_quoted_csv(spark, str(tmp_path / "none.csv"))
+    assert none.columns == ["a", "b"] and none.collect() == []
+
+
 def test_csv_columns_by_name_and_malformed_values(spark, tmp_path):
     (tmp_path / "sellers.csv").write_text(
         "seller_state,extra,seller_id,seller_city,seller_zip_code_prefix\nSP,x,s1,campinas,01001\n")
