@@ -23,7 +23,7 @@ from parcelsight.llm.common import Scratch
 LEAST_DOCS, SCALE, TOP_TERMS = 3, 1_000_000_000, 200
 #: Groups of a block, terms of a cell (about), counts that a task keeps before it sends them on, text bytes
 #: that are cut into terms at once.
-GROUP_BLOCK, CELL_TERMS, HELD_TERMS, PIECE_BYTES = 32, 4096, 200_000, 1 << 20
+GROUP_BLOCK, CELL_TERMS, HELD_TERMS, PIECE_BYTES = 32, 4096, 500_000, 1 << 20
 
 #: A term's bytes are letters, A-Z lowered, and all above ASCII; all others separate.
 _FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
