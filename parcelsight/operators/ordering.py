@@ -85,6 +85,22 @@ def _with_bucket(freq: DataFrame, value: str) -> DataFrame:
     return out
 
 
+def bucketed(freq: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values with the number of their bucket, in ``_bucket``.
+
+    Split points balance distinct values, so a hot value cannot fill a bucket.
+    """
+    # one constant instead of a thousand literals keeps the plan small
+    steps = F.split(F.lit(",".join(
+        str(i / VALUE_BUCKETS) for i in range(1, VALUE_BUCKETS))), ",").cast("array<double>")
+    cuts = F.percentile_approx(value, steps, CUT_ACCURACY).alias("_cuts")
+    if by:
+        freq = freq.join(freq.groupBy(*by).agg(cuts), list(by))
+    else:
+        freq = freq.withColumn("_cuts", freq.agg(cuts).scalar())
+    return _with_bucket(freq, value).drop("_cuts")
+
+
 def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (),
                   bounded: bool = False, weight: str | None = None,
                   keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
@@ -99,16 +115,7 @@ def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (),
     freq = value_frequencies(df, value, by, weight)
     bucket = None
     if not bounded:
-        # split points balance distinct values, so a hot value cannot fill a bucket
-        # one constant instead of a thousand literals keeps the plan small
-        steps = F.split(F.lit(",".join(
-            str(i / VALUE_BUCKETS) for i in range(1, VALUE_BUCKETS))), ",").cast("array<double>")
-        cuts = F.percentile_approx(value, steps, CUT_ACCURACY).alias("_cuts")
-        if by:
-            freq = freq.join(freq.groupBy(*by).agg(cuts), by)
-        else:
-            freq = freq.withColumn("_cuts", freq.agg(cuts).scalar())
-        freq = _with_bucket(freq, value).drop("_cuts")
+        freq = bucketed(freq, value, by)
         bucket = "_bucket"
     ranked = running_total(freq, by, [F.col(value)], "n", "cum_before", bucket, "total", keep)
     ranked = ranked.withColumn("midrank", F.col("cum_before") + (F.col("n") + 1) / 2.0)

@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelsight.functions import pvalues
-from parcelsight.operators.ordering import ranked_values, value_frequencies
+from parcelsight.functions import pvalues, tails
+from parcelsight.operators.ordering import bucketed, ranked_values, running_total, value_frequencies
 from parcelsight.sources.sinks import stage
 
 
@@ -36,7 +36,7 @@ def _tie_sum():
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, second,
                  bounded: bool = False) -> DataFrame:
-    """U of the first group, with tie-corrected z, rank-biserial r and CLES."""
+    """U of the first group, with tie-corrected z, rank-biserial r, CLES and p; without spread p is 1."""
     ranks = _grouped_ranks(df.where(F.col(group).isin(first, second)), value, group, bounded)
     is_first = F.col(group) == F.lit(first)
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("double")
@@ -50,7 +50,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second,
         total + 1 - F.try_divide(F.col("ties"), total * (total - 1))))
     with_u = base.select("n1", "n2", u.alias("u1"), pairs.alias("_pairs"), spread.alias("_sd"))
     centred = F.col("u1") - F.col("_pairs") / 2.0
-    return with_u.select(
+    tested = with_u.select(
         F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"), "u1",
         (F.col("_pairs") - F.col("u1")).alias("u2"),
         F.try_divide(F.greatest(F.abs(centred) - 0.5, F.lit(0.0)), F.col("_sd")).alias("z_abs"),
@@ -58,6 +58,9 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second,
         (2.0 * F.try_divide(F.col("u1"), F.col("_pairs")) - 1.0).alias("rank_biserial_r"),
         F.try_divide(F.col("u1"), F.col("_pairs")).alias("cles"),
     )
+    return tested.withColumns({
+        "p_two_sided": F.coalesce(F.least(2.0 * tails.normal_tail("z_abs"), F.lit(1.0)), F.lit(1.0)),
+        "p_greater": F.coalesce(tails.normal_tail("z_greater"), F.lit(1.0))})
 
 
 def mann_whitney_p(result: DataFrame, alternative: str = "two-sided") -> float:
@@ -71,7 +74,7 @@ def mann_whitney_p(result: DataFrame, alternative: str = "two-sided") -> float:
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str, bounded: bool = False) -> DataFrame:
-    """H with tie correction over all groups."""
+    """H with tie correction over all groups, and its p, null where H is not defined."""
     ranks = _grouped_ranks(df, value, group, bounded)
     per_group = ranks.groupBy(group).agg(
         F.sum("n").cast("double").alias("n"),
@@ -83,7 +86,8 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, bounded: bool = False)
     h = 12.0 / (n * (n + 1)) * F.col("s") - 3.0 * (n + 1)
     return total.select(
         F.col("k").alias("groups"), n.cast("bigint").alias("n"),
-        F.try_divide(h, 1.0 - F.try_divide(F.col("ties"), n * n * n - n)).alias("h"))
+        F.try_divide(h, 1.0 - F.try_divide(F.col("ties"), n * n * n - n)).alias("h")).withColumn(
+        "p_value", tails.chi_square_tail("h", F.col("groups") - 1))
 
 
 def kruskal_wallis_p(result: DataFrame) -> float | None:
@@ -138,7 +142,15 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], bounded: bool = False
             c, F.col("midrank").alias(f"_rank_{c}"))
         ranked = ranked.join(ranks, c)
     as_ranks = ranked.select("_n", *[F.col(f"_rank_{c}").alias(c) for c in columns])
-    return _pair_correlations(as_ranks, columns, "_n").withColumnRenamed("corr", "rho")
+    return _pair_correlations(as_ranks, columns, "_n").withColumnRenamed("corr", "rho").withColumn(
+        "p_value", correlation_p("rho", "n"))
+
+
+def correlation_p(corr: str, n: str) -> Column:
+    """Two-sided p of a correlation; null for a constant column or fewer than three rows."""
+    r, freedom = F.col(corr), F.col(n) - 2
+    t = r * F.sqrt(F.try_divide(freedom.cast("double"), 1.0 - r * r))
+    return F.when(r.isNull() | (freedom < 1), None).when(F.abs(r) >= 1.0, 0.0).otherwise(tails.student_two_sided(t, freedom))
 
 
 def spearman_p(rho: float | None, n: int) -> float | None:
@@ -156,7 +168,7 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def welch_t(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
-    """Difference of means with unequal variances: t and degrees of freedom."""
+    """Difference of means with unequal variances: t, degrees of freedom and two-sided p, null where t is."""
     v = F.col(value).cast("double")
 
     def side(key, i):
@@ -173,7 +185,7 @@ def welch_t(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
         F.try_divide((a + b) * (a + b),
                      F.try_divide(a * a, F.col("n1") - 1)
                      + F.try_divide(b * b, F.col("n2") - 1)).alias("df"),
-    )
+    ).withColumn("p_value", tails.student_two_sided("t", "df"))
 
 
 def welch_p(result: DataFrame) -> float | None:
@@ -184,6 +196,47 @@ def welch_p(result: DataFrame) -> float | None:
     return pvalues.student_two_sided(row["t"], row["df"])
 
 
+def _cumulative(df: DataFrame, value: str, columns: dict[str, Column], bounded: bool) -> DataFrame:
+    """Distinct values with the sum of each column over all values up to each (``<name>``) and over all (``<name>_all``).
+
+    The raw rows are counted per distinct value first; running totals use buckets, as ranks do.
+    """
+    freq = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(
+        *[F.sum(c).cast("double").alias(f"_{n}") for n, c in columns.items()], F.count("*").alias("_rows")).where("_rows > 0")
+    if not bounded:
+        freq = bucketed(freq, "_v")
+    for name in columns:
+        freq = running_total(freq, [], [F.col("_v")], f"_{name}", f"_{name}_before", None if bounded else "_bucket",
+                             f"{name}_all")
+        freq = freq.withColumn(name, F.col(f"_{name}_before") + F.col(f"_{name}"))
+    return freq
+
+
+def kolmogorov_smirnov(df: DataFrame, value: str, group: str, first, second, bounded: bool = False) -> DataFrame:
+    """Largest gap between the cumulative curves of two groups, with the p of its limiting distribution."""
+    one = lambda key: F.when(F.col(group) == F.lit(key), 1).otherwise(0)
+    curves = _cumulative(df.where(F.col(group).isin(first, second)), value, {"a": one(first), "b": one(second)}, bounded)
+    gap = F.abs(F.try_divide(F.col("a"), F.col("a_all")) - F.try_divide(F.col("b"), F.col("b_all")))
+    found = curves.agg(F.max("a_all").cast("long").alias("n1"), F.max("b_all").cast("long").alias("n2"), F.max(gap).alias("d"))
+    size = F.sqrt(F.try_divide((F.col("n1") * F.col("n2")).cast("double"), (F.col("n1") + F.col("n2")).cast("double")))
+    return found.withColumn("p_value", tails.kolmogorov_tail(size * F.col("d")))
+
+
+def kolmogorov_smirnov_normal(df: DataFrame, value: str, bounded: bool = False) -> DataFrame:
+    """Largest gap between the cumulative curve of a column and the normal one of its mean and deviation.
+
+    The p is that of a normal distribution given beforehand; as mean and deviation come from the same rows, it is too large.
+    """
+    v = F.col(value).cast("double")
+    shape = df.agg(F.struct(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))).scalar()
+    curve = _cumulative(df, value, {"n": F.lit(1)}, bounded).withColumn("_s", shape)
+    below = 1.0 - tails.normal_tail(F.try_divide(F.col("_v").cast("double") - F.col("_s.mean"), F.col("_s.std")))
+    upto, before = F.col("n") / F.col("n_all"), F.col("_n_before") / F.col("n_all")
+    found = curve.agg(F.max("n_all").cast("long").alias("n"), F.max("_s.mean").alias("mean"), F.max("_s.std").alias("std"),
+                      F.max(F.greatest(upto - below, below - before)).alias("d"))
+    return found.withColumn("p_value", tails.kolmogorov_tail(F.sqrt(F.col("n").cast("double")) * F.col("d")))
+
+
 def jarque_bera(df: DataFrame, value: str, group: str) -> DataFrame:
     """Normality statistic per group from skewness and excess kurtosis."""
     v = F.col(value).cast("double")

@@ -7,6 +7,19 @@ from parcelsight.operators import rank_tests
 from parcelsight.plans import hypothesis, reports
 from parcelsight.plans.catalog.registry import Inputs, register
 
+# Simpson's rule over 12 units beyond z; the tail further out is below 1e-32.
+def _normal_tail(z: str) -> str:
+    return f"""(SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * exp(-power(({z}) + i * 0.003, 2) / 2)) * 0.001 / sqrt(2 * pi()) FROM range(4001) AS s(i))"""
+
+
+# The same over Student's density.
+def _student(t: str, df: str) -> str:
+    return f"""(SELECT 2 * sum(CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * power(1 + power(abs({t}) + i * 0.005, 2) / ({df}), -(({df}) + 1) / 2)) * 0.005 / 3
+    * exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi()) FROM range(8001) AS s(i))"""
+
+
 # Midranks by counting, pooled over two groups.
 _MWU = """
 , s AS (SELECT {value} AS v, {group} AS g FROM {source}),
@@ -19,13 +32,15 @@ u AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u1,
 SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, u1, n1 * n2 - u1 AS u2,
   round(greatest(abs(u1 - n1 * n2 / 2) - 0.5, 0) / sd, 6) AS z_abs,
   round((u1 - n1 * n2 / 2 - 0.5) / sd, 6) AS z_greater,
-  round(2 * u1 / (n1 * n2) - 1, 6) AS rank_biserial_r, round(u1 / (n1 * n2), 6) AS cles FROM u"""
+  round(2 * u1 / (n1 * n2) - 1, 6) AS rank_biserial_r, round(u1 / (n1 * n2), 6) AS cles,
+  round(least(2 * """ + _normal_tail("greatest(abs(u1 - n1 * n2 / 2) - 0.5, 0) / sd") + """, 1), 6) AS p_two_sided,
+  round(""" + _normal_tail("(u1 - n1 * n2 / 2 - 0.5) / sd") + """, 6) AS p_greater FROM u"""
 
 
 @register("k2_k3_scores_of_delayed_orders", _MWU.format(
     value="review_score", group="is_delayed", source="final_orders", first=1))
 def _(q: Inputs):
-    return rank_tests.mann_whitney(q.orders, "review_score", "is_delayed", 1, 0)
+    return rank_tests.mann_whitney(q.orders, "review_score", "is_delayed", 1, 0, bounded=True)
 
 
 @register("k2_k3_dispatch_of_delayed_items", _MWU.format(
@@ -52,10 +67,12 @@ r AS (SELECT *, sum(t) OVER (ORDER BY v) - t + (t + 1) / 2 AS mid FROM f),
 p AS (SELECT g, count(*)::DOUBLE AS n, sum(mid) AS s FROM g JOIN r USING (v) GROUP BY 1),
 n AS (SELECT sum(n) AS n, count(*) AS k, sum(s * s / n) AS q FROM p)
 SELECT k AS groups, n::BIGINT AS n, round((12 / (n * (n + 1)) * q - 3 * (n + 1))
-  / (1 - (SELECT sum(t * t * t - t) FROM f) / (n * n * n - n)), 6) AS h FROM n""")
+  / (1 - (SELECT sum(t * t * t - t) FROM f) / (n * n * n - n)), 6) AS h,
+  round(exp(-(12 / (n * (n + 1)) * q - 3 * (n + 1))
+  / (1 - (SELECT sum(t * t * t - t) FROM f) / (n * n * n - n)) / 2), 6) AS p_value FROM n""")
 def _(q: Inputs):
     grouped = reports.with_speed_group(q.items("delay_days", "delivery_days", "review_score"))
-    return rank_tests.kruskal_wallis(grouped, "review_score", "speed_group")
+    return rank_tests.kruskal_wallis(grouped, "review_score", "speed_group", bounded=True)
 
 
 _LOGISTICS = ["delivery_days", "dispatch_days", "approved_days", "expected_delivery_days",
@@ -71,8 +88,10 @@ def _pairs(columns, source, name):
 
 
 @register("k5_spearman_matrix", f"""
-, r AS (SELECT {_RANKED} FROM sale_items)
-{_pairs(_LOGISTICS, 'r', 'rho')}""")
+, r AS (SELECT {_RANKED} FROM sale_items),
+c AS ({_pairs(_LOGISTICS, 'r', 'rho').replace("round(corr(", "(corr(").replace("), 6) AS", ")) AS")})
+SELECT "left", "right", n, round(rho, 6) AS rho, CASE WHEN "left" = "right" THEN 0.0
+  ELSE round({_student('rho * sqrt((n - 2) / (1 - rho * rho))', 'n - 2')}, 6) END AS p_value FROM c""")
 def _(q: Inputs):
     return rank_tests.spearman_matrix(q.items(*_LOGISTICS), _LOGISTICS)
 
@@ -92,7 +111,9 @@ def _(q: Inputs):
 SELECT n1, n2, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2,
   round((mean1 - mean2) / sqrt(v1 / n1 + v2 / n2), 6) AS t,
   round(pow(v1 / n1 + v2 / n2, 2)
-    / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS df FROM s""")
+    / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS df,
+  round(""" + _student("(mean1 - mean2) / sqrt(v1 / n1 + v2 / n2)", """pow(v1 / n1 + v2 / n2, 2)
+    / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1))""") + """, 6) AS p_value FROM s""")
 def _(q: Inputs):
     return rank_tests.welch_t(q.orders, "review_score", "is_delayed", 1, 0).withColumn(
         "df", F.round("df", 4))
@@ -128,7 +149,7 @@ def _(q: Inputs):
     return rank_tests.normal_quantile_points(q.orders, "delivery_days", "is_delayed")
 
 
-@register("k10_delay_threshold_test", """
+_THRESHOLD = """
 , s AS (SELECT review_score AS v, delay_days <= 3 AS short FROM final_orders
   WHERE delay_days > 0),
 f AS (SELECT v, count(*) AS t, count(*) FILTER (WHERE short) AS a FROM s GROUP BY 1),
@@ -145,19 +166,56 @@ g AS (SELECT CASE WHEN short THEN '1-3일 지연' ELSE '4일 이상 지연' END
 SELECT "group", "count", round(mean, 6) AS mean, median, round(std, 6) AS std,
   (SELECT round(avg(v) FILTER (WHERE short) - avg(v) FILTER (WHERE NOT short), 6) FROM s)
     AS mean_diff_1_3_minus_4_plus,
-  u1 AS mannwhitney_u, round(z_abs, 6) AS z_abs, round(r, 6) AS rank_biserial_r,
+  u1 AS mannwhitney_u, __Z____P__ AS p_value, round(r, 6) AS rank_biserial_r,
   CASE WHEN abs(r) >= 0.5 THEN '큰 효과' WHEN abs(r) >= 0.3 THEN '중간 효과'
     WHEN abs(r) >= 0.1 THEN '작은 효과' ELSE '매우 작은 효과' END AS effect_size_label
-FROM g, z""")
+FROM g, z""".replace("__P__", f"round(least(2 * {_normal_tail('z_abs')}, 1), 6)")
+
+
+@register("k10_delay_threshold_test", _THRESHOLD.replace("__Z__", "round(z_abs, 6) AS z_abs, "))
 def _(q: Inputs):
     return hypothesis.threshold_test(q.orders)
 
 
-@register("k10_delay_threshold_test_with_p")
+@register("k10_delay_threshold_test_with_p", _THRESHOLD.replace("__Z__", ""))
 def _(q: Inputs):
     return hypothesis.threshold_test_with_p(q.orders)
 
 
+_KS = """
+, f AS (SELECT {value} AS v, count(*) FILTER (WHERE is_delayed = 1) AS a, count(*) FILTER (WHERE is_delayed = 0) AS b
+  FROM {source} WHERE {value} IS NOT NULL AND is_delayed IN (0, 1) GROUP BY 1),
+c AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER ()::DOUBLE AS fa, sum(b) OVER (ORDER BY v) / sum(b) OVER ()::DOUBLE AS fb
+  FROM f),
+n AS (SELECT sum(a)::BIGINT AS n1, sum(b)::BIGINT AS n2, (SELECT max(abs(fa - fb)) FROM c) AS d FROM f),
+l AS (SELECT *, sqrt(n1 * n2::DOUBLE / (n1 + n2)) * d AS x FROM n)
+SELECT n1, n2, round(d, 6) AS d, round(CASE WHEN x < 0.2 THEN 1 ELSE least(1, (SELECT sum((2 * (k % 2) - 1) * 2
+  * exp(-2.0::DOUBLE * k * k * x * x)) FROM range(1, 61) AS s(k))) END, 6) AS p_value FROM l"""
+
+
+@register("k8_ks_scores_of_delayed_orders", _KS.format(value="review_score", source="final_orders"))
+def _(q: Inputs):
+    return rank_tests.kolmogorov_smirnov(q.orders, "review_score", "is_delayed", 1, 0, bounded=True)
+
+
+@register("k8_ks_price_of_delayed_items", _KS.format(value="price", source="sale_items"))
+def _(q: Inputs):
+    return rank_tests.kolmogorov_smirnov(q.items("price", "is_delayed"), "price", "is_delayed", 1, 0)
+
+
+@register("k8_ks_normal_dispatch_days", f"""
+, m AS (SELECT avg(dispatch_days) AS mean, stddev_samp(dispatch_days) AS std FROM sale_items),
+f AS (SELECT dispatch_days::DOUBLE AS v, count(*)::DOUBLE AS t FROM sale_items WHERE dispatch_days IS NOT NULL GROUP BY 1),
+c AS (SELECT v, sum(t) OVER (ORDER BY v) / sum(t) OVER () AS upto, (sum(t) OVER (ORDER BY v) - t) / sum(t) OVER () AS before,
+  1 - {_normal_tail('(v - m.mean) / m.std')} AS below FROM f, m),
+n AS (SELECT (SELECT sum(t) FROM f)::BIGINT AS n, max(greatest(upto - below, below - before)) AS d FROM c)
+SELECT n.n, round(mean, 6) AS mean, round(std, 6) AS std, round(d, 6) AS d,
+  round(CASE WHEN sqrt(n.n) * d < 0.2 THEN 1 ELSE least(1, (SELECT sum((2 * (k % 2) - 1) * 2
+  * exp(-2.0::DOUBLE * k * k * n.n * d * d)) FROM range(1, 61) AS s(k))) END, 6) AS p_value FROM n, m""")
+def _(q: Inputs):
+    return rank_tests.kolmogorov_smirnov_normal(q.items("dispatch_days"), "dispatch_days")
+
+
 @register("k3_effect_level", """
 , s AS (SELECT avg(review_score) FILTER (WHERE is_delayed = 1) AS a FROM final_orders),
 f AS (SELECT review_score AS v, count(*) AS t, count(*) FILTER (WHERE is_delayed = 1) AS a

@@ -1,8 +1,11 @@
 """Tail functions against table values."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
-from parcelsight.functions import pvalues
+from parcelsight.functions import pvalues, tails
 
 
 def test_normal():
@@ -28,3 +31,45 @@ def test_student(t, df, p):
 def test_published_effect_size_identity():
     # U and group sizes of a published 1-3 days against 4+ days comparison
     assert 2 * 6621470 / (2086 * 3983) - 1 == pytest.approx(0.5938953399503017)
+
+
+def first(spark, *columns):
+    return tuple(spark.range(1).select(*columns).first())
+
+
+def test_normal_columns(spark):
+    zs = [-9.0, -1.96, -0.3, 0.0, 0.2, 0.6, 1.0, 1.959963984540054, 4.0, 6.0, 9.0, 20.0, 37.0]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", tails.normal_tail("z").alias("p")).collect()
+    for r in rows:
+        assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2)), rel=1e-11), r["z"]
+    # published values
+    assert first(spark, tails.normal_tail(F.lit(1.644853626951472)), tails.normal_tail(F.lit(5.0))) == pytest.approx(
+        (0.05, 2.866515718791939e-07), rel=1e-11)
+    assert first(spark, tails.normal_tail(F.lit(None).cast("double"))) == (None,)
+
+
+@pytest.mark.parametrize("x, df, p", [
+    (3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (11.070497693516351, 5, 0.05),
+    (18.307038053275146, 10, 0.05), (124.3421134, 100, 0.05), (0.0, 3, 1.0), (0.5, 4, 0.9735009788392561),
+    (300.0, 2, 7.175095973164411e-66)])
+def test_chi_square_column(spark, x, df, p):
+    got = first(spark, tails.chi_square_tail(F.lit(x), F.lit(df)))[0]
+    assert got == pytest.approx(p, rel=1e-8)
+    assert got == pytest.approx(pvalues.chi2_sf(x, df), rel=1e-9)
+
+
+@pytest.mark.parametrize("t, df, p", [
+    (2.2281388519649385, 10, 0.05), (12.706204736432095, 1, 0.05), (1.9719565442517553, 199, 0.05),
+    (1.971896223516, 200, 0.05), (1.9623390808264078, 1000, 0.05), (-3.2905267314918945, 1e9, 0.001), (0.0, 5, 1.0),
+    (0.1, 3, 1 - 2 / math.pi * (math.atan(0.1 / 3**0.5) + 0.1 * 3**0.5 / 3.01)), (1.0, 1, 0.5)])
+def test_student_column(spark, t, df, p):
+    got = first(spark, tails.student_two_sided(F.lit(t), F.lit(df)))[0]
+    assert got == pytest.approx(p, rel=1e-7)
+    if df < 1e6:
+        assert got == pytest.approx(pvalues.student_two_sided(t, df), rel=1e-9)
+
+
+def test_kolmogorov_column(spark):
+    # published critical values of the limiting distribution
+    got = first(spark, *(tails.kolmogorov_tail(F.lit(x)) for x in (1.3580986393225507, 1.6276236115189502, 0.1, 9.0)))
+    assert got == pytest.approx((0.05, 0.01, 1.0, 0.0), rel=1e-9, abs=1e-15)
