@@ -146,6 +146,29 @@ def test_stream_scores_like_the_batch(spark, frame, fitted_and_scored, tmp_path)
         tuple(r) for r in scored.select(*columns).collect()}
 
 
+def test_alerts_of_a_scored_stream_are_the_batch_list(spark, frame, fitted_and_scored, tmp_path):
+    """The same alerts, with the same row of each order, for any number of files in a batch."""
+    fitted, _ = fitted_and_scored
+    rows = frame.withColumn("order_id", F.concat(F.lit("x"), F.substring("order_id", 1, 3)))  # orders of many rows
+    rows = rows.unionByName(rows.limit(5).withColumn("order_item_id", F.lit(None).cast("int")))
+    landing = str(tmp_path / "landing")
+    rows.repartition(5).write.parquet(landing)
+    scored = stream_scoring.risk_stream(fitted.preprocessing, fitted.risk, spark.read.parquet(landing))
+    columns = stream_scoring.ALERT_COLUMNS
+    want = {tuple(r) for r in scoring.high_risk_orders(scored).select(*columns).collect()}
+    assert len(want) > 20 and len(want) == len({r[0] for r in want})
+    revisions = set()
+    for files in (1, 2, None):
+        stream = stream_scoring.arriving_rows(spark, landing, rows.schema, files_per_batch=files)
+        log = stream_scoring.drain(stream_scoring.alert_log(
+            stream_scoring.risk_stream(fitted.preprocessing, fitted.risk, stream)),
+            str(tmp_path / f"log{files}"), str(tmp_path / f"state{files}"))
+        got = stream_scoring.current_alerts(log)
+        assert got.columns == columns and {tuple(r) for r in got.collect()} == want
+        revisions.add(log.agg(F.max("revision")).first()[0])
+    assert min(revisions) == 1 and max(revisions) > 1
+
+
 def test_replayed_alerts_come_out_once(spark, tmp_path):
     """The same alerts for any number of files in a batch, also for an order that is days late."""
     day = "timestamp'2024-01-10 00:00:00'"
