@@ -180,6 +180,14 @@ def _(q: Inputs):
     return console.evaluate_quantiles(preprocessing, console.train_days(train), part(rows, "test"))
 
 
+@register("m7_quantile_boosting")
+def _(q: Inputs):
+    rows = order_time_rows(q)
+    preprocessing, train = console.prepare_training(rows.where("split != 'test'"))
+    fitted = console.train_quantile_boosting(train, (0.80, 0.90, 0.95))
+    return console.evaluate_boosted_quantiles(fitted, preprocessing, part(rows, "test"))
+
+
 @register("p5_p10_scored_hold_out")
 def _(q: Inputs):
     _, scored = console.hold_out_console(order_time_rows(q))

@@ -36,6 +36,21 @@ def _(q: Inputs):
         F.col("seller_id").cast("long").alias("seller_id"), "seller_city", "seller_state")
 
 
+@register("s1_quoted_csv_in_ranges", """
+SELECT review_id, order_id, review_score, review_comment_title,
+  review_comment_message || chr(10) || 'a "quoted" word, and' || chr(10) || chr(10) || 'the end' AS review_comment_message
+FROM raw_reviews""")
+def _(q: Inputs):
+    """Reviews with line breaks, quotes and commas in their messages, written as CSV and read range by range."""
+    folder = f"{staging_root(q.spark)}/parcelsight/s1-{uuid.uuid4().hex}"
+    text = F.concat("review_comment_message", F.lit('\na "quoted" word, and\n\nthe end'))
+    q.tables.reviews.withColumn("review_comment_message", text).write.option("header", True).option(
+        "escape", '"').csv(f"{folder}/reviews.csv")
+    reviews = readers.read_raw(q.spark, folder, "reviews")
+    return reviews.select(*(F.col(c).cast("long").alias(c) for c in ("review_id", "order_id")), "review_score",
+                          "review_comment_title", "review_comment_message")
+
+
 @register("s2_s3_snapshot_round_trip", """
 SELECT order_id, product_id, seller_id, order_item_id FROM raw_items""")
 def _(q: Inputs):
@@ -110,6 +125,74 @@ def _(q: Inputs):
     return quality.duplicate_counts(geo, geo.columns)
 
 
+# All nine tables with their measures and their texts; identifiers are texts.
+_TABLES = {
+    "customers": ("raw_customers", [], ["customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city",
+                                        "customer_state"]),
+    "geolocation": ("raw_geolocation", ["geolocation_lat", "geolocation_lng"],
+                    ["geolocation_zip_code_prefix", "geolocation_city", "geolocation_state"]),
+    "order_items": ("raw_items", ["order_item_id", "price", "freight_value"], ["order_id", "product_id", "seller_id"]),
+    "payments": ("raw_payments", ["payment_sequential", "payment_installments", "payment_value"],
+                 ["order_id", "payment_type"]),
+    "reviews": ("raw_reviews", ["review_score"], ["review_id", "order_id", "review_comment_title", "review_comment_message"]),
+    "orders": ("raw_orders", [], ["order_id", "customer_id", "order_status"]),
+    "products": ("raw_products", ["product_name_lenght", "product_description_lenght", "product_photos_qty",
+                                  "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"],
+                 ["product_id", "product_category_name"]),
+    "sellers": ("raw_sellers", [], ["seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"]),
+    "category": ("raw_category", [], ["product_category_name", "product_category_name_english"]),
+}
+_TIMES = {"order_items": ["shipping_limit_date"], "reviews": ["review_creation_date", "review_answer_timestamp"],
+          "orders": _ORDER_COLUMNS[3:]}
+
+
+def _over_tables(q: Inputs, profile, chosen=lambda name: True):
+    """A profile of every chosen table, with the table's name before its rows."""
+    out = None
+    for name in filter(chosen, _TABLES):
+        rows = profile(name, getattr(q.tables, name))
+        rows = rows.select(F.lit(name).alias("table"), *rows.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("s5_numeric_profile_of_all_tables", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean,
+    round(stddev_samp({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min,
+    round(max({c})::DOUBLE, 6) AS max, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25,
+    round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q50, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75
+    FROM {source}""" for name, (source, measures, _) in _TABLES.items() for c in measures))
+def _(q: Inputs):
+    return _over_tables(q, lambda name, df: quality.numeric_profile(df, _TABLES[name][1]), lambda name: _TABLES[name][1])
+
+
+@register("s5_text_profile_of_all_tables", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", '{c}' AS "column", sum(k)::BIGINT AS n, count(*) AS "unique",
+    arg_min(v, (-k, v)) AS top, max(k)::BIGINT AS freq FROM (
+      SELECT {c}::VARCHAR AS v, count(*) AS k FROM {source} WHERE {c} IS NOT NULL GROUP BY 1) HAVING count(*) > 0"""
+    for name, (source, _, texts) in _TABLES.items() for c in texts))
+def _(q: Inputs):
+    return _over_tables(q, lambda name, df: quality.text_profile(df, _TABLES[name][2]))
+
+
+@register("s6_null_profile_of_all_tables", "SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", '{c}' AS "column", count(*) - count({c}) AS missing,
+    round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 6) AS missing_pct FROM {source}"""
+    for name, (source, measures, texts) in _TABLES.items() for c in [*measures, *texts, *_TIMES.get(name, [])])
+    + ") WHERE missing > 0")
+def _(q: Inputs):
+    return _over_tables(q, lambda name, df: quality.null_profile(df))
+
+
+@register("s7_duplicate_rows_of_all_tables", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", coalesce(sum(k - 1), 0)::BIGINT AS surplus_rows,
+    coalesce(sum(CASE WHEN k > 1 THEN k END), 0)::BIGINT AS member_rows FROM (SELECT count(*) AS k FROM {source}
+    GROUP BY {', '.join([*measures, *texts, *_TIMES.get(name, [])])})"""
+    for name, (source, measures, texts) in _TABLES.items()))
+def _(q: Inputs):
+    return _over_tables(q, lambda name, df: quality.duplicate_counts(df, df.columns))
+
+
 @register("s7_duplicate_review_members", """
 SELECT order_id, review_id, review_score FROM raw_reviews WHERE order_id IN (
   SELECT order_id FROM raw_reviews GROUP BY 1 HAVING count(*) > 1)""")

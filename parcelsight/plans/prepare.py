@@ -187,17 +187,26 @@ def _with_category(rows: DataFrame, products: DataFrame) -> DataFrame:
         c: F.coalesce(c, F.lit(categories.OTHERS)) for c in ("main_category", "sub_category")})
 
 
-def reviewed_items(tables: RawTables) -> DataFrame:
-    """Item rows with raw lookups and derived days, before any filling."""
-    centroids = zip_centroids(tables.geolocation)
-    orders = reviewed_orders(tables).join(
-        with_centroid(tables.customers, centroids, "customer"), "customer_id", "left")
-    rows = with_items(orders, tables.order_items)
-    rows = _with_category(rows, categorised_products(tables))
-    rows = rows.join(with_centroid(tables.sellers, centroids, "seller"), "seller_id", "left")
-    points = [f"{side}_{axis}" for side in SIDES for axis in ("lat", "lng")]
-    return rows.select(*ORDER_COLUMNS, *CUSTOMER_COLUMNS, *ITEM_COLUMNS, *CATEGORY_COLUMNS,
-                       *DIMENSION_COLUMNS, *SELLER_COLUMNS, *points)
+def reviewed_items(tables: RawTables, columns: Iterable[str] | None = None) -> DataFrame:
+    """Item rows with raw lookups and derived days, before any filling; only the joins behind ``columns``."""
+    points = {side: [f"{side}_{axis}" for axis in ("lat", "lng")] for side in SIDES}
+    every = [*ORDER_COLUMNS, *CUSTOMER_COLUMNS, *ITEM_COLUMNS, *CATEGORY_COLUMNS, *DIMENSION_COLUMNS,
+             *SELLER_COLUMNS, *(c for side in SIDES for c in points[side])]
+    wanted = [c for c in every if columns is None or c in set(columns)]
+    has = lambda names: bool(set(wanted) & set(names))
+
+    def side_table(table: DataFrame, side: str) -> DataFrame:
+        return with_centroid(table, zip_centroids(tables.geolocation), side) if has(points[side]) else table
+
+    rows = reviewed_orders(tables)
+    if has([*CUSTOMER_COLUMNS, *points["customer"]]):
+        rows = rows.join(side_table(tables.customers, "customer"), "customer_id", "left")
+    rows = with_items(rows, tables.order_items)
+    if has([*CATEGORY_COLUMNS, *DIMENSION_COLUMNS]):
+        rows = _with_category(rows, categorised_products(tables))
+    if has([*SELLER_COLUMNS, *points["seller"]]):
+        rows = rows.join(side_table(tables.sellers, "seller"), "seller_id", "left")
+    return rows.select(*wanted)
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
@@ -212,11 +221,16 @@ def _imputed_items(tables: RawTables, columns: list[str]) -> DataFrame:
     """Item rows with filled coordinates, dimensions and distance.
 
     The fill values are statistics of the joined rows. The joined rows are
-    staged once; each statistic is then a scan of two to five columns of the
-    staged table, and never repeats the joins.
+    staged once, with no more columns than the wanted ones come from; each statistic is then a scan of
+    two to five columns of the staged table, and never repeats the joins.
     """
     wanted = set(columns)
-    staged = stage(reviewed_items(tables), "reviewed_items")
+    needed = {*wanted, "dispatch_days"}
+    if wanted & set(DISTANCE_COLUMNS):
+        needed |= {f"{side}_{what}" for side in SIDES for what in ("lat", "lng", "city")}
+    if "cross_state" in wanted:
+        needed |= {"customer_state", "seller_state"}
+    staged = stage(reviewed_items(tables, needed), "reviewed_items")
     rows = staged
     if wanted & set(DISTANCE_COLUMNS):
         rows = impute.fill_points_by_city(rows, SIDES, impute.city_point_modes(staged, SIDES))
