@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelsight.operators.metrics import pinball_loss
 from parcelsight.sources.sinks import release, stage, stage_at
@@ -87,17 +88,16 @@ class Boosting:
 
 def _java_trees(trees: Sequence[RandomForestRegressionModel]):
     """The single trees of forests as an array of the session's JVM."""
-    spark = SparkSession.getActiveSession()
-    kind = spark._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
-    out = spark.sparkContext._gateway.new_array(kind, len(trees))
+    context = SparkContext._active_spark_context  # also in threads that have no session of their own
+    out = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
     for i, tree in enumerate(trees):
         out[i] = tree._java_obj.trees()[0]
     return out
 
 
 def _java_weights(weights: Sequence[float]):
-    spark = SparkSession.getActiveSession()
-    out = spark.sparkContext._gateway.new_array(spark._jvm.double, len(weights))
+    context = SparkContext._active_spark_context
+    out = context._gateway.new_array(context._jvm.double, len(weights))
     for i, weight in enumerate(weights):
         out[i] = float(weight)
     return out
@@ -105,7 +105,7 @@ def _java_weights(weights: Sequence[float]):
 
 def as_classifier(boosting: Boosting) -> GBTClassificationModel:
     """A fitted logistic boosting as Spark's own model: scores, importances, saving and loading."""
-    made = SparkSession.getActiveSession()._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+    made = SparkContext._active_spark_context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
         f"boosting_{uuid.uuid4().hex[:12]}", _java_trees(boosting.trees), _java_weights(boosting.weights),
         boosting.trees[0].numFeatures, 2)
     model = GBTClassificationModel(made)
@@ -115,7 +115,7 @@ def as_classifier(boosting: Boosting) -> GBTClassificationModel:
 
 def as_regressor(boosting: Boosting) -> GBTRegressionModel:
     """A fitted squared-error boosting as Spark's own model."""
-    made = SparkSession.getActiveSession()._jvm.org.apache.spark.ml.regression.GBTRegressionModel(
+    made = SparkContext._active_spark_context._jvm.org.apache.spark.ml.regression.GBTRegressionModel(
         f"boosting_{uuid.uuid4().hex[:12]}", _java_trees(boosting.trees), _java_weights(boosting.weights),
         boosting.trees[0].numFeatures)
     model = GBTRegressionModel(made)
@@ -125,7 +125,7 @@ def as_regressor(boosting: Boosting) -> GBTRegressionModel:
 
 def as_forest(trees: Sequence[RandomForestRegressionModel]) -> RandomForestRegressionModel:
     """Trees side by side: one pass gives the leaf of each."""
-    made = SparkSession.getActiveSession()._jvm.org.apache.spark.ml.regression.RandomForestRegressionModel(
+    made = SparkContext._active_spark_context._jvm.org.apache.spark.ml.regression.RandomForestRegressionModel(
         f"trees_{uuid.uuid4().hex[:12]}", _java_trees(trees), trees[0].numFeatures)
     model = RandomForestRegressionModel(made)
     model._resetUid(made.uid())
@@ -177,14 +177,10 @@ def boost(train: DataFrame, valid: DataFrame, loss: Loss, *, rounds: int, depth:
     if loss.quantile is not None:
         out.start = round(train.agg(F.percentile(F.col("label"), loss.quantile)).first()[0] * GRID) / GRID
     base, path = stage_at(rows.withColumn("margin", F.lit(out.start)), "boosting")
-    done = 0
+    done, margins = 0, base.withColumn("path", F.array().cast("array<double>"))
     while len(out.trees) < rounds:
         at = len(out.trees)
-        current = base
-        for i in range(done, at):
-            step = f"__step_{i}"
-            current = _with_step(current, out, i, step).withColumn("margin", F.col("margin") + F.col(step)).drop(step)
-        fit = current.where("fit")
+        fit = margins.where("fit")
         aim = loss.first(F.col("label")) if at == 0 and loss.first else loss.target(F.col("label"), F.col("margin"))
         tree = RandomForestRegressor(
             featuresCol="features", labelCol="__aim", weightCol="weight", numTrees=1, bootstrap=False, maxDepth=depth,
@@ -194,20 +190,18 @@ def boost(train: DataFrame, valid: DataFrame, loss: Loss, *, rounds: int, depth:
         out.weights.append(1.0 if at == 0 and loss.first else rate)
         if loss.quantile is not None:
             out.leaves.append(_leaf_values(fit, tree, loss.quantile, rate))
+        # the margin after each round of the block is the path
+        margins = _with_step(margins, out, at, "__step")
+        margins = margins.select("features", "label", "weight", "fit", (F.col("margin") + F.col("__step")).alias("margin"),
+                                 F.when(~F.col("fit"), F.array_append("path", F.col("margin") + F.col("__step"))).alias("path"))
         if len(out.trees) - done == block or len(out.trees) == rounds:
-            margins = base
-            for i in range(done, len(out.trees)):
-                before = F.col(f"__after_{i - 1}" if i > done else "margin")
-                margins = _with_step(margins, out, i, "__step").withColumn(f"__after_{i}", before + F.col("__step")).drop("__step")
-            after = [F.col(f"__after_{i}") for i in range(done, len(out.trees))]
-            staged, new = stage_at(margins.select(
-                "features", "label", "weight", "fit", after[-1].alias("margin"),
-                F.when(~F.col("fit"), F.array(*after)).alias("path")), "boosting")
+            staged, new = stage_at(margins, "boosting")
             means = [F.sum(F.col("weight") * loss.value(F.col("label"), F.col("path")[i])) / F.sum("weight")
-                     for i in range(len(after))]
+                     for i in range(len(out.trees) - done)]
             out.losses += [float("nan") if x is None else float(x) for x in staged.where("NOT fit").agg(*means).first()]
             release(spark, path)
-            base, path, done = staged.drop("path"), new, len(out.trees)
+            path, done = new, len(out.trees)
+            margins = staged.withColumn("path", F.array().cast("array<double>"))
             if patience is not None and len(out.losses) - out.rounds >= patience:
                 break
     release(spark, path)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import Evaluator
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from parcelsight.operators import metrics
 from parcelsight.operators.splits import stratified_folds, with_class_weight
+from parcelsight.plans import boosting
+from parcelsight.sources.sinks import stage
 
 
 class MacroF1(Evaluator):
@@ -49,6 +53,67 @@ def parameter_sets(space: dict, estimator: Estimator, sample: int | None = None,
     return [{estimator.getParam(n): v for n, v in c.items()} for c in combinations]
 
 
+@dataclass(frozen=True)
+class LogUniform:
+    """Draws whose logarithm is uniform, for rates and penalties."""
+
+    low: float
+    high: float
+
+    def draw(self, rng: random.Random) -> float:
+        return math.exp(rng.uniform(math.log(self.low), math.log(self.high)))
+
+
+@dataclass(frozen=True)
+class Whole:
+    """Whole numbers from low to high."""
+
+    low: int
+    high: int
+
+    def draw(self, rng: random.Random) -> int:
+        return rng.randint(self.low, self.high)
+
+
+@dataclass(frozen=True)
+class Uniform:
+    low: float
+    high: float
+
+    def draw(self, rng: random.Random) -> float:
+        return rng.uniform(self.low, self.high)
+
+
+def random_draws(space: dict, draws: int, seed: int = 42) -> list[dict]:
+    """Seeded settings from distributions; a list in the space is drawn from evenly."""
+    rng = random.Random(seed)
+    return [{n: rng.choice(space[n]) if isinstance(space[n], Sequence) else space[n].draw(rng) for n in sorted(space)}
+            for _ in range(draws)]
+
+
+def staged_search(rows: DataFrame, settings: Sequence[dict], rounds: int, folds: int = 3, patience: int | None = 30,
+                  block: int = 10) -> DataFrame:
+    """Mean validation loss of boosting settings over folds, each at the round where the folds' mean is least.
+
+    A setting is fitted once on each fold, and its loss is known after every round, so that the number of rounds is no
+    dimension of the search. Settings name depth, rate, min_rows and column_share, as far as they differ from boosting's
+    own. ``rows`` carry order_id, label and features and should be staged. Returns settings, best_rounds, cv_loss; the best first.
+    """
+    folded = stage(with_class_weight(with_folds(rows, folds)), "search_folds")
+    out = []
+    for setting in settings:
+        losses = []
+        for fold in range(folds):
+            fit, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+            losses.append(boosting.boost(fit, held, boosting.LOGISTIC, rounds=rounds, patience=patience, block=block,
+                                         **({"depth": 5, "rate": 0.1} | setting)).losses)
+        known = min(map(len, losses))
+        means = [sum(x[i] for x in losses) / folds for i in range(known)]
+        best = min(range(known), key=means.__getitem__)
+        out.append((", ".join(f"{k}={v}" for k, v in sorted(setting.items())), best + 1, float(means[best])))
+    return rows.sparkSession.createDataFrame(out, "settings string, best_rounds int, cv_loss double").orderBy("cv_loss", "settings")
+
+
 def cross_validated_search(rows: DataFrame, estimator: Estimator, space: dict,
                            sample: int | None = None, folds: int = 3, parallelism: int = 2,
                            evaluator: Evaluator | None = None):

@@ -271,6 +271,17 @@ def test_learners_get_enough_tasks(spark, frame):
     assert console.prepare_training(frame)[1].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_staged_search(frame):
+    rows = stage(models.encoded(models.fit_preprocessing(frame, ["distance_km"]), frame), "test_staged_search")
+    space = {"depth": search.Whole(1, 3), "rate": search.LogUniform(0.05, 0.5), "min_rows": [1, 5]}
+    drawn = search.random_draws(space, 200, seed=3)
+    assert drawn == search.random_draws(space, 200, seed=3) and {d["depth"] for d in drawn} == {1, 2, 3}
+    assert {d["min_rows"] for d in drawn} == {1, 5} and all(0.05 <= d["rate"] <= 0.5 for d in drawn)
+    assert 0.35 < sum(d["rate"] < 0.158 for d in drawn) / 200 < 0.65  # the middle of the logarithms
+    found = search.staged_search(rows, drawn[:2], rounds=4, folds=2, patience=None, block=4).collect()
+    assert len(found) == 2 and found[0]["cv_loss"] <= found[1]["cv_loss"] and 1 <= found[0]["best_rounds"] <= 4
+
+
 def test_leaf_table_is_in_no_row(frame, fitted_and_scored):
     fitted, _ = fitted_and_scored
     plan = fitted.days.predict(models.encoded(fitted.preprocessing, frame))._jdf.queryExecution().toString()
