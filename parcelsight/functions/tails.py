@@ -6,7 +6,7 @@ Nulls stay null. Sums and fractions are folds of a fixed number of steps over th
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -32,6 +32,13 @@ _Q = (2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.
       2.33520497626869185e-3)
 
 
+def _let(use: Callable[..., Column], *values: Column) -> Column:
+    """What ``use`` makes of values that are computed once; written out again and again they would swell the plan."""
+    names = [f"v{i}" for i in range(len(values))]
+    bound = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
+    return F.transform(bound, lambda s: use(*[s[n] for n in names]))[0]
+
+
 def _ratio(x: Column, top: Sequence[float], bottom: Sequence[float]) -> Column:
     """Two polynomials in x divided; the last factor of ``top`` is that of the highest power."""
     over, under = top[-1] * x, x
@@ -42,14 +49,18 @@ def _ratio(x: Column, top: Sequence[float], bottom: Sequence[float]) -> Column:
 
 def erfc(x: str | Column) -> Column:
     """The complementary error function, with 15 digits also far out."""
-    x = col(x).cast("double")
-    y = F.abs(x)
-    near = 1.0 - y * _ratio(y * y, _A, _B)
-    middle = F.exp(-y * y) * _ratio(y, _C, _D)
-    inverse = 1.0 / (y * y)
-    far = F.exp(-y * y) * (1.0 / math.sqrt(math.pi) - inverse * _ratio(inverse, _P, _Q)) / y
-    upper = F.when(y <= 0.46875, near).when(y <= 4.0, middle).when(y < 27.5, far).otherwise(F.lit(0.0))
-    return F.when(x.isNull() | F.isnan(x), None).when(x < 0, 2.0 - upper).otherwise(upper)
+    def upper(y: Column, square: Column, inverse: Column) -> Column:
+        near = 1.0 - y * _ratio(square, _A, _B)
+        middle = F.exp(-square) * _ratio(y, _C, _D)
+        far = F.exp(-square) * (1.0 / math.sqrt(math.pi) - inverse * _ratio(inverse, _P, _Q)) / y
+        return F.when(y <= 0.46875, near).when(y <= 4.0, middle).when(y < 27.5, far).otherwise(F.lit(0.0))
+
+    def both(x: Column) -> Column:
+        y = F.abs(x)
+        tail = _let(upper, y, y * y, F.try_divide(F.lit(1.0), y * y))
+        return F.when(x.isNull() | F.isnan(x), None).when(x < 0, 2.0 - tail).otherwise(tail)
+
+    return _let(both, col(x).cast("double"))
 
 
 def normal_tail(z: str | Column) -> Column:
@@ -59,11 +70,14 @@ def normal_tail(z: str | Column) -> Column:
 
 def log_gamma(x: Column) -> Column:
     """The logarithm of the gamma function for positive numbers, by Stirling's series eight steps up."""
-    product, y = x, x + 8.0
-    for i in range(1, 8):
-        product = product * (x + float(i))
-    series = (1.0 / 12 - (1.0 / 360 - (1.0 / 1260 - (1.0 / 1680 - 1.0 / 1188 / (y * y)) / (y * y)) / (y * y)) / (y * y)) / y
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    def stirling(x: Column, y: Column, square: Column) -> Column:
+        product = x
+        for i in range(1, 8):
+            product = product * (x + float(i))
+        series = (1.0 / 12 - (1.0 / 360 - (1.0 / 1260 - (1.0 / 1680 - 1.0 / 1188 / square) / square) / square) / square) / y
+        return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+
+    return _let(stirling, x, x + 8.0, (x + 8.0) * (x + 8.0))
 
 
 def _counting(down: bool = False) -> Column:
@@ -72,13 +86,16 @@ def _counting(down: bool = False) -> Column:
 
 def gamma_tail(a: Column, x: Column) -> Column:
     """The upper part of the regularised incomplete gamma function: a series below a + 1, a fraction above."""
-    scale = F.exp(a * F.log(x) - x - log_gamma(a))
-    series = F.aggregate(
-        _counting(), F.struct((1.0 / a).alias("term"), (1.0 / a).alias("sum")),
-        lambda s, k: F.struct((s["term"] * x / (a + k)).alias("term"), (s["sum"] + s["term"] * x / (a + k)).alias("sum")))
-    fraction = F.aggregate(
-        _counting(down=True), x + 2.0 * STEPS + 1.0 - a, lambda t, k: x + 2.0 * k - 1.0 - a - k * (k - a) / t)
-    return F.when(x <= 0, 1.0).when(x < a + 1, 1.0 - scale * series["sum"]).otherwise(scale / fraction)
+    def parts(a: Column, x: Column) -> Column:
+        scale = F.exp(a * F.log(x) - x - log_gamma(a))
+        series = F.aggregate(
+            _counting(), F.struct((1.0 / a).alias("term"), (1.0 / a).alias("sum")),
+            lambda s, k: F.struct((s["term"] * x / (a + k)).alias("term"), (s["sum"] + s["term"] * x / (a + k)).alias("sum")))
+        fraction = F.aggregate(
+            _counting(down=True), x + 2.0 * STEPS + 1.0 - a, lambda t, k: x + 2.0 * k - 1.0 - a - k * (k - a) / t)
+        return F.when(x <= 0, 1.0).when(x < a + 1, 1.0 - scale * series["sum"]).otherwise(scale / fraction)
+
+    return _let(parts, a, x)
 
 
 def chi_square_tail(x: str | Column, degrees: str | Column) -> Column:
@@ -89,10 +106,6 @@ def chi_square_tail(x: str | Column, degrees: str | Column) -> Column:
 
 def student_two_sided(t: str | Column, degrees: str | Column) -> Column:
     """P(|T| > |t|): an incomplete beta fraction for few degrees of freedom, Hill's series for many."""
-    t, v = F.abs(col(t).cast("double")), col(degrees).cast("double")
-    a, x, rest = v / 2.0, v / (v + t * t), t * t / (v + t * t)
-    front = F.exp(log_gamma(a + 0.5) - log_gamma(a) - 0.5 * math.log(math.pi) + a * F.log(x) + 0.5 * F.log(rest))
-
     def fraction(p: Column, q: Column, at: Column) -> Column:
         def step(value: Column, k: Column) -> Column:
             even = k * (q - k) * at / ((p + 2.0 * k - 1.0) * (p + 2.0 * k))
@@ -101,22 +114,30 @@ def student_two_sided(t: str | Column, degrees: str | Column) -> Column:
             return 1.0 + odd / (1.0 + even / value)
         return F.aggregate(_counting(down=True), F.lit(1.0), step)
 
-    half = F.lit(0.5)
-    few = F.when(x < (a + 1.0) / (a + 2.5), front / a / fraction(a, half, x)).otherwise(
-        1.0 - front / half / fraction(half, a, rest))
-    n = v - 0.5
-    b = 48.0 * n * n
-    z = F.sqrt(n * F.log1p(t * t / v))
-    z2 = z * z
-    deviate = z + (z2 * z + 3.0 * z) / b - (((4.0 * z2 + 33.0) * z2 + 240.0) * z2 + 855.0) * z / (
-        10.0 * b * (b + 0.8 * z2 * z2 + 100.0))
-    many = 2.0 * normal_tail(deviate)
-    return F.when(v > 0, F.when(t == float("inf"), 0.0).when(t == 0, 1.0).when(v < MANY_DEGREES, few).otherwise(many))
+    def few(a: Column, x: Column, rest: Column) -> Column:
+        half = F.lit(0.5)
+        front = F.exp(log_gamma(a + 0.5) - log_gamma(a) - 0.5 * math.log(math.pi) + a * F.log(x) + 0.5 * F.log(rest))
+        return F.when(x < (a + 1.0) / (a + 2.5), front / a / fraction(a, half, x)).otherwise(
+            1.0 - front / half / fraction(half, a, rest))
+
+    def deviate(z: Column, z2: Column, b: Column) -> Column:
+        return z + (z2 * z + 3.0 * z) / b - (((4.0 * z2 + 33.0) * z2 + 240.0) * z2 + 855.0) * z / (
+            10.0 * b * (b + 0.8 * z2 * z2 + 100.0))
+
+    def tail(t: Column, v: Column) -> Column:
+        n, square = v - 0.5, (v - 0.5) * F.log1p(t * t / v)
+        many = 2.0 * normal_tail(_let(deviate, F.sqrt(square), square, 48.0 * n * n))
+        beta = _let(few, v / 2.0, v / (v + t * t), t * t / (v + t * t))
+        return F.when(v > 0, F.when(t == float("inf"), 0.0).when(t == 0, 1.0).when(v < MANY_DEGREES, beta).otherwise(many))
+
+    return _let(tail, F.abs(col(t).cast("double")), col(degrees).cast("double"))
 
 
 def kolmogorov_tail(x: str | Column) -> Column:
     """P(K > x) of the Kolmogorov distribution; below 0.2 it is 1 to twelve digits."""
-    x = col(x).cast("double")
-    terms = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.lit(0.0), lambda s, k: s + F.when(
-        k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))
-    return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(terms, F.lit(0.0)), F.lit(1.0)))
+    def tail(x: Column) -> Column:
+        terms = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.lit(0.0), lambda s, k: s + F.when(
+            k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))
+        return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(terms, F.lit(0.0)), F.lit(1.0)))
+
+    return _let(tail, col(x).cast("double"))

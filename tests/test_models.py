@@ -266,7 +266,8 @@ def test_quantile_boosting(spark, numbers):
 def test_learners_get_enough_tasks(spark, frame):
     from parcelsight.plans.catalog.modelling import encoded_rows
 
-    assert frame.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    frame = stage(frame.coalesce(1), "test_few_tasks")
+    assert frame.rdd.getNumPartitions() == 1
     assert encoded_rows(frame, ["distance_km"]).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert console.prepare_training(frame)[1].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
