@@ -15,16 +15,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import SparkContext
-from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor)
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelsight.operators.metrics import pinball_loss
 from parcelsight.sources.sinks import release, stage, stage_at
 
-#: Rounds between two stagings of the margin.
-BLOCK_ROUNDS = 10
+#: Rounds between two stagings of the margin, and rounds that one fit of Spark's own boosting opens with.
+BLOCK_ROUNDS, OPENING_ROUNDS = 10, 50
 #: Parts of a unit that leaf quantiles are rounded to, so that residuals have a bounded number of values.
 GRID = 256
 
@@ -35,13 +36,14 @@ class Loss:
 
     target: what a tree is fitted to; value: the loss of a row. start: the first margin of all rows, or None where the
     first tree is fitted to the labels themselves and counts in full. quantile: leaves become this quantile of
-    their residuals; without it they keep the tree's mean.
+    their residuals; without it they keep the tree's mean. own: Spark's estimator for this loss.
     """
 
     target: Callable[[Column, Column], Column]
     value: Callable[[Column, Column], Column]
     first: Callable[[Column], Column] | None = None
     quantile: float | None = None
+    own: type | None = None
 
 
 def _sign(y: Column) -> Column:
@@ -55,8 +57,8 @@ def _logistic(y: Column, m: Column) -> Column:
 
 
 #: Twice the log-likelihood of labels 0 and 1; squared error; both as Spark's own boosting has them.
-LOGISTIC = Loss(lambda y, m: 4 * _sign(y) / (1 + F.exp(2 * _sign(y) * m)), _logistic, _sign)
-SQUARED = Loss(lambda y, m: 2 * (y - m), lambda y, m: (y - m) * (y - m), lambda y: y)
+LOGISTIC = Loss(lambda y, m: 4 * _sign(y) / (1 + F.exp(2 * _sign(y) * m)), _logistic, _sign, own=GBTClassifier)
+SQUARED = Loss(lambda y, m: 2 * (y - m), lambda y, m: (y - m) * (y - m), lambda y: y, own=GBTRegressor)
 
 
 def pinball(q: float) -> Loss:
@@ -91,7 +93,7 @@ def _java_trees(trees: Sequence[RandomForestRegressionModel]):
     context = SparkContext._active_spark_context  # also in threads that have no session of their own
     out = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
     for i, tree in enumerate(trees):
-        out[i] = tree._java_obj.trees()[0]
+        out[i] = tree._java_obj.trees()[0] if isinstance(tree, RandomForestRegressionModel) else tree._java_obj
     return out
 
 
@@ -165,10 +167,11 @@ def _leaf_values(frame: DataFrame, tree: RandomForestRegressionModel, q: float,
 
 def boost(train: DataFrame, valid: DataFrame, loss: Loss, *, rounds: int, depth: int, rate: float, min_rows: int = 1,
           column_share: str = "all", row_share: float = 1.0, seed: int = 42, patience: int | None = 30,
-          block: int = BLOCK_ROUNDS) -> Boosting:
+          block: int = BLOCK_ROUNDS, opening: int = OPENING_ROUNDS) -> Boosting:
     """Boost on rows of (features, label, weight) until ``patience`` rounds brought no better validation loss.
 
-    Without patience all rounds are fitted. Whether to go on is asked after each block of rounds.
+    Without patience all rounds are fitted. Whether to go on is asked after the opening, which is one fit of Spark's own
+    where it has the loss, and then after each block of rounds. No round is fitted twice.
     """
     spark = train.sparkSession
     columns = ["features", F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight")]
@@ -176,8 +179,15 @@ def boost(train: DataFrame, valid: DataFrame, loss: Loss, *, rounds: int, depth:
     out = Boosting()
     if loss.quantile is not None:
         out.start = round(train.agg(F.percentile(F.col("label"), loss.quantile)).first()[0] * GRID) / GRID
-    base, path = stage_at(rows.withColumn("margin", F.lit(out.start)), "boosting")
-    done, margins = 0, base.withColumn("path", F.array().cast("array<double>"))
+    if loss.own is not None and opening:
+        _opening(out, train.select(*columns), valid.select(*columns), loss, min(opening, rounds), maxDepth=depth, stepSize=rate,
+                 minInstancesPerNode=min_rows, featureSubsetStrategy=column_share, subsamplingRate=row_share, seed=seed)
+        if len(out.trees) == rounds or patience is not None and len(out.losses) - out.rounds >= patience:
+            return out.cut(out.rounds) if patience is not None else out
+    rows = rows.withColumn("margin", F.lit(out.start)) if not out.trees else as_regressor(out).setPredictionCol(
+        "margin").transform(rows)
+    base, path = stage_at(rows, "boosting")
+    done, margins = len(out.trees), base.withColumn("path", F.array().cast("array<double>"))
     while len(out.trees) < rounds:
         at = len(out.trees)
         fit = margins.where("fit")
@@ -208,6 +218,15 @@ def boost(train: DataFrame, valid: DataFrame, loss: Loss, *, rounds: int, depth:
     return out.cut(out.rounds) if patience is not None else out
 
 
+def _opening(out: Boosting, train: DataFrame, valid: DataFrame, loss: Loss, rounds: int, **size) -> None:
+    """The first rounds by one fit of Spark's own boosting, which keeps its rows in memory meanwhile."""
+    model = loss.own(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, **size).fit(train)
+    out.trees += list(model.trees)
+    out.weights += list(model.treeWeights)
+    each = model.evaluateEachIteration(valid) if loss is LOGISTIC else model.evaluateEachIteration(valid, "squared")
+    out.losses += [float(x) for x in each]
+
+
 @dataclass
 class QuantileBoosting:
     """Boosted trees for one quantile of the delivery days."""

@@ -192,7 +192,7 @@ def test_replayed_alerts_come_out_once(spark, tmp_path):
 def test_boosting_ends_by_the_validation_loss(frame):
     rows = stage(models.encoded(models.fit_preprocessing(frame, ["distance_km"]), frame), "test_patience")
     fit = models.fit_patient(rows.where("split = 'train'"), rows.where("split = 'valid'"),
-                             models.TreeSettings(40, 3, 0.5), patience=4)
+                             models.TreeSettings(40, 3, 0.5), patience=4)  # all in the opening
     assert fit.rounds == min(range(len(fit.losses)), key=fit.losses.__getitem__) + 1
     assert fit.model.getNumTrees == fit.rounds
     assert len(fit.losses) == 40 or len(fit.losses) - fit.rounds >= 4
@@ -214,7 +214,7 @@ def numbers(spark):
 def test_rounds_go_on_from_a_margin_like_one_long_fit(numbers):
     fit, held = numbers.where("NOT held"), numbers.where("held")
     size = dict(rounds=7, depth=3, rate=0.3, min_rows=5, patience=None)
-    found = boosting.boost(fit, held, boosting.LOGISTIC, **size, block=3)
+    found = boosting.boost(fit, held, boosting.LOGISTIC, **size, block=3, opening=0)
     long = models.boosted_classifier(models.TreeSettings(7, 3, 0.3, 5)).fit(fit)
     own = boosting.as_classifier(found)
     text = lambda model: "".join(t.toDebugString.split("\n", 1)[1] for t in model.trees)
@@ -231,8 +231,11 @@ def test_rounds_go_on_from_a_margin_like_one_long_fit(numbers):
     assert found.losses == pytest.approx(losses)
     p = lambda model: [r[0][1] for r in model.transform(held).select("probability").collect()]
     assert p(own) == pytest.approx(p(long))
+    opened = boosting.boost(fit, held, boosting.LOGISTIC, **size, block=2, opening=4)
+    assert same_trees(boosting.as_classifier(opened), long) and opened.losses == pytest.approx(losses)
     square = boosting.as_regressor(boosting.boost(
-        fit.withColumn("label", F.col("days")), held.withColumn("label", F.col("days")), boosting.SQUARED, **size, block=4))
+        fit.withColumn("label", F.col("days")), held.withColumn("label", F.col("days")), boosting.SQUARED, **size, block=4,
+        opening=2))
     regressor = GBTRegressor(labelCol="days", weightCol="weight", maxIter=7, maxDepth=3, stepSize=0.3, minInstancesPerNode=5,
                              seed=models.SEED).fit(fit)
     assert same_trees(square, regressor)
@@ -243,8 +246,8 @@ def test_each_round_is_fitted_once_and_the_end_comes_after_patience(numbers, mon
     real = boosting.RandomForestRegressor
     monkeypatch.setattr(boosting, "RandomForestRegressor", lambda **k: fits.append(k["seed"]) or real(**k))
     fit, held = numbers.where("NOT held"), numbers.where("held")
-    found = boosting.boost(fit, held, boosting.LOGISTIC, rounds=60, depth=6, rate=0.8, patience=4, block=3)
-    assert fits == list(range(models.SEED, models.SEED + len(found.losses)))
+    found = boosting.boost(fit, held, boosting.LOGISTIC, rounds=60, depth=6, rate=0.8, patience=4, block=3, opening=2)
+    assert fits == list(range(models.SEED + 2, models.SEED + len(found.losses)))
     assert len(found.trees) == found.rounds and 4 <= len(found.losses) - found.rounds < 4 + 3
 
 
