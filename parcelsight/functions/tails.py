@@ -31,6 +31,20 @@ _P = (3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.
 _Q = (2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.05183413124413191e-2,
       2.33520497626869185e-3)
 
+# Wichura's rational approximations of the normal quantile (AS 241, 1988): the middle, the tails, far out.
+_MIDDLE = ((3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+            4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+           (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4,
+            3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3))
+_TAILS = ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+           1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+          (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1,
+           1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9))
+_FAR_OUT = ((6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+             2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+            (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4,
+             1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
+
 
 def _let(use: Callable[..., Column], *values: Column) -> Column:
     """What ``use`` makes of values that are computed once; written out again and again they would swell the plan."""
@@ -68,6 +82,49 @@ def normal_tail(z: str | Column) -> Column:
     return 0.5 * erfc(col(z) / math.sqrt(2.0))
 
 
+def _power_sum(x: Column, factors: Sequence[float]) -> Column:
+    """A polynomial in x, the constant first."""
+    value = F.lit(factors[-1])
+    for f in reversed(factors[:-1]):
+        value = value * x + f
+    return value
+
+
+def normal_quantile(p: str | Column) -> Column:
+    """The standard normal value that a share p lies below, to 15 digits; null unless 0 < p < 1."""
+    def divided(x: Column, factors: tuple[Sequence[float], Sequence[float]]) -> Column:
+        return _let(lambda x: _power_sum(x, factors[0]) / _power_sum(x, factors[1]), x)
+
+    def both(p: Column, q: Column, out: Column) -> Column:
+        tail = F.when(out <= 5.0, divided(out - 1.6, _TAILS)).otherwise(divided(out - 5.0, _FAR_OUT))
+        return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, q * divided(0.180625 - q * q, _MIDDLE)).otherwise(
+            F.signum(q) * tail))
+
+    p = col(p).cast("double")
+    return _let(both, p, p - 0.5, F.sqrt(-F.log(F.least(p, 1.0 - p))))
+
+
+def rank_sum_tail(u: Column, n1: Column, n2: Column) -> Column:
+    """P(U >= u) of two untied samples from one distribution, counted out: exact while the counts fit a double.
+
+    How many orders of the pooled sample give each U are the coefficients of a product of (1 - x^(n2+i)) / (1 - x^i); a
+    fold multiplies and divides by one factor after the other. Its work is about (n1 n2)^2, so it is for small samples.
+    """
+    def step(counts: Column, i: Column, n2: Column) -> Column:
+        wider = F.transform(counts, lambda c, k: c - F.coalesce(F.when(k >= n2 + i, F.get(counts, k - n2 - i)), F.lit(0.0)))
+        return _let(lambda w: F.transform(w, lambda _, k: F.aggregate(
+            F.sequence(k % i, k, i), F.lit(0.0), lambda s, j: s + F.get(w, j))), wider)
+
+    def share(u: Column, n1: Column, n2: Column) -> Column:
+        start = F.transform(F.sequence(F.lit(0), n1 * n2), lambda k: F.when(k == 0, 1.0).otherwise(0.0))
+        counts = F.aggregate(F.sequence(F.lit(1), n1), start, lambda c, i: step(c, i, n2))
+        add = lambda s, c: s + c
+        return _let(lambda c, first: F.aggregate(F.slice(c, first + 1, F.size(c)), F.lit(0.0), add)
+                    / F.aggregate(c, F.lit(0.0), add), counts, F.greatest(F.ceil(u).cast("int"), F.lit(0)))
+
+    return F.when((n1 > 0) & (n2 > 0), _let(share, u.cast("double"), n1.cast("int"), n2.cast("int")))
+
+
 def log_gamma(x: Column) -> Column:
     """The logarithm of the gamma function for positive numbers, by Stirling's series eight steps up."""
     def stirling(x: Column, y: Column, square: Column) -> Column:

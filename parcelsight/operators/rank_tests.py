@@ -34,9 +34,19 @@ def _tie_sum():
     return F.sum(F.col("n") / tied * (tied * tied * tied - tied))
 
 
+#: Largest group for which the exact distribution of U is counted out: its counts stay below 2^53.
+EXACT_LIMIT = 25
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, first, second,
-                 bounded: bool = False) -> DataFrame:
-    """U of the first group, with tie-corrected z, rank-biserial r, CLES and p; without spread p is 1."""
+                 bounded: bool = False, exact_up_to: int = 0) -> DataFrame:
+    """U of the first group, with tie-corrected z, rank-biserial r, CLES and p; without spread p is 1.
+
+    Where neither group has more than ``exact_up_to`` rows (at most ``EXACT_LIMIT``) and no value is tied, p comes from the
+    exact distribution of U. With this option a column ``p_method`` tells ``exact`` from ``normal``.
+    """
+    if not 0 <= exact_up_to <= EXACT_LIMIT:
+        raise ValueError(f"exact_up_to lies between 0 and {EXACT_LIMIT}: {exact_up_to}")
     ranks = _grouped_ranks(df.where(F.col(group).isin(first, second)), value, group, bounded)
     is_first = F.col(group) == F.lit(first)
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("double")
@@ -48,7 +58,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second,
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     spread = F.sqrt(pairs / 12.0 * (
         total + 1 - F.try_divide(F.col("ties"), total * (total - 1))))
-    with_u = base.select("n1", "n2", u.alias("u1"), pairs.alias("_pairs"), spread.alias("_sd"))
+    with_u = base.select("n1", "n2", "ties", u.alias("u1"), pairs.alias("_pairs"), spread.alias("_sd"))
     centred = F.col("u1") - F.col("_pairs") / 2.0
     tested = with_u.select(
         F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"), "u1",
@@ -56,11 +66,16 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second,
         F.try_divide(F.greatest(F.abs(centred) - 0.5, F.lit(0.0)), F.col("_sd")).alias("z_abs"),
         F.try_divide(centred - 0.5, F.col("_sd")).alias("z_greater"),
         (2.0 * F.try_divide(F.col("u1"), F.col("_pairs")) - 1.0).alias("rank_biserial_r"),
-        F.try_divide(F.col("u1"), F.col("_pairs")).alias("cles"),
+        F.try_divide(F.col("u1"), F.col("_pairs")).alias("cles"), (F.col("ties") > 0).alias("_tied"),
     )
-    return tested.withColumns({
-        "p_two_sided": F.coalesce(F.least(2.0 * tails.normal_tail("z_abs"), F.lit(1.0)), F.lit(1.0)),
-        "p_greater": F.coalesce(tails.normal_tail("z_greater"), F.lit(1.0))})
+    p = {"p_two_sided": F.least(2.0 * tails.normal_tail("z_abs"), F.lit(1.0)), "p_greater": tails.normal_tail("z_greater")}
+    if exact_up_to:
+        small = ~F.col("_tied") & F.col("n1").between(1, exact_up_to) & F.col("n2").between(1, exact_up_to)
+        tail = lambda u: tails.rank_sum_tail(u, F.col("n1"), F.col("n2"))
+        p["p_two_sided"] = F.when(small, F.least(2.0 * tail(F.greatest("u1", "u2")), F.lit(1.0))).otherwise(p["p_two_sided"])
+        p["p_greater"] = F.when(small, tail(F.col("u1"))).otherwise(p["p_greater"])
+        tested = tested.withColumn("p_method", F.when(small, "exact").otherwise("normal"))
+    return tested.withColumns({name: F.coalesce(c, F.lit(1.0)) for name, c in p.items()}).drop("_tied")
 
 
 def mann_whitney_p(result: DataFrame, alternative: str = "two-sided") -> float:
@@ -237,6 +252,39 @@ def kolmogorov_smirnov_normal(df: DataFrame, value: str, bounded: bool = False)
     return found.withColumn("p_value", tails.kolmogorov_tail(F.sqrt(F.col("n").cast("double")) * F.col("d")))
 
 
+#: Sample sizes for which the normalising transformation of 1 - W' was fitted.
+ROYSTON_SIZES = (5, 5000)
+
+
+def normal_scores(df: DataFrame, value: str, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+    """Normality by W', the squared correlation of the values with the normal scores of their ranks, per group.
+
+    The score of a value is the normal quantile of (midrank - 3/8) / (n + 1/4); tied values share theirs. Ranks come from the
+    frequency table, so nothing is sorted as a whole and the sums run over distinct values. The p is that of Royston's
+    normal approximation, for 5 to 5,000 values without many ties, else null; W' is null for a constant column.
+    """
+    by = list(by)
+    ranks = ranked_values(df.select(*by, F.col(value).cast("double").alias("_v")), "_v", by, bounded)
+    scored = ranks.select(*by, "_v", F.col("n").cast("double").alias("_n"), tails.normal_quantile(
+        (F.col("midrank") - 0.375) / (F.col("total") + 0.25)).alias("_s"))
+    mean = lambda c: (F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(c)
+    means = scored.groupBy(*by).agg(F.struct(mean("_v"), mean("_s")).alias("_m"))
+    centred = scored.join(means, by) if by else scored.withColumn("_m", means.scalar())
+    v, s, n = F.col("_v") - F.col("_m._v"), F.col("_s") - F.col("_m._s"), F.col("_n")
+    sums = centred.groupBy(*by).agg(
+        F.sum(n).cast("long").alias("n"), F.sum(n * v * s).alias("_vs"), F.sum(n * v * v).alias("_vv"),
+        F.sum(n * s * s).alias("_ss"), (F.min("_v") < F.max("_v")).alias("_varies"))
+    tested = sums.select(*by, "n", F.when(F.col("_varies"), F.least(F.try_divide(
+        F.col("_vs") * F.col("_vs"), F.col("_vv") * F.col("_ss")), F.lit(1.0))).alias("w"))
+    # fixed values: Royston's fit of the mean and deviation of log(1 - W')
+    u = F.log(F.col("n").cast("double"))
+    centre = -1.2725 + 1.0521 * (F.log(u) - u)
+    spread = 1.0308 - 0.26758 * (F.log(u) + 2.0 / u)
+    z = (F.log(F.greatest(1.0 - F.col("w"), F.lit(1e-300))) - centre) / spread
+    fitted = F.col("w").isNotNull() & F.col("n").between(*ROYSTON_SIZES)
+    return tested.withColumn("p_value", F.when(fitted, tails.normal_tail(z)))
+
+
 def jarque_bera(df: DataFrame, value: str, group: str) -> DataFrame:
     """Normality statistic per group from skewness and excess kurtosis."""
     v = F.col(value).cast("double")

@@ -3,8 +3,9 @@
 from pyspark.sql import Window, functions as F
 
 from parcelsight.functions import bands
-from parcelsight.operators import impute, ordering, quality, quantiles, rollup
+from parcelsight.operators import bootstrap, impute, ordering, quality, quantiles, rollup
 from parcelsight.plans import prepare, reports
+from parcelsight.plans.catalog.oracle import NORMAL_GRID, normal_quantile
 from parcelsight.plans.catalog.registry import Inputs, register
 
 
@@ -193,6 +194,26 @@ def _(q: Inputs):
     return reports.mean_with_interval(q.orders, ["order_purchase_month"], "review_score")
 
 
+# Poisson quantiles of hashed keys: counted out for small counts, by their expansion for large ones.
+@register("a18_mean_with_bootstrap_interval", """
+, """ + NORMAL_GRID + """,
+f AS (SELECT order_purchase_month AS g, review_score AS v, count(*) AS n FROM final_orders GROUP BY ALL),
+d AS (SELECT *, (('0x' || substr(md5(concat_ws('|', 0, g, v, r)), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS share
+  FROM f, range(1, 201) AS s(r)),
+z AS (""" + normal_quantile("d", "share") + """),
+c AS (SELECT n, k, sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS upto
+  FROM (SELECT DISTINCT n FROM f WHERE n <= 50), range(200) AS s(k)),
+w AS (SELECT g, v, r, count(k)::DOUBLE AS w FROM z LEFT JOIN c ON c.n = z.n AND upto < share WHERE z.n <= 50 GROUP BY ALL
+  UNION ALL SELECT g, v, r, greatest(0, floor(n + sqrt(n) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(n)) + 0.5))
+  FROM z WHERE n > 50),
+m AS (SELECT g, r, sum(w * v) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0),
+l AS (SELECT g, quantile_cont(m, [0.025, 0.975]) AS l FROM m GROUP BY 1)
+SELECT g AS order_purchase_month, sum(n)::BIGINT AS n, round(sum(n * v) / sum(n)::DOUBLE, 6) AS mean,
+  round(any_value(l)[1], 6) AS ci_low, round(any_value(l)[2], 6) AS ci_high FROM f JOIN l USING (g) GROUP BY 1""")
+def _(q: Inputs):
+    return bootstrap.mean_interval(q.orders, ["order_purchase_month"], "review_score")
+
+
 # --- windows and order --------------------------------------------------------------------
 
 @register("w1_w2_rank_in_state", """

@@ -208,3 +208,16 @@ def with_prelude(body: str) -> str:
     ``body`` is a SELECT, or starts with a comma to add further named tables.
     """
     return PRELUDE + body.strip()
+
+
+# The normal curve summed up in steps of 0.001: (z0, below), the share below z0.
+NORMAL_GRID = """normal_grid AS (SELECT -9 + (k + 1) * 0.001::DOUBLE AS z0, sum(exp(-pow(-9 + (k + 0.5) * 0.001::DOUBLE, 2) / 2)
+  * (1 + (pow(-9 + (k + 0.5) * 0.001::DOUBLE, 2) - 1) / 24e6) * 0.001 / sqrt(2 * pi())) OVER (ORDER BY k) AS below
+  FROM range(18000) AS s(k))"""
+
+
+def normal_quantile(rows: str, share: str) -> str:
+    """SELECT of ``rows`` with the normal quantile z of a column: the grid point below it and three terms of its series."""
+    step = f"(({share} - below) * sqrt(2 * pi()) * exp(z0 * z0 / 2))"
+    return f"""SELECT * EXCLUDE (z0, below), z0 + {step} + z0 * pow({step}, 2) / 2 + (2 * z0 * z0 + 1) * pow({step}, 3) / 6 AS z
+  FROM {rows} ASOF JOIN normal_grid ON {share} >= below"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parcelsight.functions import bands
 from parcelsight.operators import rank_tests
 from parcelsight.plans import hypothesis, reports
+from parcelsight.plans.catalog.oracle import NORMAL_GRID, normal_quantile
 from parcelsight.plans.catalog.registry import Inputs, register
 
 # Simpson's rule over 12 units beyond z; the tail further out is below 1e-32.
@@ -216,6 +217,62 @@ def _(q: Inputs):
     return rank_tests.kolmogorov_smirnov_normal(q.items("dispatch_days"), "dispatch_days")
 
 
+_SCORES = """
+, """ + NORMAL_GRID + """,
+f AS (SELECT {by}, {value}::DOUBLE AS v, count(*)::DOUBLE AS t FROM {source} WHERE {value} IS NOT NULL AND {by} IS NOT NULL
+  GROUP BY ALL),
+r AS (SELECT *, (sum(t) OVER (PARTITION BY {by} ORDER BY v) - t + (t + 1) / 2 - 0.375)
+  / (sum(t) OVER (PARTITION BY {by}) + 0.25) AS share FROM f),
+z AS (""" + normal_quantile("r", "share") + """),
+m AS (SELECT {by}, sum(t * v) / sum(t) AS mv, sum(t * z) / sum(t) AS mz FROM z GROUP BY ALL),
+w AS (SELECT {by}, sum(t) AS n, pow(sum(t * (v - mv) * (z - mz)), 2)
+  / (sum(t * pow(v - mv, 2)) * sum(t * pow(z - mz, 2))) AS w FROM z JOIN m USING ({by}) GROUP BY ALL),
+y AS (SELECT *, (ln(1 - w) + 1.2725 - 1.0521 * (ln(ln(n)) - ln(n))) / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))) AS y FROM w)
+SELECT {keep}n::BIGINT AS n, round(w, 6) AS w, CASE WHEN n BETWEEN 5 AND 5000 THEN round(CASE WHEN y < 0
+  THEN 1 - """ + _normal_tail("-y") + " ELSE " + _normal_tail("y") + """ END, 6) END AS p_value FROM y"""
+
+
+@register("k8_normal_scores_price", _SCORES.format(
+    by="k", keep="", value="price", source="(SELECT 1 AS k, price FROM sale_items)"))
+def _(q: Inputs):
+    return rank_tests.normal_scores(q.items("price"), "price")
+
+
+@register("k8_normal_scores_delivery_days", _SCORES.format(
+    by="is_delayed", keep="is_delayed, ", value="delivery_days", source="final_orders"))
+def _(q: Inputs):
+    return rank_tests.normal_scores(q.orders, "delivery_days", ["is_delayed"])
+
+
+# Untied ranks: every choice of n1 of them counted by its sum.
+@register("k2_exact_mean_price_of_slow_states", """
+, s AS (SELECT customer_state, avg(price) AS v, count(*) AS n, count(*) FILTER (WHERE is_delayed = 1) AS d
+  FROM sale_items WHERE customer_state IS NOT NULL GROUP BY 1),
+o AS (SELECT sum(n) AS n, sum(d) AS d FROM s),
+r AS (SELECT CASE WHEN s.d * o.n > o.d * s.n THEN 1 ELSE 0 END AS slow, rank() OVER (ORDER BY v) AS k,
+  count(*) OVER (PARTITION BY v) AS t FROM s, o),
+b AS (SELECT count(*) FILTER (WHERE slow = 1) AS n1, count(*) FILTER (WHERE slow = 0) AS n2,
+  coalesce(sum(k) FILTER (WHERE slow = 1), 0) AS r1 FROM r),
+u AS (SELECT n1, n2, (r1 - n1 * (n1 + 1) / 2)::DOUBLE AS u1, sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1)) AS sd FROM b),
+e AS (WITH RECURSIVE c(i, k, total, ways) AS (SELECT 0, 0, 0, 1::DOUBLE UNION ALL
+    SELECT i + 1, k + x, total + x * (i + 1), sum(ways) FROM c, (VALUES (0), (1)) AS t(x), b WHERE i < n1 + n2 AND k + x <= n1
+    GROUP BY ALL)
+  SELECT total - n1 * (n1 + 1) / 2 AS value, ways / sum(ways) OVER () AS p FROM c, b WHERE i = n1 + n2 AND k = n1)
+SELECT n1, n2, u1, n1 * n2 - u1 AS u2, round(greatest(abs(u1 - n1 * n2 / 2.0) - 0.5, 0) / sd, 6) AS z_abs,
+  round((u1 - n1 * n2 / 2.0 - 0.5) / sd, 6) AS z_greater, round(2 * u1 / (n1 * n2) - 1, 6) AS rank_biserial_r,
+  round(u1 / (n1 * n2), 6) AS cles, 'exact' AS p_method,
+  round(least(1, 2 * (SELECT sum(p) FROM e WHERE value >= greatest(u1, n1 * n2 - u1))), 6) AS p_two_sided,
+  round((SELECT sum(p) FROM e WHERE value >= u1), 6) AS p_greater FROM u""")
+def _(q: Inputs):
+    items = q.items("customer_state", "price", "is_delayed").where(F.col("customer_state").isNotNull())
+    late = F.coalesce(F.sum("is_delayed"), F.lit(0))
+    states = items.groupBy("customer_state").agg(F.avg("price").alias("price"), F.count("*").alias("n"), late.alias("late"))
+    whole = items.agg(F.struct(F.count("*").alias("n"), late.alias("late"))).scalar()
+    slow = states.withColumn("_whole", whole).withColumn(
+        "slow", (F.col("late") * F.col("_whole.n") > F.col("_whole.late") * F.col("n")).cast("int"))
+    return rank_tests.mann_whitney(slow, "price", "slow", 1, 0, bounded=True, exact_up_to=rank_tests.EXACT_LIMIT)
+
+
 @register("k3_effect_level", """
 , s AS (SELECT avg(review_score) FILTER (WHERE is_delayed = 1) AS a FROM final_orders),
 f AS (SELECT review_score AS v, count(*) AS t, count(*) FILTER (WHERE is_delayed = 1) AS a

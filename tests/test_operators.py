@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelsight.operators import (
-    dedup, impute, metrics, ordering, quality, quantiles, rank_tests, rollup, splits)
+    bootstrap, dedup, impute, metrics, ordering, quality, quantiles, rank_tests, rollup, splits)
 
 
 @pytest.fixture(scope="module")
@@ -284,3 +284,75 @@ def test_fan_out_counts_what_the_joins_would(rows):
     got = [r["rows"] for r in quality.fan_out(base, [("x", first), ("y", second)], "k").collect()]
     one = base.join(first, "k", "left")
     assert got == [3, one.count(), one.join(second, "k", "left").count()]
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_normal_scores(rows, skewed, bounded):
+    rng = random.Random(3)
+    data = [("a", v) for v in skewed] + [("b", rng.gauss(5, 2)) for _ in range(300)] + [("c", 1.0)] * 9 + [(None, 3.0)] * 4
+    got = {r["g"]: r for r in rank_tests.normal_scores(rows(data, "g string, v double"), "v", ["g"], bounded).collect()}
+    for g in ("a", "b"):
+        mine = [v for k, v in data if k == g and v is not None]
+        ranks = brute_midranks(mine)
+        scores = [statistics.NormalDist().inv_cdf((ranks[v] - 0.375) / (len(mine) + 0.25)) for v in mine]
+        assert got[g]["n"] == len(mine)
+        assert got[g]["w"] == pytest.approx(np.corrcoef(mine, scores)[0, 1] ** 2, abs=1e-12)
+    assert got["b"]["p_value"] > 0.01 > got["a"]["p_value"]
+    assert (got["c"]["w"], got["c"]["p_value"]) == (None, None)
+    assert set(got) == {"a", "b", "c"}
+    whole = rank_tests.normal_scores(rows([(v,) for v in skewed], "v double"), "v", bounded=bounded).first()
+    assert whole["w"] == pytest.approx(got["a"]["w"], abs=1e-12)
+    assert rank_tests.normal_scores(rows([], "g string, v double"), "v", ["g"], bounded).collect() == []
+
+
+def test_normal_scores_p_is_uniform_under_normality(rows):
+    rng = random.Random(11)
+    data = [(g, rng.gauss(0, 1)) for g in range(400) for _ in range(40)]
+    ps = [r["p_value"] for r in rank_tests.normal_scores(rows(data, "g int, v double"), "v", ["g"], bounded=True).collect()]
+    for level in (0.05, 0.25, 0.5, 0.75):
+        assert sum(p <= level for p in ps) / len(ps) == pytest.approx(level, abs=4 * (level * (1 - level) / 400) ** 0.5)
+
+
+def test_exact_mann_whitney(rows):
+    data = [("a", v) for v in (1.1, 2.2, 3.3)] + [("b", v) for v in (4.4, 5.5, 6.6, 7.7)]
+    row = rank_tests.mann_whitney(rows(data, "g string, v double"), "v", "g", "b", "a", exact_up_to=8).first()
+    assert (row["p_method"], row["u1"]) == ("exact", 12.0)
+    assert (row["p_two_sided"], row["p_greater"]) == (pytest.approx(2 / 35), pytest.approx(1 / 35))
+    usual = rank_tests.mann_whitney(rows(data, "g string, v double"), "v", "g", "b", "a")
+    assert "p_method" not in usual.columns and usual.first()["p_two_sided"] != pytest.approx(2 / 35)
+    tied = rank_tests.mann_whitney(rows(data + [("a", 4.4)], "g string, v double"), "v", "g", "b", "a", exact_up_to=8).first()
+    large = rank_tests.mann_whitney(rows(data, "g string, v double"), "v", "g", "b", "a", exact_up_to=3).first()
+    empty = rank_tests.mann_whitney(rows(data, "g string, v double"), "v", "g", "b", "z", exact_up_to=8).first()
+    assert [r["p_method"] for r in (tied, large, empty)] == ["normal"] * 3
+    assert empty["p_two_sided"] == 1.0
+    with pytest.raises(ValueError):
+        rank_tests.mann_whitney(rows(data, "g string, v double"), "v", "g", "b", "a", exact_up_to=26)
+
+
+def test_bootstrap_interval(rows):
+    rng = random.Random(5)
+    data = [("hot", rng.randrange(1, 6)) for _ in range(3000)] + [("cold", rng.randrange(1, 6)) for _ in range(60)]
+    data += [("one", 4), (None, 3), ("cold", None)]
+    df = rows(data, "g string, v int")
+    read = lambda d: {r["g"]: r for r in bootstrap.mean_interval(d, ["g"], "v", replicates=400).collect()}
+    got = read(df)
+    assert got == read(df.repartition(7, "v")) == read(df.coalesce(1))
+    assert set(got) == {"hot", "cold", "one"}
+    for g in ("hot", "cold"):
+        mine = [v for k, v in data if k == g and v is not None]
+        half = 1.96 * statistics.stdev(mine) / len(mine) ** 0.5
+        assert (got[g]["n"], got[g]["mean"]) == (len(mine), pytest.approx(statistics.mean(mine)))
+        assert got[g]["ci_low"] == pytest.approx(got[g]["mean"] - half, abs=half / 4)
+        assert got[g]["ci_high"] == pytest.approx(got[g]["mean"] + half, abs=half / 4)
+    assert (got["one"]["ci_low"], got["one"]["ci_high"]) == (4.0, 4.0)
+    assert bootstrap.mean_interval(rows([], "g string, v int"), ["g"], "v").collect() == []
+    with pytest.raises(ValueError):
+        bootstrap.mean_interval(df, [], "v")
+
+
+def test_bootstrap_of_a_continuous_column(rows):
+    rng = random.Random(6)
+    values = [rng.gauss(100, 15) for _ in range(500)]
+    row = bootstrap.mean_interval(rows([(1, v) for v in values], "g int, v double"), ["g"], "v", replicates=300, seed=2).first()
+    half = 1.96 * statistics.stdev(values) / len(values) ** 0.5
+    assert (row["ci_high"] - row["ci_low"]) / 2 == pytest.approx(half, rel=0.2)

@@ -1,11 +1,13 @@
 """Tail functions against table values."""
 
+import itertools
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from parcelsight.functions import pvalues, tails
+from parcelsight.functions import draws, pvalues, tails
 
 
 def test_normal():
@@ -73,3 +75,53 @@ def test_kolmogorov_column(spark):
     # published critical values of the limiting distribution
     got = first(spark, *(tails.kolmogorov_tail(F.lit(x)) for x in (1.3580986393225507, 1.6276236115189502, 0.1, 9.0)))
     assert got == pytest.approx((0.05, 0.01, 1.0, 0.0), rel=1e-9, abs=1e-15)
+
+
+def test_normal_quantile_column(spark):
+    ps = [1e-300, 1e-20, 1e-9, 0.001, 0.025, 0.0749, 0.0751, 0.3, 0.5, 0.8, 0.9249, 0.9251, 0.975, 0.999999]
+    rows = spark.createDataFrame([(p,) for p in ps], "p double").select("p", tails.normal_quantile("p").alias("z")).collect()
+    for r in rows:
+        assert r["z"] == pytest.approx(statistics.NormalDist().inv_cdf(r["p"]), rel=1e-12, abs=1e-14), r["p"]
+    outside = spark.createDataFrame([(p,) for p in (0.0, 1.0, -0.5, 2.0, None)], "p double").select(tails.normal_quantile("p"))
+    assert [r[0] for r in outside.collect()] == [None] * 5
+
+
+@pytest.mark.parametrize("n1, n2", [(1, 1), (1, 6), (3, 3), (4, 7), (8, 8)])
+def test_exact_rank_sum_tail(spark, n1, n2):
+    """Every choice of ranks for the first group."""
+    sums = [sum(c) - n1 * (n1 + 1) // 2 for c in itertools.combinations(range(1, n1 + n2 + 1), n1)]
+    rows = spark.range(n1 * n2 + 2).select("id", tails.rank_sum_tail(F.col("id"), F.lit(n1), F.lit(n2)).alias("p")).collect()
+    for r in rows:
+        assert r["p"] == pytest.approx(sum(s >= r["id"] for s in sums) / len(sums), abs=1e-13), r["id"]
+
+
+def test_exact_rank_sum_tail_against_published_tables(spark):
+    # two-sided 5% critical values of U: 2 for 5 and 5, 8 for 7 and 7, 13 for 8 and 8, 127 for 20 and 20
+    for n, critical in ((5, 2), (7, 8), (8, 13), (20, 127)):
+        at, beyond = first(spark, *(tails.rank_sum_tail(F.lit(n * n - u), F.lit(n), F.lit(n)) for u in (critical, critical + 1)))
+        assert 2 * at <= 0.05 < 2 * beyond
+    assert first(spark, tails.rank_sum_tail(F.lit(9), F.lit(3), F.lit(3)))[0] == pytest.approx(0.05)
+    assert first(spark, tails.rank_sum_tail(F.lit(313), F.lit(25), F.lit(25)))[0] == pytest.approx(0.5, abs=0.01)
+    assert first(spark, tails.rank_sum_tail(F.lit(0), F.lit(0), F.lit(5))) == (None,)
+
+
+def test_poisson_quantile_column(spark):
+    def brute(u, mean):
+        k, upto = 0, math.exp(-mean)
+        while u > upto:
+            k += 1
+            upto += math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1))
+        return k
+
+    cases = [(u, m) for u in (1e-12, 0.001, 0.2, 0.3679, 0.5, 0.7358, 0.97, 1 - 1e-9) for m in (1.0, 2.0, 7.0, 50.0, 51.0, 400.0)]
+    rows = spark.createDataFrame(cases, "u double, m double").select("u", "m", draws.poisson("u", "m").alias("k")).collect()
+    for r in rows:
+        assert abs(r["k"] - brute(r["u"], r["m"])) <= (0 if r["m"] <= draws.COUNTED_MEAN else 1), r
+    assert first(spark, draws.poisson(F.lit(0.5), F.lit(0))) == (0.0,)
+
+
+def test_uniform_draws(spark):
+    got = [r["u"] for r in spark.range(4000).select(draws.uniform(F.lit(3), "id").alias("u")).collect()]
+    assert 0 < min(got) and max(got) < 1 and len(set(got)) == 4000
+    assert statistics.mean(got) == pytest.approx(0.5, abs=0.02)
+    assert statistics.pvariance(got) == pytest.approx(1 / 12, abs=0.005)
