@@ -1,9 +1,10 @@
 """Quality by compression.
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts. What resembles
-good text gets smaller with the first one. The difference of the two compressed sizes, divided by the
-text's size, and how far the text shrinks at all are turned into a probability by a logistic
-calibration on labelled rows that built no dictionary.
+good text gets smaller with the first one. The difference of the two compressed sizes for each byte of the
+text is turned into a probability by a piecewise linear logistic calibration on labelled rows that built no
+dictionary. Nothing else enters the score. A text is compressed slice by slice, all of it: in one piece a long text
+would soon be matched with itself and no longer with the dictionaries.
 """
 
 from __future__ import annotations
@@ -22,32 +23,40 @@ from parcelsight.llm.common import held_out
 #: Labelled rows of each class, at most (about): for the dictionaries and for the calibration.
 DICTIONARY_ROWS, CALIBRATION_ROWS = 1500, 4000
 DICTIONARY_BYTES, LEVEL = 110_000, 3
+#: Bytes of a text that are compressed at once.
+SLICE = 1024
+#: Shares of the calibration rows below the differences at which the calibration may bend.
+BENDS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 @dataclass(frozen=True)
 class Compressor:
-    """Dictionaries of either class and the calibration; without a calibration the score is constant."""
+    """Dictionaries of either class, the calibration and where it bends; without a calibration the score is constant."""
 
     good: bytes
     bad: bytes
     calibration: tuple | None
+    bends: tuple[float, ...]
     base: float
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        coders = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d))
-                  if d else zstandard.ZstdCompressor(level=LEVEL) for d in (self.good, self.bad)]
-        coders.append(zstandard.ZstdCompressor(level=LEVEL))
-        sizes = np.array([[len(c.compress(t)) for c in coders] for t in texts], float).reshape(-1, 3)
-        n = np.array([len(t) for t in texts], float) + 1
-        good, bad, plain = sizes.T
-        gap = (bad - good) / np.maximum(good, bad)
-        return np.column_stack([gap, np.log(good / n), np.log(plain / n), np.log(n),
-                                gap * np.log(n), np.log(n) ** 2])
+    def gaps(self, texts: list[bytes]) -> np.ndarray:
+        """Bytes that the good dictionary saves against the bad one, for each byte of a text; 0 for an empty text."""
+        sizes = [np.zeros(len(texts)), np.zeros(len(texts))]
+        for size, words in zip(sizes, (self.good, self.bad), strict=True):
+            coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words))
+            for i, t in enumerate(texts):
+                size[i] = sum(len(coder.compress(t[at:at + SLICE])) for at in range(0, len(t), SLICE))
+        return (sizes[1] - sizes[0]) / np.maximum([len(t) for t in texts], 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.calibration is None:
             return np.full(len(texts), self.base)
-        return apply_logistic(self.calibration, self.features(texts))
+        return apply_logistic(self.calibration, _bent(self.gaps(texts), self.bends))
+
+
+def _bent(gaps: np.ndarray, bends: tuple[float, ...]) -> np.ndarray:
+    """The columns of a piecewise linear function of the gap."""
+    return np.column_stack([gaps, *(np.maximum(gaps - b, 0) for b in bends)])
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -75,28 +84,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dictionary_r
         texts[r["label"]].append(r["text"].encode())
     seen = sum(map(len, texts.values()))
     if not all(texts.values()):
-        return Compressor(b"", b"", None, (len(texts[1]) + 1) / (seen + 2))
-    first = Compressor(_dictionary(texts[1]), _dictionary(texts[0]), None, 0.5)
+        return Compressor(b"", b"", None, (), (len(texts[1]) + 1) / (seen + 2))
+    first = Compressor(_dictionary(texts[1]), _dictionary(texts[0]), None, (), 0.5)
     sizes = {r["k"]: r["n"] for r in labels.filter(~held_out("doc_id")).filter(F.col(label).isin(0, 1))
              .groupBy(F.col(label).alias("k")).agg(F.count("*").alias("n")).collect()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = first.features([t.encode() for t in batch.column("text").fill_null("").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(found.tolist(), pa.list_(pa.float64()))],
-                names=["doc_id", "label", "x"])
+            found = first.gaps([t.encode() for t in batch.column("text").fill_null("").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.float64())],
+                                             names=["doc_id", "label", "gap"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     other = sample_ids(docs, labels.filter(~half), label, calibration_rows)
-    found = sorted(other.mapInArrow(measure, "doc_id long, label int, x array<double>").collect(),
-                   key=lambda r: (r["doc_id"], r["x"]))
+    found = sorted(other.mapInArrow(measure, f"doc_id {kind}, label int, gap double").collect(),
+                   key=lambda r: (r["doc_id"], r["gap"]))
     y = np.array([r["label"] for r in found], float)
     if len(set(y)) < 2:
-        return Compressor(b"", b"", None, (len(texts[1]) + 1) / (seen + 2))
+        return Compressor(b"", b"", None, (), (len(texts[1]) + 1) / (seen + 2))
     # either class counts as much as it does among all labelled rows
     weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
-    model = fit_logistic(np.array([r["x"] for r in found]), y, weight)
-    return Compressor(first.good, first.bad, model, 0.5)
+    gaps = np.array([r["gap"] for r in found])
+    bends = tuple(np.unique(np.quantile(gaps, BENDS)).tolist())
+    return Compressor(first.good, first.bad, fit_logistic(_bent(gaps, bends), y, weight), bends, 0.5)
 
 
 def score_quality(docs: DataFrame, model: Compressor, threshold: float = 0.3) -> DataFrame:

@@ -1,11 +1,15 @@
 """Automaton, spans and the two classifiers."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from parcelsight.llm import bpe, pii, quality, queries, toxicity
@@ -215,6 +219,59 @@ def test_quality(spark, docs):
     assert accuracy(quality.quality(table, labels), marks) >= 0.95
 
 
+def test_quality_of_long_texts(spark, docs):
+    """The words tell, whatever the length: long texts are not matched with themselves only."""
+    def make(rng, y):
+        words = [f"{'good' if y else 'poor'}{rng.randint(0, 400)}x" for _ in range(rng.choice([8, 40, 2500]))]
+        return " ".join(words)
+    table, labels, marks = labelled(spark, docs, make, 500, name="quality")
+    assert accuracy(quality.quality(table, labels), marks) >= 0.97
+
+
+def test_quality_query_recomputed(spark, sf_dir):
+    """The registered query's rows from the fitted dictionaries and weights by a plain loop over all documents."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    model = quality.fit(read("documents"), read("labels").select("doc_id", "quality"))
+    mean, scale, weights = model.calibration
+    sizes = lambda t, d: sum(len(zstandard.ZstdCompressor(
+        level=3, dict_data=zstandard.ZstdCompressionDict(d)).compress(t[i:i + 1024])) for i in range(0, len(t), 1024))
+    name = next(n for n in queries.queries() if n.startswith("op10_"))
+    got = {r["doc_id"]: r for r in queries.queries()[name](spark, sf_dir).collect()}
+    texts = read("documents").select("doc_id", "text").collect()
+    assert len(got) == len(texts)
+    for doc_id, text in texts:
+        t = (text or "").encode()
+        gap = (sizes(t, model.bad) - sizes(t, model.good)) / len(t) if t else 0.0
+        x = [gap, *(max(gap - b, 0.0) for b in model.bends)]
+        logit = weights[-1] + sum(w * (v - m) / s for w, v, m, s in zip(weights, x, mean, scale))
+        score = 1 / (1 + math.exp(-max(min(logit, 30), -30)))
+        row = got[doc_id]
+        assert row["score"] == pytest.approx(score, abs=1e-9)
+        assert row["predicted"] == int(row["score"] >= 0.3)
+        assert row["held_out"] == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_query_recomputed(spark, sf_dir):
+    """The registered query's rows from the fitted weights, every pair of a text's terms multiplied out."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    machine = toxicity.fit(read("documents"), read("labels").select("doc_id", "toxic"))
+    name = next(n for n in queries.queries() if n.startswith("op7_"))
+    got = {r["doc_id"]: r for r in queries.queries()[name](spark, sf_dir).collect()}
+    texts = read("documents").select("doc_id", "text").collect()
+    assert len(got) == len(texts)
+    for doc_id, text in texts:
+        _, bins = toxicity.term_bins(pa.array([text or ""]))
+        slots = machine.slot[bins]
+        slots = slots[slots >= 0]
+        vectors = machine.factors[slots].astype(float)
+        products = np.triu(vectors @ vectors.T, 1).sum()
+        logit = machine.bias + machine.weights[slots].astype(float).sum() + products
+        row = got[doc_id]
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(-max(min(logit, 30), -30))), abs=1e-4)
+        assert row["predicted"] == int(row["score"] >= 0.5)
+        assert row["held_out"] == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
+
+
 def test_quality_of_odd_tables(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     odd = docs([(1, None), (2, ""), (None, "x"), (3, "z " * 100_000)])
