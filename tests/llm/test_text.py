@@ -132,7 +132,8 @@ def test_proposals_are_whole():
                              (f"mail {'bob.' * 40}b (at) x (dot) org", "email", f"{'bob.' * 40}b (at) x (dot) org")):
         found = [text[s:e] for k, s, e in pii.proposals(text, pii.base_spans(text)) if k == kind]
         assert found == [span]
-    for text in ("0a" * 100_000 + "z", "a" * 200_000 + " at ", "a:" * 100_000, "a(at)" * 50_000):
+    for text in ("0a" * 100_000 + "z", "a" * 200_000 + " at ", "a:" * 100_000, "a(at)" * 50_000,
+                 "Aa " * 60_000, "A" + "a" * 200_000, "1 " + "Aa " * 60_000, "AB12 " * 40_000, "pwd is " * 30_000):
         pii.proposals(text, [])
 
 
@@ -155,7 +156,57 @@ def test_estimation_finds_the_unreliable_labeler():
         marks = "".join(str(int(true if rng.random() < p else not true)) for p in (0.95, 0.95, 0.9, 0.5, 0.9))
         rows[marks] = rows.get(marks, 0) + 1
     likely = pii.estimate([("secret", m, False, n) for m, n in rows.items()])
-    assert likely["secret", "11101"] > 0.9 and likely["secret", "00010"] < 0.1
+    assert likely["secret", "11101", False] > 0.9 and likely["secret", "00010", False] < 0.1
+
+
+def planted(rng):
+    """(text, kind, span): one thing of each kind in a sentence of its own."""
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    def iban():
+        bank = digits(18)
+        check = 98 - int(bank + "131400") % 97
+        plain = f"DE{check:02d}{bank}"
+        return rng.choice([plain, " ".join(plain[i:i + 4] for i in range(0, 22, 4))])
+    def identity():
+        number = rng.randrange(10**8)
+        return rng.choice([f"{rng.randrange(1, 600):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}",
+                           f"{number:08d}{'TRWAGMYFPDXBNJZSQVHLCKE'[number % 23]}"])
+    name = f"{rng.choice(['Jane', 'Carlos', 'Dr. Hannah', 'Mr. Peter'])} {letters(1).upper()}{letters(6)}"
+    street = f"{rng.randrange(1, 900)} {letters(1).upper()}{letters(5)} {rng.choice(['Street', 'Avenue', 'Road'])}"
+    spans = {"iban": iban(), "id": identity(), "name": name, "street": street, "secret": f"{letters(5)}{digits(4)}{letters(3)}",
+             "email": f"{letters(6)} (at) {letters(5)} (dot) com", "phone": f"({digits(3)}) 555-{digits(4)}"}
+    frames = {"iban": "please pay to account {} by then", "id": "the ssn or dni is {} as told", "name": "my name is {} and so on",
+              "street": "she lives at {} since then", "secret": "my password is {} for now", "email": "write to {} or not",
+              "phone": "call {} at night"}
+    return [(frames[k].format(v), k, v) for k, v in spans.items()]
+
+
+def test_recall_by_kind_and_clean_documents(docs):
+    rng = random.Random(9)
+    wanted = [p for _ in range(60) for p in planted(rng)]
+    clean = ["The password is required, my token was lost.", "In 2019 the Main Street shops grew by 12 percent.",
+             "Version 1.2.3 of AB12 3456 EFGH came out on Monday.", "Call me when the River Bank floods: room 404, page 12-34.",
+             "order 123-456-78 and DE12 3456 7890 1234 5678 90 are numbers", "the quick brown fox jumps over the lazy dog"]
+    rows = [(i, t) for i, (t, _, _) in enumerate(wanted)] + [(10_000 + i, t) for i, t in enumerate(clean * 40)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(rows)).collect()}
+    found = {}
+    for i, (text, kind, span) in enumerate(wanted):
+        at = text.index(span)
+        found.setdefault(kind, []).append(f"{kind}:{at}:{at + len(span)}" in got[i].split(","))
+    assert {k: np.mean(v) for k, v in found.items() if np.mean(v) < 0.95} == {}
+    assert {t: got[10_000 + i] for i, t in enumerate(clean) if got[10_000 + i]} == {}
+
+
+def test_check_digits():
+    assert pii.iban_holds("DE89370400440532013000") and pii.iban_holds("GB82 WEST 1234 5698 7654 32")
+    assert not pii.iban_holds("DE88370400440532013000")
+    assert pii.id_holds("12345678Z") and not pii.id_holds("12345678A")
+    assert pii.id_holds("123-45-6789") and not pii.id_holds("666-45-6789") and not pii.id_holds("123-00-6789")
+    text = "pwd is hunter2secret, Jane Doe, 12 Main Street, IBAN DE89370400440532013000 AND SSN 123-45-6789"
+    assert [(k, text[s:e]) for k, s, e in pii.proposals(text, [])] == [
+        ("secret", "hunter2secret"), ("name", "Jane Doe"), ("street", "12 Main Street"), ("iban", "DE89370400440532013000"),
+        ("id", "123-45-6789")]
 
 
 def labelled(spark, docs, make, n=600, seed=0, name="toxic"):
