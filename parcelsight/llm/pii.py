@@ -29,6 +29,8 @@ KINDS = (*BASE_KINDS, "secret", "iban", "id", "name", "street")
 CONTEXT, STEPS, LIMIT = 40, 60, 0.5
 #: Labelers, and so the signs in front of the traits.
 VOTES = 5
+#: A labeler is better than a coin and never sure; some proposals of a kind are true and some are false.
+TRUST, SHARE = (0.55, 0.97), (0.2, 0.8)
 #: Characters of a secret from which the number of its digits says nothing.
 LONG_SECRET = 128
 #: Span lengths at which the classifier's length trait changes.
@@ -124,8 +126,8 @@ def _ibans(text: str) -> Iterator[tuple[str, int, int]]:
         # capitals behind the number may have been taken for its last groups
         cuts = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]
         ends = [e for e in cuts if len(text[m.start():e].replace(" ", "")) == want]
-        if want:
-            yield "iban", m.start(), ends[0] if ends else m.end()
+        if ends and iban_holds(text[m.start():ends[0]]):
+            yield "iban", m.start(), ends[0]
 
 
 def _names(text: str) -> Iterator[tuple[str, int, int]]:
@@ -172,7 +174,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Further spans that the classifier decides on; none overlaps a base span or another of them."""
+    """Further spans that the classifier decides on; none overlaps a base span or another of them.
+
+    A number that fails its own check digits is no proposal.
+    """
     more, low = [], None
     for bracket in ("(at)", "[at]", " at "):
         if bracket in text or bracket.strip() == bracket and bracket.upper() in text:
@@ -187,9 +192,7 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
                 more.append(("email", before, behind.end()))
     if _DIGITS.search(text):
         more += [("phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
-        more += [("card", m.start(), m.end()) for m in _CARD.finditer(text)
-                 if m.end() - m.start() >= 13 and 13 <= len(re.sub("[ -]", "", m[0])) <= 19]
-        more += [("id", m.start(), m.end()) for one in (_SOCIAL, _LETTERED) for m in one.finditer(text)]
+        more += [("id", m.start(), m.end()) for one in (_SOCIAL, _LETTERED) for m in one.finditer(text) if id_holds(m[0])]
         more += [*_ibans(text), *(("street", m.start(), m.end()) for m in _STREET.finditer(text))]
         for m in _TOLD.finditer(text):
             told = m[1].rstrip(".,;:!?)")
@@ -295,8 +298,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def estimate(patterns: list[tuple[str, str, bool, int]]) -> dict[tuple[str, str, bool], float]:
     """How likely a span of (kind, votes) is true, from counts of (kind, votes with traits, is a base span).
 
-    Traits say nothing here. For each kind a labeler has a rate of yes, no and silence among true and among false spans. The rates
-    and the spans' likelihoods are estimated in turn, from a start that follows the majority of the votes.
+    Traits say nothing here. A labeler has one reliability for each kind: how often it is right where it says yes or no;
+    its silence says nothing. So what several labelers agree on is true, and two ways of being true (a key known by its
+    form, a password by the word before it) are not taken for true and false. Reliabilities and likelihoods are
+    estimated in turn, from a start that follows the majority of the votes.
     """
     out = {}
     for kind in KINDS:
@@ -311,16 +316,15 @@ def estimate(patterns: list[tuple[str, str, bool, int]]) -> dict[tuple[str, str,
         weight = np.array([n for _, _, n in rows], float)
         base = np.array([b for _, b, _ in rows])
         likely = np.clip(((marks == 1).sum(1) + 1) / ((marks != 2).sum(1) + 2), 0.1, 0.9)
+        yes, no = marks == 1, marks == 0
         for _ in range(STEPS):
-            likely = np.where(base, 0.99, likely)
-            score = np.zeros((len(rows), 2))
-            for side, share in enumerate((likely, 1 - likely)):
-                mass = weight * share
-                score[:, side] = np.log((mass.sum() + 1) / (weight.sum() + 2))
-                for j in range(marks.shape[1]):
-                    rate = np.array([mass[marks[:, j] == m].sum() + 1 for m in range(3)])
-                    score[:, side] += np.log(rate / rate.sum())[marks[:, j]]
-            likely = 1 / (1 + np.exp(np.clip(score[:, 1] - score[:, 0], -30, 30)))
+            likely = np.where(base, 0.99, likely)[:, None]
+            right = (weight[:, None] * (yes * likely + no * (1 - likely))).sum(0)
+            trust = np.clip((right + 2) / ((weight[:, None] * (yes | no)).sum(0) + 3), *TRUST)
+            free = weight * ~base
+            share = np.clip(((free * likely[:, 0]).sum() + 1) / (free.sum() + 2), *SHARE)
+            score = np.log(share / (1 - share)) + (yes * 1.0 - no) @ np.log(trust / (1 - trust))
+            likely = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         out |= {(kind, v, b): float(p) for (v, b, _), p in zip(rows, np.where(base, 0.99, likely), strict=True)}
     return out
 

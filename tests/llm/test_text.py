@@ -159,6 +159,14 @@ def test_estimation_finds_the_unreliable_labeler():
     assert likely["secret", "11101", False] > 0.9 and likely["secret", "00010", False] < 0.1
 
 
+def test_estimation_of_two_ways_to_be_true():
+    """Keys known by their form and passwords known by the word before them, with nothing false among them."""
+    likely = pii.estimate([("secret", "11211", False, 370), ("secret", "12111", False, 370), ("secret", "02111", False, 410),
+                           ("secret", "02200", False, 5)])
+    assert min(likely["secret", m, False] for m in ("11211", "12111", "02111")) > 0.8
+    assert likely["secret", "02200", False] < 0.3
+
+
 def planted(rng):
     """(text, kind, span): one thing of each kind in a sentence of its own."""
     digits = lambda n: "".join(rng.choices("0123456789", k=n))
