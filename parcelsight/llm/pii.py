@@ -263,8 +263,9 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     else:
         shape = int(bool(_KEY.fullmatch(span)))
         listed = int(span.startswith(_KEY_HEADS)) or 2
-        count = int(digits >= 2) if len(span) <= LONG_SECRET else 2
-        mixed = int(digits > 0 and any(c.isalpha() for c in span) and len(set(span)) >= 8)
+        # the form of a key says all that its signs could
+        count = 2 if shape or len(span) > LONG_SECRET else int(digits >= 2)
+        mixed = 2 if shape else int(digits > 0 and any(c.isalpha() for c in span) and len(set(span)) >= 8)
     return shape, listed, context, count, mixed
 
 
