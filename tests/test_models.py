@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from parcelsight.functions.bands import RISK_LEVELS
@@ -304,3 +305,26 @@ def test_search_and_importance(frame):
     again = search.parameter_sets({"maxDepth": [1, 2, 3], "stepSize": [0.1, 0.2]}, estimator, 2)
     assert len(again) == 2 and again == search.parameter_sets(
         {"maxDepth": [1, 2, 3], "stepSize": [0.1, 0.2]}, estimator, 2)
+
+
+def test_forests_are_fitted_some_trees_at_a_time(numbers, tmp_path, monkeypatch):
+    """No fit keeps counts of more than ``TREES_AT_ONCE`` trees with its rows, and the parts are one model."""
+    sizes = []
+    for kind in (RandomForestRegressor, RandomForestClassifier):
+        real = kind._fit
+        monkeypatch.setattr(kind, "_fit", lambda self, rows, real=real: sizes.append(self.getNumTrees()) or real(self, rows))
+    fit, held = numbers.where("NOT held"), numbers.where("held")
+    days = QuantileForest.fit(fit, models.TreeSettings(101, 2, min_rows=20), "days", (0.8,))
+    assert sizes == [34, 34, 33] and days.forest.getNumTrees == 101 and len(days.table) == 101
+    assert len({t.toDebugString.split("\n", 1)[1] for t in days.forest.trees}) > 34  # each part draws its own rows
+    assert days.predict(held).where("predicted_days[0] > 0").count() == held.count()
+    del sizes[:]
+    two = models.fit_forest(models.forest_classifier(models.TreeSettings(12, 3)), fit, at_once=5)
+    assert sizes == [4, 4, 4] and two.getNumTrees == 12 and two.numClasses == 2
+    shares = lambda model: [r[0][1] for r in model.transform(held).select("probability").collect()]
+    two.write().overwrite().save(str(tmp_path / "forest"))
+    again = RandomForestClassificationModel.load(str(tmp_path / "forest"))
+    assert shares(again) == pytest.approx(shares(two)) and len(set(shares(two))) > 2
+    single = [models.forest_classifier(models.TreeSettings(4, 3)).setSeed(models.SEED + i).fit(fit) for i in range(3)]
+    mean = [sum(x) / 3 for x in zip(*map(shares, single))]
+    assert shares(two) == pytest.approx(mean)
