@@ -130,3 +130,17 @@ def test_what_if_overrides_follow_through(tables):
     moved = features.with_overrides(items, customer_state="PR", distance_km=10.0)
     row = moved.where("order_id = '1' and order_item_id = 1").first()
     assert (row["cross_state"], row["distance_cat"]) == (0, "Urban/Last-Mile")
+
+
+def test_filling_points_by_city_shuffles_no_item_row(spark, sf_dir):
+    """The cities are few; where only they fit the broadcast limit, item rows are not dealt by city."""
+    from parcelsight.sources.adapter import raw_tables
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8000")
+    try:
+        rows = prepare.analysis_items(raw_tables(spark, sf_dir), ["order_id", "distance_km"])
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin [customer_city" in plan and "BroadcastHashJoin [seller_city" in plan
