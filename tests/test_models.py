@@ -328,3 +328,25 @@ def test_forests_are_fitted_some_trees_at_a_time(numbers, tmp_path, monkeypatch)
     single = [models.forest_classifier(models.TreeSettings(4, 3)).setSeed(models.SEED + i).fit(fit) for i in range(3)]
     mean = [sum(x) / 3 for x in zip(*map(shares, single))]
     assert shares(two) == pytest.approx(mean)
+
+
+def test_slot_means_multiply_no_row(frame):
+    coded = models.encoded(models.fit_preprocessing(frame, ["distance_km", "main_category"]), frame)
+    found = models.slot_means(coded)
+    rows = [r.asDict() for r in found.collect()]
+    vectors = [r[0].toArray() for r in coded.select("features").collect()]
+    assert [r["slot"] for r in rows] == list(range(len(vectors[0]))) and {r["rows"] for r in rows} == {len(vectors)}
+    assert [r["mean"] for r in rows] == pytest.approx([sum(x) / len(vectors) for x in zip(*vectors)])
+    assert [r["feature"] for r in rows] == models.feature_names(coded)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("ObjectHashAggregate")  # the slots come apart after the aggregate
+
+
+def test_search_reads_staged_folds(frame, monkeypatch):
+    """No fit of the search repeats the numbering and the join of the folds."""
+    rows = stage(models.encoded(models.fit_preprocessing(frame, ["distance_km"]), frame), "test_staged_folds")
+    plans, real = [], search.CrossValidator._fit
+    monkeypatch.setattr(search.CrossValidator, "_fit", lambda self, df: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or real(self, df))
+    search.cross_validated_search(rows, models.boosted_classifier(models.TreeSettings(1, 1)), {"maxDepth": [1]}, folds=2)
+    assert len(plans) == 1 and "Join" not in plans[0] and "Window" not in plans[0]
