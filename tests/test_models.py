@@ -350,3 +350,15 @@ def test_search_reads_staged_folds(frame, monkeypatch):
         df._jdf.queryExecution().optimizedPlan().toString()) or real(self, df))
     search.cross_validated_search(rows, models.boosted_classifier(models.TreeSettings(1, 1)), {"maxDepth": [1]}, folds=2)
     assert len(plans) == 1 and "Join" not in plans[0] and "Window" not in plans[0]
+
+
+def test_a_round_applies_one_tree_and_leaves_nothing_cached(spark, numbers, monkeypatch):
+    """The rows of a fit come from kept margins, however many rounds of the block there are, and are let go."""
+    cached, real = [], boosting.RandomForestRegressor._fit
+    monkeypatch.setattr(boosting.RandomForestRegressor, "_fit", lambda self, rows: cached.append(
+        "InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString()) or real(self, rows))
+    held = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = held()
+    fit, valid = numbers.where("NOT held"), numbers.where("held")
+    boosting.boost(fit, valid, boosting.LOGISTIC, rounds=5, depth=2, rate=0.3, patience=None, block=3, opening=0)
+    assert cached == [True] * 5 and held() == before
