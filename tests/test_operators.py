@@ -356,3 +356,21 @@ def test_bootstrap_of_a_continuous_column(rows):
     row = bootstrap.mean_interval(rows([(1, v) for v in values], "g int, v double"), ["g"], "v", replicates=300, seed=2).first()
     half = 1.96 * statistics.stdev(values) / len(values) ** 0.5
     assert (row["ci_high"] - row["ci_low"]) / 2 == pytest.approx(half, rel=0.2)
+
+
+def test_quantiles_tell_only_values_near_their_positions_apart(spark, monkeypatch):
+    """Values far from every wanted position are counted, not grouped one by one."""
+    df = spark.range(200_000).select(
+        (F.col("id") * 7919 % 200_000 / 2).alias("v"), (F.col("id") % 3).cast("double").alias("few"),
+        F.when(F.col("id") % 2 == 0, F.when(F.col("id") % 8 == 0, float("nan")).otherwise(
+            F.when(F.col("id") % 8 == 2, float("inf")).otherwise(F.col("id") * -1.0))).alias("odd"))
+    rows, real = [], quantiles.running_total
+    monkeypatch.setattr(quantiles, "running_total", lambda counts, *a: rows.append(counts.count()) or real(counts, *a))
+    got = {r["column"]: r for r in quantiles.exact_quantiles(df, ["v", "few", "odd"], [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    assert rows[0] < 3_000
+    want = np.percentile(np.arange(200_000) / 2, [0, 25, 50, 90, 100])
+    assert [got["v"][f"q_{i}"] for i in range(5)] == pytest.approx(list(want))
+    assert [got["few"][f"q_{i}"] for i in range(5)] == [0.0, 0.0, 1.0, 2.0, 2.0]
+    # a half finite, a quarter infinite, a quarter NaN, which comes last
+    assert got["odd"]["n"] == 100_000 and got["odd"]["q_1"] == pytest.approx(-100_000, abs=20)
+    assert got["odd"]["q_3"] != got["odd"]["q_3"] and got["odd"]["q_4"] != got["odd"]["q_4"]
