@@ -33,7 +33,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     sum_of = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     seen = tuple(links.agg(*sum_of).first())
     while True:
-        links = scratch.stage(star(star(links, True), False), "links")
+        # each star is staged, so that the driver never plans and compiles one within the other
+        links = scratch.stage(star(links, True), "stars")
+        links = scratch.stage(star(links, False), "links")
         scratch.release(but=1)
         now = tuple(links.agg(*sum_of).first())
         if now == seen:

@@ -439,8 +439,10 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     chosen = scratch.stage(_chosen_matches(entries, percent), "ngram-matches")
     blocks = scratch.stage(_block_links(sets, entries, chosen, percent, 4 * shuffles), "ngram-blocks")
     known = scratch.stage(_known(entries, chosen, connected_components(blocks)), "ngram-known")
-    links = (blocks.unionByName(_family_links(known, sets, percent))
-             .unionByName(_verified(_candidates(known, percent), sets, percent)))
+    # staged one by one: in one plan their exchanges would run and be held by the driver at once
+    families = scratch.stage(_family_links(known, sets, percent), "ngram-families")
+    pairs = scratch.stage(_candidates(known, percent), "ngram-candidates")
+    links = blocks.unionByName(families).unionByName(scratch.stage(_verified(pairs, sets, percent), "ngram-verified"))
     labels = stage(connected_components(links).withColumnRenamed("id", "rep"), "ngram-labels")
     scratch.release()
     labelled = classes.join(labels, "rep", "left").select(

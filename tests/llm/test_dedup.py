@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from parcelsight.llm import exact_dedup, line_dedup, ngram_join  # noqa: E402
+from parcelsight.llm import common, exact_dedup, line_dedup, ngram_join  # noqa: E402
 from parcelsight.llm.components import connected_components  # noqa: E402
 
 
@@ -65,6 +65,19 @@ def test_ngram_join_in_small_chunks(docs, random_texts, monkeypatch, chunk):
     assert collected(got, "doc_id", "n_shingles", "component_id") == brute.near(rows)
 
 
+def test_ngram_join_plans_few_exchanges_at_once(docs, random_texts, monkeypatch):
+    planned, own = {}, common.stage_at
+
+    def stage_at(df, label):
+        exchanges = df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        planned[label] = max(planned.get(label, 0), exchanges)
+        return own(df, label)
+
+    monkeypatch.setattr(common, "stage_at", stage_at)
+    ngram_join.ngram_join(docs(list(enumerate(random_texts(60, seed=3)))))
+    assert planned["links"] and max(planned.values()) <= 10, planned
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 100), (7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(path, "a long, b long")).collect()))
