@@ -5,13 +5,14 @@ import re
 
 import pytest
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from parcelsight.functions.bands import RISK_LEVELS
 from parcelsight.operators import metrics
-from parcelsight.plans import boosting, console, evaluation, models, scoring, search
+from parcelsight.plans import boosting, console, evaluation, histograms, models, scoring, search
 from parcelsight.plans.features import ORDER_TIME_FEATURES
 from parcelsight.plans.quantile_forest import QuantileForest
 from parcelsight.sources.sinks import stage
@@ -362,3 +363,48 @@ def test_a_round_applies_one_tree_and_leaves_nothing_cached(spark, numbers, monk
     fit, valid = numbers.where("NOT held"), numbers.where("held")
     boosting.boost(fit, valid, boosting.LOGISTIC, rounds=5, depth=2, rate=0.3, patience=None, block=3, opening=0)
     assert cached == [True] * 5 and held() == before
+
+
+def test_packed_rows_give_the_trees_of_one_long_fit(spark, numbers):
+    """Rows of one byte a column, exact sums, the smaller sibling counted: the same splits, leaves and losses."""
+    fit, held = numbers.where("NOT held"), numbers.where("held")
+    size = dict(rounds=7, depth=3, rate=0.3, min_rows=5, patience=None)
+    found = boosting.as_classifier(histograms.boost(fit, held, **size))
+    long = models.boosted_classifier(models.TreeSettings(7, 3, 0.3, 5)).fit(models.with_class_weight(fit))
+    # what a row gets from each tree, as Spark merges leaves of equal value
+    leaves = lambda model: [[t.predict(v) for t in model.trees] for v, in numbers.select("features").collect()]
+    for one, other in zip(leaves(found), leaves(long)):
+        assert one == pytest.approx(other, abs=1e-6)
+    assert found.treeWeights == long.treeWeights and found.numFeatures == 3
+    assert found.featureImportances.toArray() == pytest.approx(long.featureImportances.toArray(), abs=1e-6)
+    losses = histograms.boost(fit, held, **size).losses
+    assert losses == pytest.approx([float(x) for x in long.evaluateEachIteration(models.with_class_weight(held))], abs=1e-6)
+
+
+def test_packed_boosting_depends_on_no_dealing_and_ends_by_patience(spark, frame, monkeypatch):
+    """One-hot slots share a column; draws of columns and sums are the same however the rows lie; the query takes this path."""
+    columns = ["distance_km", "order_purchase_dayofweek", "main_category", "order_purchase_month"]
+    rows = stage(models.encoded(models.fit_preprocessing(frame, columns), frame), "test_packed")
+    train, valid = rows.where("split = 'train'"), rows.where("split = 'valid'")
+    packed = histograms.fit_columns(train, train.count(), 1)
+    assert sorted(map(len, packed.slots)) == [1, 1, 1, 3] and sum(t is None for t in packed.limits) == 2
+    monkeypatch.setattr(models, "PACKED_FROM", 1)
+    monkeypatch.setattr(boosting, "boost", None)
+    held = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before, settings = held(), models.TreeSettings(40, 3, 0.5, 5, "0.6")
+    one = models.fit_patient(train, valid, settings, patience=4)
+    monkeypatch.setattr(histograms, "BLOCK_ROWS", 50)
+    two = models.fit_patient(train.repartition(3), valid.coalesce(1), settings, patience=4)
+    text = lambda fit: [t.toDebugString.split("\n", 1)[1] for t in fit.model.trees]
+    assert text(one) == text(two) and one.losses == two.losses
+    assert one.rounds == min(range(len(one.losses)), key=one.losses.__getitem__) + 1 == one.model.getNumTrees
+    assert len(one.losses) == 40 or 4 <= len(one.losses) - one.rounds < 4 + histograms.LOOK_ROUNDS
+    assert held() == before and models.feature_importance(one.model, rows).first()["feature"] == "distance_km"
+    assert metrics.with_scores(metrics.confusion(models.with_probability(one.model, valid), "probability_positive", "label",
+                                                 0.5)).first()["balanced_acc"] > 0.8
+    # rounds go on over stagings of the margin as Spark's own would score them
+    more = models.fit_patient(train, valid, models.TreeSettings(23, 2, 0.05, 5, "0.6"), patience=30)
+    scored = more.model.transform(models.with_class_weight(valid)).withColumn("margin", vector_to_array("rawPrediction")[1])
+    loss = boosting.LOGISTIC.value(F.col("label"), F.col("margin"))
+    own = scored.agg(F.sum(F.col("weight") * loss) / F.sum("weight")).first()[0]
+    assert len(more.losses) == 23 and more.losses[more.rounds - 1] == pytest.approx(own, abs=1e-6)
