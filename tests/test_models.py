@@ -408,3 +408,28 @@ def test_packed_boosting_depends_on_no_dealing_and_ends_by_patience(spark, frame
     loss = boosting.LOGISTIC.value(F.col("label"), F.col("margin"))
     own = scored.agg(F.sum(F.col("weight") * loss) / F.sum("weight")).first()[0]
     assert len(more.losses) == 23 and more.losses[more.rounds - 1] == pytest.approx(own, abs=1e-6)
+
+
+def test_packed_squared_and_quantile_boosting(spark, numbers, monkeypatch):
+    """A squared error gives the trees of one long fit, a quantile the losses that its own predictions have."""
+    monkeypatch.setattr(models, "PACKED_FROM", 1)
+    monkeypatch.setattr(boosting, "boost", None)
+    held_rdds = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = held_rdds()
+    rows = numbers.withColumn("weight", F.lit(1.0))
+    fit, held = rows.where("NOT held"), rows.where("held")
+    own = models.fit_patient(fit, held, models.TreeSettings(7, 3, 0.3, 5), "days")
+    long = GBTRegressor(labelCol="days", maxIter=7, maxDepth=3, stepSize=0.3, minInstancesPerNode=5, seed=models.SEED).fit(fit)
+    one, other = ([[t.predict(v) for t in model.trees[:own.rounds]] for v, in held.select("features").collect()]
+                  for model in (own.model, long))
+    for a, b in zip(one, other):
+        assert a == pytest.approx(b, abs=1e-3)
+    assert own.losses == pytest.approx([float(x) for x in long.evaluateEachIteration(held, "squared")], abs=1e-3)
+    drawn = models.fit_patient(fit, held, models.TreeSettings(25, 3, 0.3, 5, "all", 0.7), "days")  # over a staging of the margin
+    square = drawn.model.transform(held).agg(F.avg((F.col("prediction") - F.col("days")) ** 2)).first()[0]
+    assert drawn.losses[drawn.rounds - 1] == pytest.approx(square, rel=1e-4) and square < own.losses[0]
+    days = boosting.QuantileBoosting.fit(fit, held, 0.8, models.TreeSettings(40, 3, 0.2, 20), "days")
+    row = days.predict(held).agg(F.avg(metrics.pinball_loss("prediction", "days", 0.8)),
+                                 F.avg((F.col("days") <= F.col("prediction")).cast("double"))).first()
+    assert days.rounds == len(days.leaves) and row[0] == pytest.approx(days.loss, abs=1e-5) and abs(row[1] - 0.8) < 0.06
+    assert held_rdds() == before
