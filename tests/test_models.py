@@ -433,3 +433,46 @@ def test_packed_squared_and_quantile_boosting(spark, numbers, monkeypatch):
                                  F.avg((F.col("days") <= F.col("prediction")).cast("double"))).first()
     assert days.rounds == len(days.leaves) and row[0] == pytest.approx(days.loss, abs=1e-5) and abs(row[1] - 0.8) < 0.06
     assert held_rdds() == before
+
+
+def test_packed_forests(spark, numbers, tmp_path, monkeypatch):
+    """Whole forests on packed rows: as good as Spark's, with the leaves numbered and counted as Spark does, and nothing kept."""
+    fit, held = numbers.where("NOT held").withColumn("days", F.round("days")), numbers.where("held")
+    settings = models.TreeSettings(60, 4, 0.1, 5)
+    plain = QuantileForest.fit(fit, settings, "days", (0.5, 0.9))
+    two = models.forest_classifier(models.TreeSettings(60, 4)).setMinInstancesPerNode(5)
+    balanced = models.with_class_weight(fit.drop("weight"))
+    spark_two = models.fit_forest(two, balanced)
+    monkeypatch.setattr(models, "PACKED_FROM", 1)
+    for kind in (RandomForestRegressor, RandomForestClassifier):
+        monkeypatch.setattr(kind, "_fit", None)
+    monkeypatch.setattr(histograms, "FOREST_TREES", 25)
+    held_rdds = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = held_rdds()
+    packed = QuantileForest.fit(fit, settings, "days", (0.5, 0.9))
+    assert packed.forest.getNumTrees == 60 == len(packed.table) and packed.forest.getMaxDepth() == 4
+    # every leaf's percentiles are those of the rows that Spark puts into it
+    from parcelsight.plans.quantile_forest import leaf_quantiles
+
+    counted = {(r["tree"], r["leaf"]): r["days"] for r in leaf_quantiles(packed.forest, fit, "days", (0.5, 0.9)).collect()}
+    assert counted == {(t, i): days for t, leaves in enumerate(packed.table) for i, days in enumerate(leaves) if days}
+    assert len({t.toDebugString.split("\n", 1)[1] for t in packed.forest.trees}) > 50  # rows and slots are drawn for each tree
+    loss = lambda model: model.predict(held).agg(F.avg(metrics.pinball_loss(F.col("predicted_days")[1], "days", 0.9))).first()[0]
+    assert loss(packed) < 1.05 * loss(plain)
+    own = models.fit_forest(two, balanced)
+    assert own.getNumTrees == 60 and own.numClasses == 2
+    score = lambda model: [r[0][1] for r in model.transform(held).select("probability").collect()]
+    assert max(abs(a - b) for a, b in zip(score(own), score(spark_two))) < 0.15
+    importances = lambda model: model.featureImportances.toArray()
+    assert importances(own) == pytest.approx(importances(spark_two), abs=0.1)
+    own.write().overwrite().save(str(tmp_path / "packed"))
+    assert score(RandomForestClassificationModel.load(str(tmp_path / "packed"))) == score(own)
+    assert held_rdds() == before
+
+
+def test_leaf_percentiles_are_sparks(spark):
+    values = [(1, 3), (2, 1), (7, 2), (20, 5)]
+    table = [v for v, _ in values], [n for _, n in values]
+    frame = spark.createDataFrame(values, "v int, n int")
+    for q in (0.0, 0.25, 0.5, 0.77, 0.9, 1.0):
+        assert histograms._percentiles(table, [q])[0] == pytest.approx(frame.agg(F.percentile("v", q, F.col("n"))).first()[0])
