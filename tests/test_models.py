@@ -476,3 +476,16 @@ def test_leaf_percentiles_are_sparks(spark):
     frame = spark.createDataFrame(values, "v int, n int")
     for q in (0.0, 0.25, 0.5, 0.77, 0.9, 1.0):
         assert histograms._percentiles(table, [q])[0] == pytest.approx(frame.agg(F.percentile("v", q, F.col("n"))).first()[0])
+
+
+def test_packed_search_caches_no_fold(frame, monkeypatch):
+    """Above the limit the search keeps packed rows only; scores and the best setting are those of the cross-validator."""
+    rows = stage(models.encoded(models.fit_preprocessing(frame, ["distance_km", "order_purchase_month"]), frame), "test_packed_search")
+    estimator, space = models.boosted_classifier(models.TreeSettings(3, 3, 0.3)), {"maxDepth": [1, 3], "minInstancesPerNode": [20]}
+    before = {r["params"]: r["cv_macro_f1"] for r in search.cross_validated_search(rows, estimator, space)[0].collect()}
+    monkeypatch.setattr(models, "PACKED_FROM", 1)
+    monkeypatch.setattr(search.CrossValidator, "_fit", None)
+    table, best = search.cross_validated_search(rows, estimator, space)
+    after = {r["params"]: r["cv_macro_f1"] for r in table.collect()}
+    assert after.keys() == before.keys() and all(abs(after[k] - before[k]) < 0.02 for k in after)
+    assert best.getNumTrees == 3 and models.feature_importance(best, rows).first()["feature"] == "distance_km"
